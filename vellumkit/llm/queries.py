@@ -7,23 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import decontamination, mixing, sharding, simhash, toxicity
+from . import decontamination, html_extraction, license_scan, lm_scoring, mixing, sharding, simhash, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_assignment(table(spark, sf_dir, "documents"))
 
@@ -32,9 +48,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), good)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op4_decontamination, op6_mixing, op8_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_html_extraction, op4_decontamination, op5_exact_topk, op6_mixing, op7_license_scan, op8_sharding, op9_simhash, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": sharding.oracle_sql()}
+    return {"op1_url_filter": url_filter.oracle_sql(), "op5_exact_topk": topk.oracle_sql(), "op8_sharding": sharding.oracle_sql()}
