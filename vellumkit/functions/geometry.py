@@ -20,14 +20,20 @@ def box_iou(a: Column, b: Column) -> Column:
 
 
 def box_giou(a: Column, b: Column) -> Column:
-    """GIoU of two axis-aligned xyxy boxes; 0 where either has no area."""
-    w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
-    h = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
+    """GIoU of two axis-aligned xyxy boxes over their convex hull; 0 where either has no area.
+
+    The hull is the bounding box without the triangles at those of its corners whose two sides belong to different boxes.
+    """
+    zero = F.lit(0.0)
+    w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), zero)
+    h = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), zero)
     area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
     inter = w * h
     union = area(a) + area(b) - inter
-    hull = (F.greatest(a[2], b[2]) - F.least(a[0], b[0])) * (F.greatest(a[3], b[3]) - F.least(a[1], b[1]))
-    return F.when((area(a) > 0) & (area(b) > 0), inter / union - (hull - union) / hull).otherwise(F.lit(0.0))
+    d = [a[k] - b[k] for k in range(4)]
+    cut = (F.greatest(-d[0] * d[1], zero) + F.greatest(-d[2] * d[3], zero) + F.greatest(d[2] * d[1], zero) + F.greatest(d[0] * d[3], zero)) / 2
+    hull = (F.greatest(a[2], b[2]) - F.least(a[0], b[0])) * (F.greatest(a[3], b[3]) - F.least(a[1], b[1])) - cut
+    return F.when((area(a) > 0) & (area(b) > 0), inter / union - (hull - union) / hull).otherwise(zero)
 
 
 def rescale_box(box: Column, w_from: Column, h_from: Column, w_to: Column, h_to: Column) -> Column:

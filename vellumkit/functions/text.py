@@ -243,7 +243,7 @@ def normalize_answer(x: Column) -> Column:
     comma, out = F.rlike(t, F.lit(r"(?<=\d),+(?=\d)")), t
     for m in _MARKS:
         gone = F.contains(t, F.lit(m + " ")) | F.contains(t, F.lit(" " + m)) | comma
-        out = F.when(gone, F.replace(out, F.lit(m), F.lit(""))).otherwise(F.replace(out, F.lit(m), F.lit(" ")))
+        out = F.replace(out, F.lit(m), F.when(gone, F.lit("")).otherwise(F.lit(" ")))
     out = F.regexp_replace(out, r"\.(?!\d)", "")
     words = F.create_map(*[F.lit(y) for pair in (ANSWER_NUMBERS.items()) for y in pair])
     short = F.create_map(*[F.lit(y) for pair in (CONTRACTIONS.items()) for y in pair])

@@ -90,7 +90,7 @@ def hard_examples(df: DataFrame, group: str, score: str, id_col: str, n: int) ->
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Bag union by name; a column that some lack is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.select("*") for f in frames])
 
 
 def concat_index(sizes: DataFrame, order: str, size: str) -> DataFrame:

@@ -246,7 +246,7 @@ def _order_boxes(t: Tables) -> DataFrame:
 
 @query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_X}::DOUBLE AS x, {_Y}::DOUBLE AS y, {_W}::DOUBLE AS w, {_H}::DOUBLE AS h, ({_DX})::INT AS dx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_X}, {_Y}, {_DX}) - 1)::INT AS k FROM lineitem WHERE l_orderkey % 3 = 0),
     m AS (SELECT p.l_orderkey, p.k AS i, g.k AS j, greatest(0, least(p.x + p.dx + p.w, g.x + g.w) - greatest(p.x + p.dx, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS inter, p.w * p.h + g.w * g.h AS areas,
-        (greatest(p.x + p.dx + p.w, g.x + g.w) - least(p.x + p.dx, g.x)) * (greatest(p.y + p.h, g.y + g.h) - least(p.y, g.y)) AS hull FROM b p JOIN b g USING (l_orderkey))
+        (greatest(p.x + p.dx + p.w, g.x + g.w) - least(p.x + p.dx, g.x)) * (greatest(p.y + p.h, g.y + g.h) - least(p.y, g.y)) - (greatest(0, -(p.x + p.dx - g.x) * (p.y - g.y)) + greatest(0, -(p.x + p.dx + p.w - g.x - g.w) * (p.y + p.h - g.y - g.h)) + greatest(0, (p.x + p.dx + p.w - g.x - g.w) * (p.y - g.y)) + greatest(0, (p.x + p.dx - g.x) * (p.y + p.h - g.y - g.h))) / 2 AS hull FROM b p JOIN b g USING (l_orderkey))
     SELECT l_orderkey, i, j, round(inter / (areas - inter) - (hull - (areas - inter)) / hull, 6) AS giou FROM m""")
 def giou_matrix(t: Tables) -> DataFrame:
     """Every pair of an order's boxes, within the row."""

@@ -41,7 +41,7 @@ def write_splits(df: DataFrame, path: str, split: str = "split", allowed: tuple[
 
 def write_submission(dets: DataFrame, path: str) -> None:
     """"image score x1 ... y4" lines, a folder a class (K9). dets: image, class_name, score, poly."""
-    line = F.concat_ws(" ", "image", F.format_number("score", "0.0000"), F.array_join(F.transform("poly", lambda v: F.format_string("%.2f", v.cast("double"))), " "))
+    line = F.concat_ws(" ", "image", F.format_string("%.4f", "score"), F.array_join(F.transform("poly", lambda v: F.format_string("%.2f", v.cast("double"))), " "))
     dets.select("class_name", line.alias("line")).write.mode("overwrite").partitionBy("class_name").text(path)
 
 
