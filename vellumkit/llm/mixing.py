@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float =
     q = spark.createDataFrame([(s, n * block) for s, n in quota.items()], "q_source string, q_rows bigint")
     cut = ranked.join(F.broadcast(q), F.col("source").eqNullSafe(F.col("q_source")))  # a row for each source
     cut = cut.where(F.col("rank") < F.col("q_rows")).groupBy("source").agg(F.max(F.struct(F.coalesce("key", F.lit(-1)).alias("k"), F.coalesce("doc_id", F.lit(-(2**63))).alias("i"))).alias("__cut"))
-    cut = checkpoint(cut.withColumnRenamed("source", "__source"))
-    out = docs.withColumn("__key", F.struct(F.coalesce(mixed_key("doc_id", seed), F.lit(-1)).alias("k"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("i")))
-    out = join_checked(out, cut, F.col("source").cast("string").eqNullSafe(F.col("__source")), "inner", 100)
-    return out.where("__key <= __cut").drop("__key", "__source", "__cut")
+    name, cut_name = (min(n for n in (f"__{x}{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("source", "cut"))
+    cut = checkpoint(cut.withColumnsRenamed({"source": name, "__cut": cut_name}))
+    key = F.struct(F.coalesce(mixed_key("doc_id", seed), F.lit(-1)).alias("k"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("i"))
+    return join_checked(docs, cut, F.col("source").cast("string").eqNullSafe(F.col(name)), "inner", 100).where(key <= F.col(cut_name)).drop(name, cut_name)

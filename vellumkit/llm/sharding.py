@@ -45,7 +45,7 @@ def shard(docs: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> Da
     partition and in order. Rows that repeat a doc_id share its place."""
     placed = shard_assignment(docs, shard_rows, seed).select(F.col("doc_id").alias("__doc"), "shard", "position")
     kept = docs.drop("shard", "position")
-    out = kept.join(placed, kept["doc_id"].eqNullSafe(F.col("__doc"))).drop("__doc")
+    out = kept.join(placed, kept["doc_id"].eqNullSafe(placed["__doc"])).drop(placed["__doc"])
     return out.repartition("shard").sortWithinPartitions("shard", "position")
 
 

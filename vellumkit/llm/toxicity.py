@@ -155,4 +155,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that are toxic; rows with a null text stay."""
     score = scorer(docs, train(docs, labels))
-    return docs.withColumn("__score", score).where(F.coalesce(F.col("__score") < threshold, F.lit(True))).drop("__score")
+    return docs.where(F.coalesce(score < threshold, F.lit(True)))
