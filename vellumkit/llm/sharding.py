@@ -2,7 +2,7 @@
 
 Documents are shuffled by a seeded key and ranked within their source; sorting all by the fractional rank
 (rank + 0.5) / size of the source interleaves the sources in proportion, so that each cut of that order has the
-mixture of the whole, to within one document a source. Only ids, sources and keys are shuffled for the ranks, by range,
+mixture of the whole, to within two documents a source. Only ids, sources and keys are shuffled for the ranks, by range,
 so a hot source spreads over many tasks.
 """
 
