@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import checkpoint, join_checked, prepare
 
-BITS, RADIUS, ANCHORS = 256, 44, 8
+BITS, RADIUS, ANCHORS = 256, 40, 8
 LANES = BITS // 64
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
