@@ -96,18 +96,20 @@ def block_topk(queries: tuple[np.ndarray, ...], corpus: tuple[np.ndarray, ...],
             if x in start:
                 lo, hi = start[x]
                 scores[o, post_row[lo:hi]] += y * post_w[lo:hi]
-        scores = np.round(scores, 9)
-        scores[cid[None, :] == qid[a:b, None]] = -np.inf
+        own = np.minimum(np.searchsorted(cid, qid[a:b]), n - 1)
+        same = np.flatnonzero(cid[own] == qid[a:b])
+        scores[same, own[same]] = -np.inf
         m = min(k, n)
-        # the m-th best score; all above it, then of those equal to it the least ids
+        # All that can be among the first m once rounded; then by falling score, the least id first.
         cut = np.partition(scores, n - m, axis=1)[:, n - m]
-        above = scores > cut[:, None]
-        r, c = np.nonzero((scores == cut[:, None]) & np.isfinite(cut)[:, None])
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        few = nth < (m - above.sum(axis=1))[r]
-        ra, ca = np.nonzero(above)
-        r, c = np.concatenate((ra, r[few])), np.concatenate((ca, c[few]))
-        yield qid[a:b][r], cid[c], scores[r, c]
+        r, c = np.nonzero(scores >= cut[:, None] - 2e-9)
+        v = np.round(scores[r, c], 9)
+        keep = np.isfinite(v)
+        r, c, v = r[keep], c[keep], v[keep]
+        best = np.lexsort((c, -v, r))
+        r, c, v = r[best], c[best], v[best]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < m
+        yield qid[a:b][r[first]], cid[c[first]], v[first]
 
 
 def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
