@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from pathlib import Path
 
@@ -15,14 +16,19 @@ BROADCAST_LIMIT_BYTES = 32 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and have a checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only where it is unset.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local master (as in tests) gets a temporary folder of its
+    own; on a cluster that is an error, as executors have no folder in common.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         sc.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='vellumkit-')}"
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"file://{tempfile.mkdtemp(prefix='vellumkit-')}"
         sc.setCheckpointDir(folder)
     return spark
 
