@@ -54,17 +54,27 @@ def word_counts(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
 
 
 def dictionary(counts: DataFrame, column: str, size: int = DICT_BYTES) -> bytes:
-    """The words with the largest count x bytes of UTF-8 (ties: the lesser word first) that fill ``size`` bytes, spaces included."""
-    bytes_of = F.octet_length("word")
-    best = counts.where(F.col(column) > 0).where(bytes_of <= size // 64).select("word", (F.col(column) * (bytes_of + 1)).alias("gain")).orderBy(F.desc("gain"), "word").limit(size // 2)
-    words, left = [], size
-    for r in best.toLocalIterator():
+    """The words with the largest count x bytes of UTF-8 (ties: the lesser word first) that fill ``size`` bytes, spaces included.
+
+    A histogram of the gains, of some hundred rows, tells which words can be among them; only those are sorted.
+    """
+    cost = F.octet_length("word") + 1
+    words = counts.where((F.col(column) > 0) & (cost <= size // 64)).select("word", (F.col(column) * cost).alias("gain"), cost.alias("cost"), F.floor(8 * F.log2(F.col(column) * cost)).alias("level"))
+    least, filled = None, 0
+    for r in sorted(words.groupBy("level").agg(F.sum("cost").alias("cost")).collect(), key=lambda r: -r["level"]):
+        least, filled = r["level"], filled + r["cost"]
+        if filled >= size + size // 64:  # enough even if the last word doesn't fit
+            break
+    if least is None:
+        return b""
+    best, left = [], size
+    for r in words.where(F.col("level") >= least).orderBy(F.desc("gain"), "word").select("word").toLocalIterator():
         w = r["word"].encode("utf-8", "surrogatepass")
         if left < len(w) + 1:
             break
         left -= len(w) + 1
-        words.append(w)
-    return b" ".join([b"", *words[::-1], b""]) if words else b""
+        best.append(w)
+    return b" ".join([b"", *best[::-1], b""])
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
