@@ -17,7 +17,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -109,7 +108,6 @@ class Template:
     def best(self, words: list[str]) -> tuple[int, list[tuple[int, int]]]:
         """(occurrences, the aligned places (in the template, in the text) of the best one)."""
         n, slack, found, best, after = len(self.words), len(self.words) // 2 + 2, 0, [], 0
-        seen = [0, *accumulate(w in self.count for w in words)]  # words of the template up to each place
         for p, w in enumerate(words):
             if p < after or w not in self.triggers:
                 continue
@@ -117,7 +115,7 @@ class Template:
             for k in self.triggers[w]:
                 for s in (0, slack):
                     lo, hi = max(after, p - k - s), min(len(words), p - k + n + s)
-                    if seen[hi] - seen[lo] < max(self.need, len(own) + 1) or (self.count & Counter(words[lo:hi])).total() < self.need:
+                    if (self.count & Counter(words[lo:hi])).total() < max(self.need, len(own) + 1):
                         continue  # words in common are too few for any alignment
                     got = [(i, j + lo) for i, j in align(self.words, words[lo:hi])]
                     if len(got) > len(own):
