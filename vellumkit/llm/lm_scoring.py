@@ -48,7 +48,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
     """(word, n_in, n_all) over all documents; in_domain: doc_ids. Words are what white space separates."""
     ids = checkpoint(in_domain.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("__id")).distinct())
-    marked = join_checked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), ids.withColumn("__in", F.lit(True)), F.col("doc_id") == F.col("__id"), "left", 24)
+    marked = join_checked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), ids.withColumn("__in", F.lit(True)), F.col("doc_id") == F.col("__id"), "left", 80)
     parts = marked.select(F.coalesce("__in", F.lit(False)).alias("inside"), "text").mapInArrow(_counted, "word string, n_in bigint, n_all bigint")
     return parts.groupBy("word").agg(F.sum("n_in").alias("n_in"), F.sum("n_all").alias("n_all"))
 

@@ -203,7 +203,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     one stays; rows with a null doc_id all stay."""
     gone = near_duplicate_groups(docs, radius).select(F.col("doc_id").alias("__gone"))
     again = checkpoint(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
-    kept = join_checked(docs, gone, docs["doc_id"] == gone["__gone"], "left_anti", 24)
-    once = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_anti", 24)
-    repeated = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_semi", 24).dropDuplicates(["doc_id"])
+    kept = join_checked(docs, gone, docs["doc_id"] == gone["__gone"], "left_anti", 80)
+    once = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_anti", 80)
+    repeated = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_semi", 80).dropDuplicates(["doc_id"])
     return once.unionByName(repeated) if again.take(1) else kept
