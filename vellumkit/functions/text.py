@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 WS = " \t\n\r\f\x0b"
@@ -19,6 +21,11 @@ def strip(x: Column, chars: str = WS) -> Column:
     return F.trim(x, F.lit(chars))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm(x: Column) -> Column:
     """Lower case, outer white space off, then outer full stops off."""
     return strip(strip(F.lower(x)), ".")
@@ -76,16 +83,20 @@ def parse_box(x: Column, prompt_type: str = "json") -> Column:
     square is scaled to thousandths and flagged; without a box, or for null, [0, 0, 0, 0] and false.
     """
     if prompt_type == "json":
-        pattern, n = r"\[\s*(" + r")\s*,\s*(".join([NUMBER] * 4) + r")\s*\]", x
+        pattern, line = r"\[\s*(" + r"\s*,\s*".join([NUMBER] * 4) + r")\s*\]", x
     elif prompt_type == "plain":
-        pattern, n = r"^(\d+),(\d+),(\d+),(\d+)\s+.+", strip(F.split(strip(x), "\n")[0])
+        pattern, line = r"^(\d+,\d+,\d+,\d+)\s+.+", strip(F.split(strip(x), "\n")[0])
     else:
         raise ValueError(f"Unknown prompt type: {prompt_type}")
-    box = F.array(*[F.regexp_extract(n, pattern, i).try_cast("double") for i in (1, 2, 3, 4)])
-    found = F.coalesce(F.forall(box, lambda v: v.isNotNull()), F.lit(False))
-    unit = found & F.forall(box, lambda v: v <= 1)
-    scaled = F.transform(box, lambda v: (v * 1000).cast("int").cast("double"))
-    return F.struct(F.when(unit, scaled).when(found, box).otherwise(F.array(*[F.lit(0.0)] * 4)).alias("box"), unit.alias("normalized"))
+    numbers = F.transform(F.split(F.regexp_extract(line, pattern, 1), r"\s*,\s*"), lambda v: v.try_cast("double"))
+
+    def judged(box: Column) -> Column:
+        found = F.coalesce(F.forall(box, lambda v: v.isNotNull()), F.lit(False))
+        unit = found & F.forall(box, lambda v: v <= 1)
+        scaled = F.transform(box, lambda v: (v * 1000).cast("int").cast("double"))
+        return F.struct(F.when(unit, scaled).when(found, box).otherwise(F.array(*[F.lit(0.0)] * 4)).alias("box"), unit.alias("normalized"))
+
+    return let(numbers, judged)
 
 
 def int_boxes(x: Column) -> Column:
@@ -191,7 +202,7 @@ def repair_json(x: Column) -> Column:
     y = F.translate(body, "()", "[]")
     for pattern, by in ((r"(, *)+", ", "), (r"(\d)\s+(\d)", "$1, $2"), (r'("label":\s*)+', '"label": ')):
         y = F.regexp_replace(y, pattern, by)
-    lines = F.filter(F.split(y, "\n"), lambda s: F.try_parse_json(strip(strip(s), ",")).isNotNull() & (strip(strip(s), ",") != ""))
+    lines = F.filter(F.split(y, "\n"), lambda s: let(strip(strip(s), ","), lambda t: (t != "") & F.try_parse_json(t).isNotNull()))
     mended = F.concat(F.lit("[\n"), F.rtrim(F.array_join(lines, "\n"), F.lit(", ")), F.lit("\n]"))
     return F.when(F.try_parse_json(body).isNotNull(), body).otherwise(mended)
 

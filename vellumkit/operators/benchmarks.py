@@ -187,7 +187,8 @@ def rec_scores(df: DataFrame, prompt_type: str = "json", by: str | None = None)
     b = X.parse_box(F.col("output"), prompt_type)
     box = G.rescale_box(b["box"], F.col("resized_width"), F.col("resized_height"), F.col("original_width"), F.col("original_height"))
     truth = F.when(b["normalized"], F.col("normalized_solution")).otherwise(F.col("solution"))
-    ok = F.coalesce(G.box_iou(box, truth) > 0.5, F.lit(False))
+    df = df.select(*([by] if by else []), X.let(box, lambda p: X.let(truth, lambda t: F.coalesce(G.box_iou(p, t) > 0.5, F.lit(False)))).alias("ok"))
+    ok = F.col("ok")
     g = df.groupBy(*([by] if by else [])).agg((M.accuracy(ok) * 100).alias("acc@0.5"), F.count("*").alias("n"))
     return tidy(g, F.col(by) if by else None)
 

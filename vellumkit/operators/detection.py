@@ -98,6 +98,7 @@ def average_precision(assigned: DataFrame, cls: str, score: str, order: str) ->
     rank = Window.partitionBy(cls).orderBy(F.desc(score), order)
     d = assigned.where(F.col(score).isNotNull()).withColumns({"cum": F.sum("tp").over(rank.rowsBetween(Window.unboundedPreceding, 0)), "at": F.row_number().over(rank)})
     d = d.withColumn("precision", F.col("cum") / F.col("at"))
-    d = d.withColumn("best", F.max("precision").over(Window.partitionBy(cls).orderBy("at").rowsBetween(0, Window.unboundedFollowing)))
+    # From the last row back: a frame that starts at the first row grows, one that ends at the last is computed anew for each row.
+    d = d.withColumn("best", F.max("precision").over(Window.partitionBy(cls).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)))
     ap = d.where("tp = 1").groupBy(cls).agg(F.sum("best").alias("area"))
     return n_gt.join(ap, cls, "left").select(cls, (F.coalesce("area", F.lit(0.0)) / F.col("total")).alias("ap"), F.col("total").alias("n_gt"))

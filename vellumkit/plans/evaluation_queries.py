@@ -55,7 +55,7 @@ def rec_acc_at_05(t: Tables) -> DataFrame:
     """Answer text to box to IoU to accuracy by dataset."""
     s = _rec(t).withColumn("p", X.parse_box(F.col("answer"))["box"])
     one = F.lit(1.0)
-    s = s.withColumn("iou", G.box_iou(G.rescale_box(F.col("p"), one, one, one, one), F.col("truth")))
+    s = s.withColumn("p", G.rescale_box(F.col("p"), one, one, one, one)).withColumn("iou", G.box_iou(F.col("p"), F.col("truth")))
     return s.groupBy(F.col("l_returnflag").alias("dataset_name")).agg(R6(M.accuracy(F.col("iou") > 0.5) * 100).alias("acc"), R6(F.avg("iou")).alias("mean_iou"), F.count("*").alias("n"))
 
 
