@@ -31,6 +31,17 @@ def test_quotas_meet_the_weights():
     assert M.quotas({}, WEIGHTS) == {} and M.quotas({"x": 5}, {"x": 0.0}) == {}
 
 
+def test_scarce_sources_do_not_size_the_mixture():
+    assert M.quotas({"hot": 2000, "one": 1}, {}, 1.0, 8) == {"hot": 250, "one": 1}
+    assert M.quotas({"hot": 2000, **{f"tail{k}": 1 for k in range(50)}}, {"hot": 0.5}, 1.0, 8)["hot"] == 250
+    even = {"src0": 94_683, **{f"src{k}": 8512 for k in range(1, 20)}}
+    before = M.quotas(even)
+    for n in (1, 3, 200):
+        assert M.quotas({**even, None: n}) == {**before, None: -(-n // M.BLOCK)}
+    for n in (1, 200, 2000, 3000, 5000, 8000):  # at least SCARCE of the rows stay, but for the blocks' rounding
+        assert sum(M.quotas({**even, None: n}).values()) * M.BLOCK >= M.SCARCE * (sum(even.values()) + n) - 21 * M.BLOCK
+
+
 def test_tree_deals_exactly():
     quota = [100, 37, 3, 0, 61]
     c = M.Tree(quota, 9, 1).counts()

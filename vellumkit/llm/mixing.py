@@ -1,8 +1,9 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Each source is put in a seeded order and cut into blocks of ``block`` documents. With target weights w, the most blocks
-that the sources can give without repeating any are used: source s gives its exact quota of blocks, the largest T * w_s that
-no source exceeds. A splitting tree deals the quotas out to the output shards: at a node over m shards, the left
+Each source is put in a seeded order and cut into blocks of ``block`` documents. With target weights w, source s gives
+its exact quota of T * w_s blocks, with the largest T that no source exceeds but the scarce ones. A scarce source gives all
+it has and doesn't size the mixture: it has less than ``SCARCE`` of what its weight is of the rows of the sources that
+aren't scarcer. So ``SCARCE`` of the rows are kept at least, whatever the tail. A splitting tree deals the quotas out to the output shards: at a node over m shards, the left
 m // 2 of them get their share of the blocks, and how many of each source is one draw from the multivariate
 hypergeometric distribution, from a generator seeded by the node. So the leaves' counts add up to the quotas exactly,
 and each shard draws the next blocks of each source's permuted order: disjoint, and none left over. Within a
@@ -28,18 +29,26 @@ from .sharding import sources_of
 #: Target weight of a source: by name, ``REST`` for any other. Weights are relative.
 WEIGHTS, REST = {"src0": 2.0, "src1": 0.5, "src2": 0.5}, 1.0
 BLOCK, SHARD_BLOCKS, SEED = 16, 128, 29
+SCARCE = Fraction(1, 3)
 
 
 def quotas(counts: dict[str | None, int], weights: dict[str, float] = WEIGHTS, rest: float = REST, block: int = BLOCK) -> dict[str | None, int]:
     """Blocks that each source gives. A source of weight 0 gives none, as does one without rows; a source's last block
-    may be short. Any source's share of the blocks is within one block of its weight's."""
+    may be short. The sources that aren't scarce share their blocks by weight, each within one block; scarce ones give all."""
     weight = {s: Fraction(str(weights.get(s, rest) if s is not None else rest)) for s, n in counts.items() if n > 0}
     weight = {s: w for s, w in weight.items() if w > 0}
     if not weight:
         return {}
-    have = {s: -(-counts[s] // block) for s in weight}
-    t = min(Fraction(have[s]) / w for s, w in weight.items())
-    return {s: min(have[s], max(1, int(t * w))) for s, w in weight.items()}
+    have, scarce = {s: -(-counts[s] // block) for s in weight}, set()
+    # scarcest first: one that has too little of its part of the rows that are left is fixed, the rest is shared without it
+    rows, parts = sum(counts[s] for s in weight), sum(weight.values())
+    for s in sorted(weight, key=lambda s: counts[s] / weight[s]):
+        if counts[s] * parts >= SCARCE * rows * weight[s]:
+            break
+        rows, parts = rows - counts[s], parts - weight[s]
+        scarce.add(s)
+    t = min(Fraction(have[s]) / w for s, w in weight.items() if s not in scarce)
+    return {s: have[s] if s in scarce else min(have[s], max(1, int(t * w))) for s, w in weight.items()}
 
 
 class Tree:
