@@ -138,6 +138,17 @@ def test_lm_dictionary_is_bounded(spark):
     assert len(Z.compressor(b"").compress(b"abc")) == len(zstandard.ZstdCompressor(level=Z.LEVEL).compress(b"abc"))
 
 
+def test_lm_dictionary_grows_with_the_vocabulary(spark):
+    """Every word that was counted, rare and long ones too, is in the dictionary, and compresses by it."""
+    counts = spark.range(60_000).select(F.sha1(F.col("id").cast("string")).alias("word"), F.col("id").alias("n_in")).where("n_in > 0")
+    counts = counts.unionByName(spark.createDataFrame([("x" * 3000, 1)], "word string, n_in bigint"))
+    d = Z.dictionary(counts, "n_in")
+    want = sorted(((r["n_in"] * (len(r["word"]) + 1), r["word"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))
+    assert d.decode().split(" ") == ["", *(w for _, w in want[::-1]), ""]
+    rare = " ".join(w for _, w in want[-2:-40:-1])
+    assert 3 * len(Z.compressor(d).compress(rare.encode())) < len(Z.compressor(b"").compress(rare.encode()))
+
+
 def test_lm_edges(spark):
     docs = edge_docs(spark)
     good = spark.createDataFrame([(5,), (5,), (None,), (77,)], "doc_id bigint")

@@ -5,23 +5,28 @@ corpus. There are two dictionaries: one of the in-domain documents (label qualit
 score is the normalised difference of the sizes, (general - in_domain) / general: above 0, a text looks more like the
 in-domain documents than like the corpus.
 
-A dictionary is raw content: the words that save most, by count x length, the best at the end, where matches are
+A dictionary is raw content: every word that was counted, by count x length, the best at the end, where matches are
 cheapest. Words are counted over all documents: each task counts its own, and the counts, which grow with the corpus,
-are shuffled by word. Only the words that fill the dictionaries come to the driver, and those are bounded by their size.
+are shuffled by word. So the dictionaries grow with the vocabulary, and zstandard's window and hash tables with them; only
+``MOST_BYTES``, what zstandard can load, is a limit. They go over the driver to each worker, which digests them once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import checkpoint, join_checked, prepare
 
-DICT_BYTES, LEVEL, FLUSH = 112 << 10, 3, 300_000
+MOST_BYTES, LEVEL, FLUSH = (1 << 31) - (1 << 20), 3, 300_000
+#: Bits by which the tables of long and of short matches are less than the dictionary.
+HASH, CHAIN = 1, 3
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +58,23 @@ def word_counts(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n_in").alias("n_in"), F.sum("n_all").alias("n_all"))
 
 
-def dictionary(counts: DataFrame, column: str, size: int = DICT_BYTES) -> bytes:
-    """The words with the largest count x bytes of UTF-8 (ties: the lesser word first) that fill ``size`` bytes, spaces included.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(b.column(0).to_pylist()).encode("utf-8", "surrogatepass")], pa.binary())], names=["part"])
+
 
-    A histogram of the gains, of some hundred rows, tells which words can be among them; only those are sorted.
+def dictionary(counts: DataFrame, column: str, size: int = MOST_BYTES) -> bytes:
+    """All words, by count x bytes of UTF-8 (ties: the lesser word last), between spaces. If they are more than ``size`` bytes,
+    spaces included, those with the largest gains that fill it.
+
+    Of those, a histogram of the gains, of some hundred rows, tells which words can be among them; only those are sorted.
     """
     cost = F.octet_length("word") + 1
-    words = counts.where((F.col(column) > 0) & (cost <= size // 64)).select("word", (F.col(column) * cost).alias("gain"), cost.alias("cost"), F.floor(8 * F.log2(F.col(column) * cost)).alias("level"))
+    words = counts.where(F.col(column) > 0).select("word", (F.col(column) * cost).alias("gain"), cost.alias("cost"), F.floor(8 * F.log2(F.col(column) * cost)).alias("level"))
+    if (words.agg(F.sum("cost")).first()[0] or 0) <= size:
+        parts = [r["part"] for r in words.orderBy("gain", F.desc("word")).select("word").mapInArrow(_joined, "part binary").toLocalIterator() if r["part"]]
+        return b" ".join([b"", *parts, b""]) if parts else b""
+    words = words.where(F.col("cost") <= size // 64)
     least, filled = None, 0
     for r in sorted(words.groupBy("level").agg(F.sum("cost").alias("cost")).collect(), key=lambda r: -r["level"]):
         least, filled = r["level"], filled + r["cost"]
@@ -81,8 +96,22 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     if len(content) < 8:  # the least that zstandard takes as a dictionary
         return zstandard.ZstdCompressor(level=LEVEL)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held)
+    bits = len(content).bit_length()  # the window covers the dictionary, the tables have an entry for some bytes of it
+    fit = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=min(31, max(21, bits + 1)), hash_log=max(17, bits - HASH), chain_log=max(16, bits - CHAIN))
+    held.precompute_compress(compression_params=fit)
+    return zstandard.ZstdCompressor(compression_params=fit, dict_data=held)
+
+
+_ready: dict[str, list[zstandard.ZstdCompressor]] = {}
+
+
+def _digested(token: str, sent: Broadcast) -> list[zstandard.ZstdCompressor]:
+    """The compressors of a run, which a worker keeps from task to task, as digesting takes as long as the dictionaries are."""
+    if token not in _ready:
+        _ready.clear()
+        _ready[token] = [compressor(content) for content in sent.value]
+        vars(sent).pop("_value", None)  # zstandard has its own copy
+    return _ready[token]
 
 
 def lm_scores(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
@@ -93,10 +122,10 @@ def lm_scores(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     counts = checkpoint(word_counts(docs, in_domain))
-    sent = spark.sparkContext.broadcast((dictionary(counts, "n_in"), dictionary(counts, "n_all")))
+    sent, token = spark.sparkContext.broadcast((dictionary(counts, "n_in"), dictionary(counts, "n_all"))), uuid.uuid4().hex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, general = map(compressor, sent.value)
+        inside, general = _digested(token, sent)
         for b in batches:
             sizes = [[], []]
             for t in b.column(1):
