@@ -87,6 +87,18 @@ def test_licenses(spark):
     assert got[2, "mit"]["coverage"] == pytest.approx(len(L.WORD.findall(" ".join(cut))) / len(L.WORD.findall(" ".join(mit))), abs=0.02)
 
 
+def test_licenses_of_a_family_are_told_apart():
+    ready = [L.Template.of(n, t) for n, t in L.TEMPLATES.items()]
+    found = lambda t: {r[0] for r in L.scan(f"{text(1)} {t} {text(2)}", ready)}
+    parts = {"bsd-3-clause": {"bsd-2-clause"}, "apache-2.0-header": {"apache-2.0-line"}}
+    for name, t in L.TEMPLATES.items():
+        assert found(t) == {name} | parts.get(name, set())
+    assert found("Released under the License.") == found("Licensed under CC BY-NC 3.0.") == set()
+    assert found("Licensed under the Apache License, Version 1.1.") == set()
+    assert found("This work is licensed under the GNU General Public License, version 2. Chapter 3") == {"gpl-2-line"}
+    assert found("Released under the BSD License. Released under the MIT License.") == {"bsd-line", "mit-line"}
+
+
 def test_triggers_skip_nothing():
     """A text that covers a template enough always has a trigger."""
     rng = random.Random(2)

@@ -3,7 +3,8 @@
 A template is aligned with a stretch of a text: words that are unique in both are anchors, the longest increasing
 subsequence of the anchors' places is kept, and the gaps between them are aligned alike, after what they share at
 either end is taken off. Coverage is the share of the template's words that are aligned; a license is found where
-coverage is ``MIN_COVERAGE`` at least and the aligned words are half of the stretch at least.
+coverage is ``MIN_COVERAGE`` at least and the aligned words are half of the stretch at least. Coverage alone doesn't tell
+licenses of a family apart, so a template has ``MARKS``: words that must be aligned, and words that the stretch may not hold.
 
 A stretch is tried around each word of a text that is one of the template's triggers: its rarer words, so many that an
 alignment with the coverage asked for can't do without all of them. So texts without any trigger, nearly all, cost
@@ -33,16 +34,51 @@ TEMPLATES = {
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "mit-line": "Released under the MIT License.",
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-line": "Released under the BSD License.",
+    "gpl-2-line": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "lgpl-3-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
 
+def _marks() -> dict[str, tuple[frozenset[str], frozenset[str]]]:
+    other = {"3": "1 2", "2": "1 3", "4": "1 2 3"}  # versions that a stretch of this version may not hold
+    out = {"mit-line": ("mit", ""), "bsd-line": ("bsd", ""), "apache-2.0-line": ("apache 2", "1"), "apache-2.0-header": ("apache 2", "1")}
+    for v in "23":
+        for form in ("line", "header"):
+            out[f"gpl-{v}-{form}"] = (f"general public {v}", f"lesser library affero {other[v]}")
+    out |= {"lgpl-3-line": ("lesser general public 3", f"affero {other['3']}"), "agpl-3-line": ("affero general public 3", f"lesser {other['3']}")}
+    names = {"nc": ("noncommercial", "noncommercial non commercial"), "sa": ("sharealike", "sharealike share alike"), "nd": ("noderivatives", "noderivatives noderivs derivatives derivs")}
+    for kind in ("", "nc", "sa", "nd", "nc-sa", "nc-nd"):
+        own, name = kind.split("-") if kind else [], "-".join(filter(None, ["cc-by", kind, "4.0"]))
+        out[f"{name}-line"] = (f"cc by 4 {' '.join(own)}", " ".join([other["4"], *(k for k in names if k not in own)]))
+        out[name] = (f"attribution 4 {' '.join(names[k][0] for k in own)}", " ".join([other["4"], *(names[k][1] for k in names if k not in own)]))
+    return {n: (frozenset(a.split()), frozenset(b.split())) for n, (a, b) in out.items()}
+
+
+#: Of templates by name: words that must be among the aligned ones, and words that may not be in the stretch.
+MARKS = _marks()
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of pairs, sorted by their first part, whose second part increases (patience sorting)."""
     tops: list[int] = []
@@ -93,6 +129,8 @@ class Template:
     triggers: dict[str, list[int]]  # a trigger's places in the template
     need: int
     count: Counter
+    must: frozenset[str] = frozenset()
+    bars: frozenset[str] = frozenset()
 
     @classmethod
     def of(cls, name: str, text: str, min_coverage: float = MIN_COVERAGE) -> Template:
@@ -103,7 +141,10 @@ class Template:
                 break
             triggers[w] = [i for i, x in enumerate(words) if x == w]
             left += count[w]
-        return cls(name, words, triggers, need, count)
+        return cls(name, words, triggers, need, count, *(MARKS.get(name, ()) if TEMPLATES.get(name) == text else ()))
+
+    def marked(self, own: list[tuple[int, int]], words: list[str]) -> bool:
+        return self.must <= {self.words[i] for i, _ in own} and self.bars.isdisjoint(words[own[0][1] : own[-1][1] + 1])
 
     def best(self, words: list[str]) -> tuple[int, list[tuple[int, int]]]:
         """(occurrences, the aligned places (in the template, in the text) of the best one)."""
@@ -118,7 +159,7 @@ class Template:
                     if (self.count & Counter(words[lo:hi])).total() < max(self.need, len(own) + 1):
                         continue  # words in common are too few for any alignment
                     got = [(i, j + lo) for i, j in align(self.words, words[lo:hi])]
-                    if len(got) > len(own):
+                    if len(got) > len(own) and self.marked(got, words):
                         own = got
                 if len(own) == n:
                     break
@@ -136,7 +177,7 @@ def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, int,
     there = set(words)
     out, spans = [], None
     for t in templates:
-        if there.isdisjoint(t.triggers) or sum(w in there for w in t.words) < t.need:
+        if not t.must <= there or there.isdisjoint(t.triggers) or sum(w in there for w in t.words) < t.need:
             continue
         found, best = t.best(words)
         if found:
