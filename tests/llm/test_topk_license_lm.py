@@ -99,6 +99,15 @@ def test_licenses_of_a_family_are_told_apart():
     assert found("Released under the BSD License. Released under the MIT License.") == {"bsd-line", "mit-line"}
 
 
+def test_licenses_with_an_insertion_as_long_as_themselves():
+    words = L.TEMPLATES["isc"].split()
+    t, n = L.Template.of("isc", L.TEMPLATES["isc"]), len(words)
+    for k in range(0, n + 7, 3):
+        inserted = [*words[: n // 2], *(f"x{j}" for j in range(k)), *words[n // 2 :]]
+        found = t.best(L.WORD.findall(" ".join(["a"] * 60 + inserted + ["z"] * 60).lower()))[0]
+        assert found == (k <= len(t.words))
+
+
 def test_triggers_skip_nothing():
     """A text that covers a template enough always has a trigger."""
     rng = random.Random(2)

@@ -148,22 +148,22 @@ class Template:
 
     def best(self, words: list[str]) -> tuple[int, list[tuple[int, int]]]:
         """(occurrences, the aligned places (in the template, in the text) of the best one)."""
-        n, slack, found, best, after = len(self.words), len(self.words) // 2 + 2, 0, [], 0
+        n, found, best, after = len(self.words), 0, [], 0
         for p, w in enumerate(words):
             if p < after or w not in self.triggers:
                 continue
             own: list[tuple[int, int]] = []
             for k in self.triggers[w]:
-                for s in (0, slack):
+                for s in (0, n // 2 + 2, n):  # an insertion may be as long as the template
                     lo, hi = max(after, p - k - s), min(len(words), p - k + n + s)
                     if (self.count & Counter(words[lo:hi])).total() < max(self.need, len(own) + 1):
                         continue  # words in common are too few for any alignment
                     got = [(i, j + lo) for i, j in align(self.words, words[lo:hi])]
-                    if len(got) > len(own) and self.marked(got, words):
+                    if len(got) > len(own) and 2 * len(got) >= got[-1][1] + 1 - got[0][1] and self.marked(got, words):
                         own = got
                 if len(own) == n:
                     break
-            if len(own) >= self.need and 2 * len(own) >= own[-1][1] + 1 - own[0][1]:
+            if len(own) >= self.need:
                 found, after = found + 1, own[-1][1] + 1
                 if len(own) > len(best):
                     best = own
