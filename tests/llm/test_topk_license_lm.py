@@ -170,6 +170,26 @@ def test_lm_dictionary_grows_with_the_vocabulary(spark):
     assert 3 * len(Z.compressor(d).compress(rare.encode())) < len(Z.compressor(b"").compress(rare.encode()))
 
 
+def test_lm_dictionary_passes_over_what_does_not_fit(spark):
+    counts = spark.createDataFrame([("a" * 2000, 9), ("b" * 700, 9), ("c" * 600, 8), ("e" * 250, 19), ("f", 1)], "word string, n_in bigint")
+    assert Z.dictionary(counts, "n_in", 1000).split() == [b"e" * 250, b"b" * 700]
+
+
+def test_lm_words_at_the_start_of_a_large_dictionary_count():
+    """zstandard's faster match finders would only see the last 16 MB."""
+    names = [b"w%08x" % (k * 2654435761 % 2**32) for k in range(2_200_000)]
+    c = Z.compressor(b" ".join([b"", *names, b""]))
+    first, last, none = b" ".join(names[5:2000:4]), b" ".join(names[-2000::4]), b" ".join(b"w%08x" % (k * 40503 % 2**32 ^ 0x5A5A5A5A) for k in range(499))
+    assert Z.size_of(first, c) < 0.85 * Z.size_of(none, c) and Z.size_of(last, c) < 0.85 * Z.size_of(none, c)
+
+
+def test_lm_whole_texts_of_any_length():
+    c = Z.compressor(b" alpha beta gamma delta words of a dictionary ")
+    t = text(3, 40_000).encode()
+    assert Z.size_of(t, c) == sum(len(c.compress(t[a : a + Z.CHUNK])) for a in range(0, len(t), Z.CHUNK)) > len(t) // 3
+    assert Z.size_of(b"", c) == len(c.compress(b""))
+
+
 def test_lm_edges(spark):
     docs = edge_docs(spark)
     good = spark.createDataFrame([(5,), (5,), (None,), (77,)], "doc_id bigint")

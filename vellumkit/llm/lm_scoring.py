@@ -7,8 +7,13 @@ in-domain documents than like the corpus.
 
 A dictionary is raw content: every word that was counted, by count x length, the best at the end, where matches are
 cheapest. Words are counted over all documents: each task counts its own, and the counts, which grow with the corpus,
-are shuffled by word. So the dictionaries grow with the vocabulary, and zstandard's window and hash tables with them; only
-``MOST_BYTES``, what zstandard can load, is a limit. They go over the driver to each worker, which digests them once.
+are shuffled by word. So the dictionaries grow with the vocabulary, and zstandard's hash tables with them; only
+``MOST_BYTES``, what zstandard can load, is a limit. They go over the driver to each worker, which digests them once and
+then holds about four times their size.
+
+The match finder is the greedy one: the faster ones keep but the last 16 MB of a dictionary. A text is compressed in chunks
+of ``CHUNK`` bytes, up to which zstandard searches a digested dictionary where it is; for longer inputs it would copy the
+tables, hundreds of MB, each time. Its size is the sum over all its chunks.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import checkpoint, join_checked, prepare
 
-MOST_BYTES, LEVEL, FLUSH = (1 << 31) - (1 << 20), 3, 300_000
-#: Bits by which the tables of long and of short matches are less than the dictionary.
-HASH, CHAIN = 1, 3
+MOST_BYTES, LEVEL, FLUSH, CHUNK = (1 << 31) - (1 << 20), 5, 300_000, 1 << 15
+#: Bits by which the hash table has fewer entries than the dictionary has bytes; bits of the entries tried; bytes of the least match.
+HASH, SEARCH, MATCH = 1, 5, 6
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,30 +70,29 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dictionary(counts: DataFrame, column: str, size: int = MOST_BYTES) -> bytes:
     """All words, by count x bytes of UTF-8 (ties: the lesser word last), between spaces. If they are more than ``size`` bytes,
-    spaces included, those with the largest gains that fill it.
+    spaces included, those of the largest gains are taken in turn, and one that no longer fits is passed over.
 
-    Of those, a histogram of the gains, of some hundred rows, tells which words can be among them; only those are sorted.
+    Then a histogram of the gains, of some hundred rows, tells the least gain at which the size is reached; only words from there on are sorted.
     """
     cost = F.octet_length("word") + 1
     words = counts.where(F.col(column) > 0).select("word", (F.col(column) * cost).alias("gain"), cost.alias("cost"), F.floor(8 * F.log2(F.col(column) * cost)).alias("level"))
-    if (words.agg(F.sum("cost")).first()[0] or 0) <= size:
+    if (words.agg(F.sum("cost")).first()[0] or 0) < size:
         parts = [r["part"] for r in words.orderBy("gain", F.desc("word")).select("word").mapInArrow(_joined, "part binary").toLocalIterator() if r["part"]]
         return b" ".join([b"", *parts, b""]) if parts else b""
-    words = words.where(F.col("cost") <= size // 64)
+    words = words.where(F.col("cost") < size)
     least, filled = None, 0
     for r in sorted(words.groupBy("level").agg(F.sum("cost").alias("cost")).collect(), key=lambda r: -r["level"]):
         least, filled = r["level"], filled + r["cost"]
-        if filled >= size + size // 64:  # enough even if the last word doesn't fit
+        if filled >= size:
             break
     if least is None:
         return b""
-    best, left = [], size
+    best, left = [], size - 1
     for r in words.where(F.col("level") >= least).orderBy(F.desc("gain"), "word").select("word").toLocalIterator():
         w = r["word"].encode("utf-8", "surrogatepass")
-        if left < len(w) + 1:
-            break
-        left -= len(w) + 1
-        best.append(w)
+        if left > len(w):
+            left -= len(w) + 1
+            best.append(w)
     return b" ".join([b"", *best[::-1], b""])
 
 
@@ -96,12 +100,19 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     if len(content) < 8:  # the least that zstandard takes as a dictionary
         return zstandard.ZstdCompressor(level=LEVEL)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    bits = len(content).bit_length()  # the window covers the dictionary, the tables have an entry for some bytes of it
-    fit = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=min(31, max(21, bits + 1)), hash_log=max(17, bits - HASH), chain_log=max(16, bits - CHAIN))
+    bits = len(content).bit_length()
+    fit = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, strategy=zstandard.STRATEGY_GREEDY, window_log=min(31, max(17, bits + 1)), hash_log=max(12, bits - HASH), chain_log=max(12, bits - HASH), search_log=SEARCH, min_match=MATCH, target_length=0
+    )
     held.precompute_compress(compression_params=fit)
     return zstandard.ZstdCompressor(compression_params=fit, dict_data=held)
 
 
+def size_of(raw: bytes, by: zstandard.ZstdCompressor) -> int:
+    """Bytes of all chunks, compressed; an empty text is one empty chunk."""
+    return sum(len(by.compress(raw[a : a + CHUNK])) for a in range(0, max(1, len(raw)), CHUNK))
+
+
 _ready: dict[str, list[zstandard.ZstdCompressor]] = {}
 
 
@@ -118,7 +129,7 @@ def lm_scores(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
     """(doc_id, in_size, general_size, score) for each row of ``docs``, repeated ones too.
 
     A null text has null sizes and score; an empty text has the sizes of an empty frame. Without in-domain documents, or without
-    words, the dictionary is empty and the text is compressed without one. Whole texts are counted and compressed.
+    words, the dictionary is empty and the text is compressed without one. Whole texts are counted and compressed. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     counts = checkpoint(word_counts(docs, in_domain))
@@ -130,8 +141,8 @@ def lm_scores(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
             sizes = [[], []]
             for t in b.column(1):
                 raw = t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else None
-                sizes[0].append(None if raw is None else len(inside.compress(raw)))
-                sizes[1].append(None if raw is None else len(general.compress(raw)))
+                sizes[0].append(None if raw is None else size_of(raw, inside))
+                sizes[1].append(None if raw is None else size_of(raw, general))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s, pa.int64()) for s in sizes)], names=["doc_id", "in_size", "general_size"])
 
     out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id bigint, in_size bigint, general_size bigint")
