@@ -41,6 +41,51 @@ def test_learns_the_pair():
     assert abs(used.sum(axis=0) @ used.sum(axis=0) - (used * used).sum()) > 0.5  # the pair term is in use
 
 
+def test_learns_a_pair_without_evidence_of_its_terms():
+    """Toxic if exactly one of the two is there: neither term alone tells anything."""
+    train, held = sample(3000, 1, lambda i, g: i != g), sample(1000, 2, lambda i, g: i != g)
+    m = fit(train)
+    assert accuracy(m, held) > 0.9
+    assert (m.place[X.buckets_of("idiotic martians")] >= 0).sum() >= 2  # terms of the same rows count once
+
+
+def test_pairs_against_brute_force():
+    rng = np.random.default_rng(3)
+    there = rng.random((1200, 40)) < 0.3
+    y = ((there[:, 3] ^ there[:, 7]) | (rng.random(1200) < 0.05)).astype(float)
+    want = set()
+    for a in range(40):
+        for b in range(a):
+            both = there[:, a] & there[:, b]
+            n, k = both.sum(), y[both].sum()
+            zs = [(k - n * r) / np.sqrt(n * r * (1 - r) + 1) for c in (a, b) for r in [(y[there[:, c]].sum() + 1) / (there[:, c].sum() + 2)]]
+            if n >= X.PAIR_DOCS and min(map(abs, zs)) >= X.PAIR_Z and zs[0] * zs[1] > 0:
+                want |= {a, b}
+    assert set(X.pair_terms([np.flatnonzero(r).astype(np.int32) for r in there], y)) == want >= {3, 7}
+
+
+def test_words_are_hashed_anew_when_too_many(monkeypatch):
+    m = fit(sample(400, 3, lambda i, g: i and g))
+    texts = [t for _, t, _ in sample(60, 4, lambda i, g: i)]
+    want = m.scores(texts)
+    monkeypatch.setattr(X, "KEPT_WORDS", 50)
+    m.seen.clear(), m.known.clear()
+    assert m.scores(texts) == want == [m.score(t) for t in texts] and len(m.seen) < 150
+
+
+def test_a_repeated_labelled_document_is_trained_on_once(spark):
+    rows = [(1, f"text {k % 7}", "s") for k in range(500)] + [(2, "other words", "s")]
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], LABELS)
+    seen = []
+    fit_of, X.fit = X.fit, lambda r, y: seen.append((r, y)) or fit_of(r, y)
+    try:
+        X.train(docs_of(spark, rows), labels)
+    finally:
+        X.fit = fit_of
+    ((r, y),) = seen
+    assert len(r) == 2 and y.tolist() == [1.0, 0.0] and (r[0] == X.buckets_of("text 0")).all()
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     l = l.withColumn("held", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(4)) == 0)

@@ -5,8 +5,10 @@ inflected and compound forms). The score is ``b + sum(w_i) + sum over pairs of t
 what two terms say together, such as an insult beside the name of a group, which a linear model misses.
 
 Training takes at most ``train_rows`` labelled documents (those with the least hash of the id, so the same at each
-run) and uses the terms whose log odds between the classes are ``MIN_Z`` standard errors from zero; all others weigh
-nothing. Scoring covers all documents, whole texts, in one pass without a shuffle.
+run). Two kinds of terms are used: those whose own log odds between the classes are ``MIN_Z`` standard errors from zero, and
+those that tell something only together: of terms in ``PAIR_SHARE`` of the rows at least, all pairs are counted, and a pair
+is evidence if its rate of toxic documents is ``PAIR_Z`` standard errors from the rates of both its terms, to the same side.
+All others weigh nothing. Scoring covers all documents, whole texts of any length, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,18 +29,26 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Parameters: buckets of the hash, factors, most labelled rows to fit on, and the probability from which a document is toxic.
 BUCKETS, FACTORS, TRAIN_ROWS, THRESHOLD = 1 << 20, 8, 12_000, 0.5
 EPOCHS, BATCH, RATE, DECAY, MIN_DOCS, MIN_Z = 30, 64, 0.2, 1e-4, 3, 3.0
+PAIR_SHARE, PAIR_DOCS, PAIR_Z, TILE = 0.02, 20, 6.0, 512
+#: Words whose terms a worker keeps; beyond it starts anew.
+KEPT_WORDS = 1 << 20
+
+
+def terms_of(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}{k}" for k in (6, 5, 4) if len(word) >= k)]
+
+
+def words_of(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
+def _hashed_terms(names: list[str]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 def buckets_of(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a text's terms."""
-    words = set(WORD.findall(text.lower())) if text else set()
-    if not words:
-        return np.empty(0, np.int32)
-    six = {w[:6] for w in words}
-    five = {p[:5] for p in six}
-    names = [*words, *(f"{p}6" for p in six if len(p) == 6), *(f"{p}5" for p in five if len(p) == 5), *(f"{p[:4]}4" for p in {p[:4] for p in five} if len(p) == 4)]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    return np.unique((h % np.uint64(BUCKETS)).astype(np.int32))
+    return np.unique(_hashed_terms(list({t for w in words_of(text) for t in terms_of(w)})))
 
 
 @dataclass
@@ -53,17 +63,70 @@ class Machine:
     def __post_init__(self) -> None:
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[self.used] = np.arange(len(self.used), dtype=np.int32)
+        self.seen: set[str] = set()
+        self.known: dict[str, list[int]] = {}  # of the words seen, those with a term in use
+
+    def places_of(self, text: str) -> list[int]:
+        """Distinct places of a text's terms among those in use, sorted. A word is hashed when it is first seen."""
+        words = words_of(text)
+        if new := list(words - self.seen):
+            if len(self.seen) > KEPT_WORDS:
+                self.seen, self.known, new = set(), {}, list(words)
+            self.seen.update(new)
+            terms = [terms_of(w) for w in new]
+            at = self.place[_hashed_terms([t for own in terms for t in own])]
+            owner = np.repeat(np.arange(len(new)), [len(own) for own in terms])
+            for i in np.flatnonzero(at >= 0):
+                self.known.setdefault(new[owner[i]], []).append(int(at[i]))
+        return sorted({p for w in words & self.known.keys() for p in self.known[w]})
+
+    def scores(self, texts: list[str | None]) -> list[float | None]:
+        """Probabilities that texts are toxic; None for None."""
+        places = [[] if t is None else self.places_of(t) for t in texts]
+        doc, at = np.repeat(np.arange(len(texts)), [len(p) for p in places]), np.array([x for p in places for x in p], np.int64)
+        z, v = self.bias + np.bincount(doc, self.linear[at], len(texts)), self.factors[at]
+        for f in range(v.shape[1]):
+            z += 0.5 * (np.bincount(doc, v[:, f], len(texts)) ** 2 - np.bincount(doc, v[:, f] ** 2, len(texts)))
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return [None if t is None else float(x) for t, x in zip(texts, p)]
 
     def score(self, text: str | None) -> float | None:
-        """Probability that a text is toxic; None for None."""
-        if text is None:
-            return None
-        at = self.place[buckets_of(text)]
-        at = at[at >= 0]
-        v = self.factors[at]
-        total = v.sum(axis=0)
-        z = self.bias + self.linear[at].sum() + 0.5 * (total @ total - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return self.scores([text])[0]
+
+
+def pair_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets of the terms that are in a pair with evidence of its own. Terms of the same rows count once, by the first of them."""
+    n = len(rows)
+    count = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    often = np.flatnonzero(count >= max(PAIR_DOCS, PAIR_SHARE * n))
+    if len(often) < 2:
+        return np.empty(0, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[often] = np.arange(len(often), dtype=np.int32)
+    there = np.zeros((len(often), n), np.uint8)
+    for i, r in enumerate(rows):
+        p = place[r]
+        there[p[p >= 0], i] = 1
+    bits = np.packbits(there, axis=1)
+    del there
+    first = np.sort(np.unique([xxhash.xxh3_64_intdigest(b.tobytes()) for b in bits], return_index=True)[1])
+    often, bits = often[first], bits[first]
+    toxic = np.flatnonzero(y > 0)
+    docs = count[often].astype(np.float32)
+    tile = lambda a: np.unpackbits(bits[a : a + TILE], axis=1, count=n).astype(np.float32)
+    bad = np.concatenate([tile(a)[:, toxic].sum(axis=1) for a in range(0, len(often), TILE)])
+    rate = (bad + 1) / (docs + 2)
+    found = np.zeros(len(often), bool)
+    for a in range(0, len(often), TILE):
+        x = tile(a)
+        for b in range(a, len(often), TILE):
+            z = x if a == b else tile(b)
+            both, hit = x @ z.T, x[:, toxic] @ z[:, toxic].T
+            by = [(hit - both * r) / np.sqrt(both * r * (1 - r) + 1) for r in (rate[a : a + TILE, None], rate[None, b : b + TILE])]
+            pair = (both >= PAIR_DOCS) & (by[0] * by[1] > 0) & (np.abs(by[0]) >= PAIR_Z) & (np.abs(by[1]) >= PAIR_Z)
+            found[a : a + TILE] |= pair.any(axis=1)
+            found[b : b + TILE] |= pair.any(axis=0)
+    return often[found]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: int = 0) -> Machine:
@@ -78,7 +141,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: int
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (n_neg - neg + 0.5))
-    used = np.flatnonzero((pos + neg >= MIN_DOCS) & (np.abs(odds) >= MIN_Z * error)).astype(np.int32)
+    own = np.flatnonzero((pos + neg >= MIN_DOCS) & (np.abs(odds) >= MIN_Z * error))
+    used = np.union1d(own, pair_terms(rows, y)).astype(np.int32)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
@@ -91,8 +155,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: int
             n = np.array([len(rows[i]) for i in pick])
             t = np.concatenate([rows[i] for i in pick])
             doc = np.repeat(np.arange(len(pick)), n)
-            total = np.zeros((len(pick), factors))
-            np.add.at(total, doc, v[t])
+            total = np.stack([np.bincount(doc, v[t, f], len(pick)) for f in range(factors)], axis=1)
             z = b + np.bincount(doc, w[t], len(pick)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(doc, (v[t] ** 2).sum(axis=1), len(pick)))
             err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick]
             u, inv = np.unique(t, return_inverse=True)
@@ -115,17 +178,17 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on at most ``train_rows`` labelled documents. Null labels, ids or texts are left out; a label other than 0 is toxic."""
+    """Fit on at most ``train_rows`` labelled documents. Null labels, ids or texts are left out; a label other than 0 is toxic.
+    Rows that repeat a doc_id are one document, with its least text; labels that do are toxic if one of them is."""
     prepare(docs.sparkSession)
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    rows = (
-        docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id"))  # at most train_rows rows
-        .select(F.col("__id").alias("id"), "toxic", "text").mapInArrow(_hashed, "id bigint, toxic int, terms array<int>")
-    )
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # at most train_rows rows
+    rows = texts.select(F.col("__id").alias("id"), "toxic", "text").mapInArrow(_hashed, "id bigint, toxic int, terms array<int>")
     got = rows.toArrow().combine_chunks()
     ids, y, terms = got["id"].to_numpy(), got["toxic"].to_numpy().astype(np.float64), got["terms"].to_numpy()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(terms[i]), terms[i].tobytes()))  # rows arrive in no fixed order
+    order = np.argsort(ids)  # rows arrive in no fixed order
     return fit([terms[i] for i in order], y[order])
 
 
@@ -139,20 +202,21 @@ def scorer(docs: DataFrame, machine: Machine) -> F.Column:
         if not held:
             held.append(Machine(*sent.value))
         for texts in batches:
-            yield pd.Series([held[0].score(t) for t in texts], dtype="float64")
+            yield pd.Series(held[0].scores([None if t is None else t for t in texts]), dtype="float64")
 
     return probability(F.col("text").cast("string"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, toxic) for each row of ``docs``, repeated rows included. A null text has a null score and isn't
-    toxic; an empty text has the score of no words."""
+    toxic; an empty text has the score of no words, as has a table's every text where ``labels`` lacks a class. Other columns are not read."""
     score = scorer(docs, train(docs, labels))
     out = docs.select("doc_id", score.alias("score"))
     return out.select("doc_id", F.round("score", 6).alias("score"), F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that are toxic; rows with a null text stay."""
+    """``docs`` without the rows that are toxic, with all its columns, whatever their names; rows with a null text stay, and
+    rows that repeat are judged alike. An empty table stays empty."""
     score = scorer(docs, train(docs, labels))
     return docs.where(F.coalesce(score < threshold, F.lit(True)))
