@@ -42,6 +42,26 @@ def test_topk_mixed_postings():
     assert got == {(i, j) for i, j, _ in brute(rows, 4)}
 
 
+def test_topk_rows_that_repeat(spark):
+    """An id's least vector counts, whatever the order of the rows; a term's weights add up."""
+    rows = [(1, [0, 1], [1.0, 1.0]), (2, [1], [3.0]), (2, [0], [2.0]), (2, [0], [5.0]), (3, [1, 1, 2], [1.0, 1.5, 9.0]), (4, None, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, ROWS).repartition(3)
+        got = {(r["query_id"], r["neighbour_id"]): r["score"] for r in K.exact_topk(df, df, 3, 2, 2).collect()}
+        assert got[1, 2] == 2.0 and got[1, 3] == got[3, 1] == 2.5 and got[2, 3] == got[4, 1] == 0.0 and len(got) == 12
+
+
+def test_topk_blocks_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    n = [3, 0, 500, 1, 2, 700, 4, 4, 4]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(n))), pa.array([list(range(x)) for x in n], pa.list_(pa.int32())), pa.array([[1.0] * x for x in n], pa.list_(pa.float64()))], names=["id", "terms", "weights"])
+    for cut in (1, 4, 9):
+        ids = [np.frombuffer(r["ids"][0].as_py(), np.int64).tolist() for r in K._blocks(4, 2000)(iter([b.slice(k, cut) for k in range(0, len(n), cut)]))]
+        assert sum(ids, []) == list(range(len(n))) and all(len(x) == 1 or (len(x) <= 4 and sum(16 + 16 * n[i] for i in x) <= 2000) for x in ids)
+        assert [2] in ids and [5] in ids and [6, 7, 8] in ids
+
+
 def test_topk_edges(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]), (4, [None, 2.0]), (5, [])], "vec_id bigint, embedding array<float>").withColumns({c: F.lit(0) for c in ("id", "terms", "weights", "norm", "v", "e")})
     got = K.embedding_neighbours(e, 10).collect()

@@ -7,7 +7,8 @@ has every row of the block (as in dense embeddings) are taken together as one ma
 Each block's best k come from a partition selection, and a window merges the blocks' results.
 
 Every row is a query, every pair is scored, and no candidate is left out; the work is the product of queries and corpus.
-Blocks meet in a Cartesian product of partitions, so nothing is broadcast, and only k rows a query and block are shuffled.
+Blocks are inverted once and written to the checkpoint folder; they meet in a Cartesian product of partitions, so nothing is
+broadcast, and only k rows a query and block are shuffled. A block is bounded in rows and in bytes, so long vectors make smaller blocks.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import prepare
+from ..runtime import checkpoint, prepare
 
-K, QUERY_BLOCK, CORPUS_BLOCK, DENSE_CHUNK = 10, 8192, 16384, 1 << 22
-BLOCK = "ids binary, starts binary, terms binary, weights binary"
+K, BLOCK_ROWS, BLOCK_BYTES, DENSE_CHUNK = 10, 8192, 16 << 20, 1 << 22
+#: An inverted block: ids, sorted; distinct terms, sorted; the start of each term's postings, and their end; rows and weights of the postings.
+PARTS = {"ids": np.int64, "terms": np.int64, "starts": np.int64, "rows": np.int64, "weights": np.float64}
+Block = tuple[np.ndarray, ...]
 
 
 def sparse_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -35,71 +38,87 @@ def sparse_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.withColumn("e", F.when(F.col("norm") > 0, entries)).select("id", F.coalesce("e.t", F.array().cast("array<int>")).alias("terms"), F.coalesce("e.w", F.array().cast("array<double>")).alias("weights"))
 
 
-def _blocks(rows: int):
-    """mapInArrow function: packs up to ``rows`` rows (id, terms, weights) of a partition into one row of arrays."""
+def inverted(block: Block) -> Block:
+    """An inverted block of rows (ids, starts, terms, weights). A term that a row has several times counts with the sum of its weights."""
+    ids, starts, terms, weights = block
+    order = np.argsort(ids, kind="stable")  # among equal scores the least id comes first
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    row = np.repeat(place, np.diff(starts))
+    by = np.lexsort((row, terms))
+    row, term, weight = row[by], terms[by].astype(np.int64), weights[by].astype(np.float64)
+    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])))) if len(row) else np.empty(0, np.int64)
+    if len(new) < len(row):
+        row, term, weight = row[new], term[new], np.add.reduceat(weight, new)
+    names, first = np.unique(term, return_index=True)
+    return ids[order].astype(np.int64), names, np.append(first, len(term)).astype(np.int64), row, weight
+
+
+def _blocks(rows: int, size: int = BLOCK_BYTES):
+    """mapInArrow function: packs up to ``rows`` rows (id, terms, weights) of a partition, or about ``size`` bytes, into one row of an inverted block."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
-            ids = t["id"].to_numpy()
             terms, weights = (t[c].combine_chunks() for c in ("terms", "weights"))
-            lengths = terms.value_lengths().to_numpy(zero_copy_only=False)
-            cols = [ids.astype(np.int64), np.concatenate(([0], np.cumsum(lengths))).astype(np.int64), terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy().astype(np.float64)]
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["ids", "starts", "terms", "weights"])
+            starts = np.concatenate(([0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            block = inverted((t["id"].to_numpy(), starts, terms.flatten().to_numpy(), weights.flatten().to_numpy()))
+            return pa.RecordBatch.from_arrays([pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(block, PARTS.values())], names=list(PARTS))
 
-        held, n = [], 0
+        held, n, full = [], 0, 0
         for b in batches:
             while b.num_rows:
-                take = b.slice(0, rows - n)
-                held.append(take)
-                n += take.num_rows
-                b = b.slice(take.num_rows)
-                if n == rows:
+                sizes = full + np.cumsum(16 + 16 * b["terms"].value_lengths().to_numpy(zero_copy_only=False))
+                take = b.slice(0, max(int(n == 0), min(rows - n, int(np.searchsorted(sizes, size, side="right")))))
+                if take.num_rows:
+                    held.append(take)
+                    n, full = n + take.num_rows, int(sizes[take.num_rows - 1])
+                    b = b.slice(take.num_rows)
+                if b.num_rows or n == rows:
                     yield out(held)
-                    held, n = [], 0
+                    held, n, full = [], 0, 0
         if held:
             yield out(held)
 
     return pack
 
 
-def block_topk(queries: tuple[np.ndarray, ...], corpus: tuple[np.ndarray, ...], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def block_topk(queries: Block, corpus: Block, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, corpus ids, scores) of each query's best k of this block, a chunk of queries at a time; a row isn't its own neighbour
     (ids are equal). Queries and corpus: ids, starts, terms, weights."""
-    (qid, qs, qt, qw), (cid, cs, ct, cw) = queries, corpus
-    n = len(cid)
-    order = np.lexsort((cid,))  # among equal scores the least id comes first
-    row = np.repeat(np.arange(n), np.diff(cs))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    row, cid = place[row], cid[order]
-    by = np.lexsort((row, ct))
-    term, post_row, post_w = ct[by], row[by], cw[by]
-    names, first, length = np.unique(term, return_index=True, return_counts=True)
-    full = names[(length == n)]
-    dense = np.stack([post_w[a : a + n] for a in first[length == n]]) if len(full) else np.empty((0, n))
-    start = {int(t): (a, a + m) for t, a, m in zip(names, first, length) if m < n}
+    yield from inverted_topk(inverted(queries), inverted(corpus), k)
+
+
+def inverted_topk(queries: Block, corpus: Block, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    (qid, qt, qs, qr, qw), (cid, ct, cs, cr, cw) = queries, corpus
+    n, m = len(cid), min(k, len(cid))
+    _, in_q, in_c = np.intersect1d(qt, ct, assume_unique=True, return_indices=True)
+    every = (cs[in_c + 1] - cs[in_c]) == n
+    full, part = list(zip(in_q[every], in_c[every])), list(zip(in_q[~every], in_c[~every]))
+    dense = np.stack([cw[cs[j] : cs[j + 1]] for _, j in full]) if full else None
     step = max(1, DENSE_CHUNK // max(1, n))
     for a in range(0, len(qid), step):
         b = min(len(qid), a + step)
-        t, w = qt[qs[a] : qs[b]], qw[qs[a] : qs[b]]
-        owner = np.repeat(np.arange(b - a), np.diff(qs[a : b + 1]))
         scores = np.zeros((b - a, n))
-        if len(full):
-            at = np.minimum(np.searchsorted(full, t), len(full) - 1)
-            hit = full[at] == t
+
+        def chunk(i: int) -> tuple[np.ndarray, np.ndarray]:  # queries of the chunk that have a term, and their weights
+            lo, hi = qs[i] + np.searchsorted(qr[qs[i] : qs[i + 1]], (a, b))
+            return qr[lo:hi] - a, qw[lo:hi]
+
+        if full:
             q = np.zeros((b - a, len(full)))
-            q[owner[hit], at[hit]] = w[hit]
+            for f, (i, _) in enumerate(full):
+                own, w = chunk(i)
+                q[own, f] = w
             scores += q @ dense
-            t, w, owner = t[~hit], w[~hit], owner[~hit]
-        for o, x, y in zip(owner.tolist(), t.tolist(), w.tolist()):
-            if x in start:
-                lo, hi = start[x]
-                scores[o, post_row[lo:hi]] += y * post_w[lo:hi]
-        own = np.minimum(np.searchsorted(cid, qid[a:b]), n - 1)
-        same = np.flatnonzero(cid[own] == qid[a:b])
-        scores[same, own[same]] = -np.inf
-        m = min(k, n)
+        for i, j in part:  # term by term: each query's weight times the postings is scattered into its scores
+            own, w = chunk(i)
+            if len(own):
+                lo, hi = cs[j], cs[j + 1]
+                scores[own[:, None], cr[None, lo:hi]] += w[:, None] * cw[lo:hi]
+        at = np.minimum(np.searchsorted(cid, qid[a:b]), n - 1)
+        same = np.flatnonzero(cid[at] == qid[a:b])
+        scores[same, at[same]] = -np.inf
         # All that can be among the first m once rounded; then by falling score, the least id first.
         cut = np.partition(scores, n - m, axis=1)[:, n - m]
         r, c = np.nonzero(scores >= cut[:, None] - 2e-9)
@@ -112,29 +131,32 @@ def block_topk(queries: tuple[np.ndarray, ...], corpus: tuple[np.ndarray, ...],
         yield qid[a:b][r[first]], cid[c[first]], v[first]
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = K, query_block: int = BLOCK_ROWS, corpus_block: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, neighbour_id, rank, score): the k rows of ``corpus`` with the largest dot product for each row of ``queries``, both
-    (id bigint, terms array<int>, weights array<double>).
+    (id bigint, terms array<int>, weights array<double>); other columns are not read.
 
-    Scores are rounded to 9 places; ties are ranked by neighbour_id. A row isn't its own neighbour. A row without terms scores 0 with all.
-    Rows of null id are left out, and rows that repeat an id are one row (any of them). With fewer than k others
-    a query gets them all; an empty table gives no rows.
+    Scores are rounded to 9 places; ties are ranked by neighbour_id. A row isn't its own neighbour. A row without terms (null or empty)
+    scores 0 with all; a term that a row repeats counts with the sum of its weights. Rows of null id are left out; of rows that repeat an id
+    the least (terms, weights) counts. With fewer than k others a query gets them all; an empty table gives no rows. Vectors of any length are taken whole.
     """
     prepare(corpus.sparkSession)
 
-    def packed(df: DataFrame, rows: int, prefix: str) -> DataFrame:
-        rows_of = df.where("id is not null").dropDuplicates(["id"])  # its shuffle by id also spreads the rows over partitions
-        return rows_of.mapInArrow(_blocks(rows), BLOCK).select([F.col(c).alias(prefix + c) for c in ("ids", "starts", "terms", "weights")])
+    def packed(df: DataFrame, rows: int) -> DataFrame:
+        least = df.where("id is not null").groupBy("id").agg(F.min(F.struct(*(F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("terms", "int"), ("weights", "double"))))).alias("v"))
+        rows_of = least.select("id", "v.terms", "v.weights")  # the shuffle by id also spreads the rows over partitions
+        return checkpoint(rows_of.mapInArrow(_blocks(rows), ", ".join(f"{c} binary" for c in PARTS)))  # else each pair of blocks would make both anew
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.int64, np.int64, np.float64)
         for b in batches:
             for i in range(b.num_rows):
-                q, c = ([np.frombuffer(b.column(s + j)[i].as_buffer(), kinds[j]) for j in range(4)] for s in (0, 4))
-                for found in block_topk(tuple(q), tuple(c), k):
+                q, c = (tuple(np.frombuffer(b.column(s + j)[i].as_buffer(), kind) for j, kind in enumerate(PARTS.values())) for s in (0, len(PARTS)))
+                for found in inverted_topk(q, c, k):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "neighbour_id", "score"])
 
-    pairs = packed(queries, query_block, "q_").crossJoin(packed(corpus, corpus_block, "c_"))
+    asked = packed(queries, query_block)
+    there = asked if queries is corpus and query_block == corpus_block else packed(corpus, corpus_block)
+    named = lambda df, prefix: df.select([F.col(c).alias(prefix + c) for c in PARTS])
+    pairs = named(asked, "q_").crossJoin(named(there, "c_"))
     found = pairs.mapInArrow(search, "query_id bigint, neighbour_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbour_id", "rank", F.round("score", 6).alias("score"))
