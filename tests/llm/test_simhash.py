@@ -45,6 +45,29 @@ def test_near_copies_are_found(spark):
     assert {r["group_id"] for r in S.near_duplicates(docs).collect()} == {0}
 
 
+def test_an_anchor_that_many_have_is_cut(spark):
+    """With cells of any size every pair of a hot anchor still meets: the groups are those of one shard."""
+    shared = [f"{text(7, 300)} {text(800 + k, 12)}" for k in range(60)]
+    docs = docs_of(spark, [(k, t, "s") for k, t in enumerate([*shared, *(text(900 + k, 90) for k in range(20)), *shared[:30]])])
+    groups = lambda cell: sorted(tuple(r) for r in S.near_duplicate_groups(docs, cell=cell).collect())
+    assert groups(1) == groups(7) == groups(1 << 14) and len(groups(7)) >= 89 - 20
+    rng = np.random.default_rng(2)
+    rows = [(k, *(int(x) for x in rng.integers(0, 9, S.LANES)), [1, 2] if k % 3 else [1]) for k in range(50)]
+    found = spark.createDataFrame(rows, ", ".join(["doc_id long", *(f"{h} long" for h in S.HASH), "anchors array<long>"]))
+    for cell in (5, 50):
+        met = {(a["doc_id"], b["doc_id"]) for own in [S._shards(found, cell).collect()] for a in own for b in own if a["shard"] == b["shard"]}
+        assert met == {(a, b) for a in range(50) for b in range(50)}
+
+
+def test_of_rows_that_repeat_an_id_the_least_stays(spark):
+    rows = [(1, text(1), "b"), (1, text(1), "a"), (1, text(2), "a"), (2, text(3), "a")]
+    want = min(t for i, t, _ in rows if i == 1)
+    for order in (rows, rows[::-1]):
+        got = S.drop_near_duplicates(docs_of(spark, order).repartition(3)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, want), (2, text(3))]
+        assert want != text(1) or [r["source"] for r in got if r["doc_id"] == 1] == ["a"]
+
+
 def test_large_group_of_copies(spark):
     base = text(8, 200)
     docs = docs_of(spark, [(k, base if k % 2 else edited(base, k, 0.03), "s") for k in range(1500)])

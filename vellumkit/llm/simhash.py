@@ -10,7 +10,11 @@ Copies share most shingles, so they meet in at least one shard (two texts with a
 with a probability of about 2**-8). A tree goes to the tasks that search it by shuffle, not by broadcast, as trees grow
 with the corpus. Within a shard every document is a query and no neighbour is cut off.
 
-Cost: one scan of the texts, a shuffle of ``anchors`` x 48 bytes a document, and a few rounds over the edges.
+Documents of the same hash and anchors are joined to the least of them first, and only that one is searched. An anchor that
+more than ``CELL`` others have is cut into parts, and each two parts are a shard of their own: every pair still meets, while no task
+holds more than two parts.
+
+Cost: one scan of the texts, a shuffle of 120 bytes a document and one of ``anchors`` x 48, and a few rounds over the edges.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import checkpoint, join_checked, prepare
 
-BITS, RADIUS, ANCHORS = 256, 40, 8
+BITS, RADIUS, ANCHORS, CELL = 256, 40, 8, 1 << 14
 LANES = BITS // 64
+HASH = [f"h{j}" for j in range(LANES)]
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -58,11 +63,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h, a = signature(t.as_py())
             ids.append(i), hashes.append(h), anchor.append(a), n.append(len(a))
-        hashes = np.repeat(np.array(hashes, np.uint64).reshape(-1, LANES), n, axis=0).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(anchor).view(np.int64) if anchor else np.empty(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), n)), *(pa.array(hashes[:, j]) for j in range(LANES))],
-            names=["anchor", "doc_id", *(f"h{j}" for j in range(LANES))],
-        )
+        hashes = np.array(hashes, np.uint64).reshape(-1, LANES).view(np.int64)
+        ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        anchors = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(anchor).view(np.int64) if anchor else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(hashes[:, j])) for j in range(LANES)), anchors], names=["doc_id", *HASH, "anchors"])
 
 
 def _lower_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -83,7 +87,8 @@ def _distance(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tree_components(shard: np.ndarray, h: np.ndarray, radius: int, chunk: int = 1 << 20) -> np.ndarray:
     """Build the BK-tree of each shard (rows sorted by ``shard``), search it for each row, and return for each row the
-    least row of its component. All trees grow and are searched level by level, as arrays."""
+    least row of its component. All trees grow and are searched level by level, as arrays. A row looks for the neighbours
+    before it, as the others find it: what is below a node comes after it, so a search leaves off at nodes after the row."""
     n = len(shard)
     label = np.arange(n)
     if not n:
@@ -120,8 +125,9 @@ def tree_components(shard: np.ndarray, h: np.ndarray, radius: int, chunk: int =
         lo = np.searchsorted(key, v * span + np.maximum(d - radius, 0))
         many = np.searchsorted(key, v * span + np.minimum(d + radius, BITS), side="right") - lo
         if total := int(many.sum()):
-            place = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)
-            todo.append((np.repeat(q, many), child[place]))
+            q = np.repeat(q, many)
+            v = child[np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)]
+            todo.append((q[before := v < q], v[before]))
     return label
 
 
@@ -177,16 +183,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
         cur = checkpoint(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _shards(found: DataFrame, cell: int) -> DataFrame:
+    """(shard, doc_id, hash): a row for each anchor; for an anchor that more than ``cell`` rows have, one for each two parts that the row's is of."""
+    rows = found.select(F.explode("anchors").alias("shard"), "doc_id", *HASH)
+    hot = checkpoint(rows.groupBy("shard").count().where(F.col("count") > cell).select(F.col("shard").alias("hot"), F.ceil(F.col("count") / cell).cast("int").alias("parts")))
+    if not hot.take(1):
+        return rows
+    marked = join_checked(rows, hot, F.col("shard") == F.col("hot"), "left", 100)
+    part, other = F.pmod(F.xxhash64("doc_id"), "parts"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = marked.where("hot is not null").select("shard", "doc_id", *HASH, part.alias("part"), other)
+    cells = cells.select(F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard"), "doc_id", *HASH)
+    return marked.where("hot is null").select("shard", "doc_id", *HASH).unionByName(cells)
+
+
+def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """(doc_id, group_id) of the documents that have a near duplicate; group_id is the least doc_id of the group, so the
     row of the document that stays isn't listed.
 
-    Rows that repeat a doc_id are one document. A null doc_id or text has no duplicates. Texts without any word
-    (empty ones too) are duplicates only if they are equal. Texts of any length are hashed whole. Other columns are not read.
+    Rows that repeat a doc_id are one document, whose texts are all searched. A null doc_id or text has no duplicates. Texts without any
+    word (empty ones too) are duplicates only if they are equal. Texts of any length are hashed whole. Other columns are not read.
     """
     prepare(docs.sparkSession)
-    sigs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, "anchor bigint, doc_id bigint, " + ", ".join(f"h{j} bigint" for j in range(LANES)))
-    edges = sigs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _search(it, radius), "u bigint, v bigint")
+    kinds = ", ".join(["doc_id bigint", *(f"{h} bigint" for h in HASH), "anchors array<bigint>"])
+    sigs = checkpoint(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, kinds))
+    same = checkpoint(sigs.groupBy(*HASH, "anchors").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    copies = same.where("n > 1").select(*(F.col(h).alias(f"c{h}") for h in HASH), F.col("anchors").alias("ca"), "least")
+    on = [F.col(h) == F.col(f"c{h}") for h in HASH] + [F.col("anchors") == F.col("ca")]
+    equal = join_checked(sigs, copies, on, "inner", 200).select(F.col("doc_id").alias("u"), F.col("least").alias("v")).where("u <> v")
+    shards = _shards(same.withColumnRenamed("least", "doc_id"), cell)
+    edges = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _search(it, radius), "u bigint, v bigint")
+    edges = edges.unionByName(equal)
     return connected_components(edges)
 
 
@@ -199,11 +225,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least doc_id, as it is. Of rows that repeat a doc_id
-    one stays; rows with a null doc_id all stay."""
+    """``docs`` with one document of each group, the one with the least doc_id, as it is, with all its columns, whatever their names.
+    Of rows that repeat a doc_id the one of the least text stays (of those, the least as JSON); rows with a null doc_id all stay."""
     gone = near_duplicate_groups(docs, radius).select(F.col("doc_id").alias("__gone"))
     again = checkpoint(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
     kept = join_checked(docs, gone, docs["doc_id"] == gone["__gone"], "left_anti", 80)
+    if not again.take(1):
+        return kept
     once = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_anti", 80)
-    repeated = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_semi", 80).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated) if again.take(1) else kept
+    repeated = join_checked(kept, again, kept["doc_id"] == again["__again"], "left_semi", 80)
+    nth = next(n for n in (f"__nth{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns))))
+    return once.unionByName(repeated.withColumn(nth, first).where(F.col(nth) == 1).drop(nth))
