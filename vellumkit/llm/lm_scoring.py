@@ -116,12 +116,15 @@ def size_of(raw: bytes, by: zstandard.ZstdCompressor) -> int:
 _ready: dict[str, list[zstandard.ZstdCompressor]] = {}
 
 
-def _digested(token: str, sent: Broadcast) -> list[zstandard.ZstdCompressor]:
+def _digested(token: str, sent: list[Broadcast]) -> list[zstandard.ZstdCompressor]:
     """The compressors of a run, which a worker keeps from task to task, as digesting takes as long as the dictionaries are."""
     if token not in _ready:
         _ready.clear()
-        _ready[token] = [compressor(content) for content in sent.value]
-        vars(sent).pop("_value", None)  # zstandard has its own copy
+        made = []
+        for one in sent:  # in turn, so that of the contents as they were sent a worker holds one at most
+            made.append(compressor(one.value))
+            vars(one).pop("_value", None)  # zstandard has its own copy
+        _ready[token] = made
     return _ready[token]
 
 
@@ -133,7 +136,7 @@ def lm_scores(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     counts = checkpoint(word_counts(docs, in_domain))
-    sent, token = spark.sparkContext.broadcast((dictionary(counts, "n_in"), dictionary(counts, "n_all"))), uuid.uuid4().hex
+    sent, token = [spark.sparkContext.broadcast(dictionary(counts, c)) for c in ("n_in", "n_all")], uuid.uuid4().hex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, general = _digested(token, sent)
