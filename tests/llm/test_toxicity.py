@@ -64,11 +64,11 @@ def test_pairs_against_brute_force():
     assert set(X.pair_terms([np.flatnonzero(r).astype(np.int32) for r in there], y)) == want >= {3, 7}
 
 
-def test_words_are_hashed_anew_when_too_many(monkeypatch):
+def test_tokens_are_hashed_anew_when_too_many(monkeypatch):
     m = fit(sample(400, 3, lambda i, g: i and g))
     texts = [t for _, t, _ in sample(60, 4, lambda i, g: i)]
     want = m.scores(texts)
-    monkeypatch.setattr(X, "KEPT_WORDS", 50)
+    monkeypatch.setattr(X, "KEPT_TOKENS", 50)
     m.seen.clear(), m.known.clear()
     assert m.scores(texts) == want == [m.score(t) for t in texts] and len(m.seen) < 150
 
@@ -105,6 +105,12 @@ def test_score_is_the_formula():
     assert m.score(None) is None and m.score("") == pytest.approx(1 / (1 + np.exp(-m.bias)))
 
 
+def test_tokens_are_cut_into_the_same_words():
+    m = X.Machine(0.0, np.arange(X.BUCKETS, dtype=np.int32), np.zeros(X.BUCKETS), np.zeros((X.BUCKETS, 1)))
+    for t in ("a-b c_d, e2f  x\u00b2y \u0130\u00df\u3000end", "", " ", "idiot!idiotic(Idioten)", "\u91cf\u5b50 1a\x1cb"):
+        assert m.places_of(t) == X.buckets_of(t).tolist()
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (5, 1, 0), (6, 1, None), (None, 1, 1), (1, 0, 1)], LABELS)

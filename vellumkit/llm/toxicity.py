@@ -29,9 +29,9 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Parameters: buckets of the hash, factors, most labelled rows to fit on, and the probability from which a document is toxic.
 BUCKETS, FACTORS, TRAIN_ROWS, THRESHOLD = 1 << 20, 8, 12_000, 0.5
 EPOCHS, BATCH, RATE, DECAY, MIN_DOCS, MIN_Z = 30, 64, 0.2, 1e-4, 3, 3.0
-PAIR_SHARE, PAIR_DOCS, PAIR_Z, TILE = 0.02, 20, 6.0, 512
-#: Words whose terms a worker keeps; beyond it starts anew.
-KEPT_WORDS = 1 << 20
+PAIR_SHARE, PAIR_DOCS, PAIR_Z, TILE = 0.02, 20, 8.0, 512
+#: Tokens (what white space separates) whose terms a worker keeps; beyond that it starts anew.
+KEPT_TOKENS = 1 << 20
 
 
 def terms_of(word: str) -> list[str]:
@@ -64,21 +64,21 @@ class Machine:
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[self.used] = np.arange(len(self.used), dtype=np.int32)
         self.seen: set[str] = set()
-        self.known: dict[str, list[int]] = {}  # of the words seen, those with a term in use
+        self.known: dict[str, list[int]] = {}  # of the tokens seen, those with a term in use
 
     def places_of(self, text: str) -> list[int]:
-        """Distinct places of a text's terms among those in use, sorted. A word is hashed when it is first seen."""
-        words = words_of(text)
-        if new := list(words - self.seen):
-            if len(self.seen) > KEPT_WORDS:
-                self.seen, self.known, new = set(), {}, list(words)
+        """Distinct places of a text's terms among those in use, sorted. A token is cut into words and hashed when it is first seen."""
+        tokens = set(text.lower().split())
+        if new := list(tokens - self.seen):
+            if len(self.seen) > KEPT_TOKENS:
+                self.seen, self.known, new = set(), {}, list(tokens)
             self.seen.update(new)
-            terms = [terms_of(w) for w in new]
+            terms = [[t for w in WORD.findall(x) for t in terms_of(w)] for x in new]
             at = self.place[_hashed_terms([t for own in terms for t in own])]
             owner = np.repeat(np.arange(len(new)), [len(own) for own in terms])
             for i in np.flatnonzero(at >= 0):
                 self.known.setdefault(new[owner[i]], []).append(int(at[i]))
-        return sorted({p for w in words & self.known.keys() for p in self.known[w]})
+        return sorted({p for x in tokens & self.known.keys() for p in self.known[x]})
 
     def scores(self, texts: list[str | None]) -> list[float | None]:
         """Probabilities that texts are toxic; None for None."""
