@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,75 @@ def test_draws_of_any_size():
     assert abs(x - 4 * 10**9) < 10**6
 
 
+@pytest.mark.parametrize("good,bad,want", [(9, 4, 5), (3, 50, 20), (40, 1, 30), (10**9, 10**9, 400_000), (3 * 10**9, 10**9, 3_999_900_000)])
+def test_draws_by_inversion_have_the_right_probabilities(good, bad, want):
+    """Chi-square against the probabilities from binomial coefficients (log-gamma for large ones)."""
+    lo, hi = max(0, want - bad), min(good, want)
+    mean, sd = want * good / (good + bad), (want * good * bad * (good + bad - want) / (good + bad) ** 2 / (good + bad - 1)) ** 0.5
+    lo, hi = max(lo, int(mean - 9 * sd)), min(hi, int(mean + 9 * sd) + 1)
+    ln = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    p = np.array([ln(good, k) + ln(bad, want - k) for k in range(lo, hi + 1)])
+    p = np.exp(p - p.max())
+    cuts = np.searchsorted(np.cumsum(p) / p.sum(), np.arange(1, 12) / 12)
+    part = np.bincount(np.searchsorted(cuts, np.arange(len(p)), side="left"), p, 13)
+    n = 4000
+    x = np.array([M.inverse(u, good, bad, want, 512) for u in np.random.default_rng(5).random(n)])
+    assert lo <= x.min() and x.max() <= hi
+    got, due = np.bincount(np.searchsorted(cuts, x - lo, side="left"), minlength=13), n * part / part.sum()
+    assert ((got - due)[due > 0] ** 2 / due[due > 0]).sum() < 35  # 0.9995 of chi-square with 12 degrees
+    if hi - lo < 40:  # each outcome has its own probability
+        for k, q in zip(range(lo, hi + 1), p / p.sum()):
+            assert abs((x == k).mean() - q) < 4.5 * (q * (1 - q) / n) ** 0.5 + 1e-9
+
+
+def test_large_trees_deal_exactly():
+    t = M.Tree([3 * 10**9, 10**9, 7], 4, 1)
+    left = t.left(0, 4, t.quota)
+    assert left.sum() == t.quota.sum() // 2 and (left >= 0).all() and (left <= t.quota).all()
+    assert t.shard_of(0, np.array([0, 3 * 10**9 - 1])).tolist() == [0, 3]
+
+
+def test_mixture_without_the_tree(spark):
+    """The whole query by plain recursion: halves of the shards get a draw for each source, from a generator seeded by the node."""
+    d = docs(spark)
+    quota = M.quotas(SIZES, WEIGHTS, 0.25, 8)
+    names = sorted(quota, key=lambda s: (s is not None, s or ""))
+    dealt: dict[int, list[int]] = {}
+
+    def deal(lo, hi, here):
+        if hi - lo == 1:
+            dealt[lo] = here
+            return
+        mid, total = (lo + hi) // 2, sum(here)
+        rng, want, rest, left = np.random.default_rng([M.SEED, lo, hi]), total * ((lo + hi) // 2 - lo) // (hi - lo), total, []
+        for n in here:
+            rest -= n
+            left.append(int(rng.hypergeometric(n, rest, want)) if n and want and rest else want if n and want else 0)
+            want -= left[-1]
+        deal(lo, mid, left)
+        deal(mid, hi, [a - b for a, b in zip(here, left)])
+
+    deal(0, -(-sum(quota.values()) // 32), [quota[s] for s in names])
+    key = lambda seed: {r["doc_id"]: r["k"] for r in d.select("doc_id", M.mixed_key("doc_id", seed).alias("k")).collect()}
+    first, second, want = key(M.SEED), key(M.SEED + 1), {}
+    for k, s in enumerate(names):
+        ids = sorted((r["doc_id"] for r in d.where(F.col("source").eqNullSafe(s)).select("doc_id").collect()), key=lambda i: (first[i], i))
+        blocks = iter([ids[a : a + 8] for a in range(0, len(ids), 8)])
+        for shard in sorted(dealt):
+            want |= {i: shard for _ in range(dealt[shard][k]) for i in next(blocks)}
+    place = {}
+    for shard in dealt:
+        place |= {i: p for p, i in enumerate(sorted((i for i in want if want[i] == shard), key=lambda i: (second[i], i)))}
+    got = M.mixture(d, WEIGHTS, 0.25, 8, 32).collect()
+    assert {r["doc_id"]: (r["shard"], r["position"]) for r in got} == {i: (want[i], place[i]) for i in want}
+
+
+def test_a_stray_row_does_not_size_the_mixture():
+    assert M.quotas({"a": 10**6, "b": 10**6, None: 1}, {}) == {"a": 62_500, "b": 62_500, None: 1}
+    q = M.quotas({"src0": 10**9, "src3": 10**9, "src4": 10**9, None: 1})
+    assert sum(q.values()) * M.BLOCK > 0.99 * 2 * 10**9  # all that weights of 2, 1 and 1 allow
+
+
 def test_mixture_against_brute_force(spark):
     d = docs(spark)
     got = M.mixture(d, WEIGHTS, 0.25, 8, 32).toPandas()

@@ -51,6 +51,35 @@ def quotas(counts: dict[str | None, int], weights: dict[str, float] = WEIGHTS, r
     return {s: have[s] if s in scarce else min(have[s], max(1, int(t * w))) for s, w in weight.items()}
 
 
+def inverse(u: float, good: int, bad: int, want: int, step: int = 1 << 16) -> int:
+    """The hypergeometric draw at ``u`` in [0, 1), by inversion, for populations of any size.
+
+    Weights relative to the mode follow from the exact ratio of neighbours, in both directions until they vanish in a double, so about
+    80 standard deviations of them. They are summed outwards from the mode, which orders the outcomes in another way than by size
+    but gives each its own probability.
+    """
+    least, most = max(0, want - bad), min(good, want)
+    mode = min(max((good + 1) * (want + 1) // (good + bad + 2), least), most)
+    tails: list[tuple[int, int, np.ndarray]] = [(mode, 1, np.ones(1))]
+    for way in (1, -1):
+        at, level = mode, 0.0
+        while level > -800 and (n := min(step, (most - at) if way > 0 else (at - least))):
+            k = np.arange(n, dtype=np.float64)
+            if way > 0:  # p(x + 1) / p(x) for x = at, at + 1, ...
+                up, down = (good - at - k) * (want - at - k), (at + 1 + k) * (bad - want + at + 1 + k)
+            else:  # p(x - 1) / p(x) for x = at, at - 1, ...
+                up, down = (at - k) * (bad - want + at - k), (good - at + 1 + k) * (want - at + 1 + k)
+            logs = level + np.cumsum(np.log(up) - np.log(down))
+            tails.append((at + way, way, np.exp(logs)))
+            at, level = at + way * n, float(logs[-1])
+    left = u * float(np.sum([t.sum() for _, _, t in tails]))
+    for start, way, t in tails:
+        if left < (total := float(t.sum())):
+            return start + way * min(int(np.searchsorted(np.cumsum(t), left, side="right")), len(t) - 1)
+        left -= total
+    return mode
+
+
 class Tree:
     """Splitting tree of quotas (in a fixed order of sources) over ``shards`` shards."""
 
@@ -80,11 +109,9 @@ class Tree:
             return 0
         if bad == 0:
             return want
-        if good + bad < 10**9:
+        if good + bad < 10**9:  # what the generator takes
             return int(rng.hypergeometric(good, bad, want))
-        n, p = good + bad, good / (good + bad)  # at this size the normal limit is exact to far less than a block in a million
-        x = round(rng.normal(want * p, np.sqrt(want * p * (1 - p) * (n - want) / (n - 1))))
-        return min(max(x, want - bad, 0), good, want)
+        return inverse(float(rng.random()), good, bad, want)
 
     def shard_of(self, source: int, blocks: np.ndarray) -> np.ndarray:
         """Shard of each block number of a source; the numbers are below its quota."""
@@ -109,8 +136,8 @@ class Tree:
 
 
 def _plan(docs: DataFrame, weights: dict[str, float], rest: float, block: int, seed: int) -> tuple[DataFrame, dict[str | None, int]]:
-    """Documents with their rank in their source, and the quotas. The number of sources is small; their counts are all
-    that comes to the driver."""
+    """Documents with their rank in their source, and the quotas. A count for each source comes to the driver, and a node of
+    the tree has a number for each: thousands of sources are fine, a source for each web domain isn't meant."""
     prepare(docs.sparkSession)
     ids = sources_of(docs, seed)
     counts = {r["source"]: r["n"] for r in ids.groupBy("source").agg(F.count("*").alias("n")).collect()}
@@ -147,12 +174,14 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, rest: floa
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = REST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that are in the mixture, as they are: those up to their source's last drawn (key, doc_id), so
-    only a cut for each source goes out and no text is moved. Rows that repeat a doc_id are kept or dropped together."""
+    """The rows of ``docs`` that are in the mixture, as they are, with all their columns, whatever their names: those up to their
+    source's last drawn (key, doc_id), so only a cut for each source goes out and no text is moved. Rows that repeat a doc_id with one
+    source are kept or dropped together, as are those of a null doc_id; a null source is a source of its own; nulls in other
+    columns and texts of any length don't matter. An empty table stays empty."""
     ranked, quota = _plan(docs, WEIGHTS if weights is None else weights, rest, block, seed)
     spark = docs.sparkSession
     q = spark.createDataFrame([(s, n * block) for s, n in quota.items()], "q_source string, q_rows bigint")
-    cut = ranked.join(F.broadcast(q), F.col("source").eqNullSafe(F.col("q_source")))  # a row for each source
+    cut = join_checked(ranked, q, F.col("source").eqNullSafe(F.col("q_source")), "inner", 100)
     cut = cut.where(F.col("rank") < F.col("q_rows")).groupBy("source").agg(F.max(F.struct(F.coalesce("key", F.lit(-1)).alias("k"), F.coalesce("doc_id", F.lit(-(2**63))).alias("i"))).alias("__cut"))
     name, cut_name = (min(n for n in (f"__{x}{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("source", "cut"))
     cut = checkpoint(cut.withColumnsRenamed({"source": name, "__cut": cut_name}))
