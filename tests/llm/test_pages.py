@@ -17,6 +17,31 @@ def test_urls(url, want):
     assert U.judge(url, AUTO) == want
 
 
+@pytest.mark.parametrize("url,rejected", [("http://m.casino-win.example.com/en", True), ("https://free-bets.example.com", True), ("http://www.cheap-pills.example.com", True), ("https://m.ads-track.example.com", True), ("http://spam-farm.example.net", True), ("http://adult-x.example.net", True),
+    ("http://free-win.example.com", False), ("http://a.com/live%2Dsex", True), ("http://a.com/%70%6F%72n", True), ("http://a.com/100%free", False), ("http://a.com/%", False), ("http://a.com/caf%C3%A9/poker%20bets", True), ("https://www.ththing.example.net/en/7442.html", False)])
+def test_which_urls_go(url, rejected):
+    assert U.judge(url, AUTO)[4] == rejected
+
+
+def test_vocabulary_of_the_caller(spark):
+    pages = spark.createDataFrame([(1, "http://bad.com"), (2, "http://x.com/one-two"), (3, "http://x.com/three_one"), (4, None)], "page_id bigint, url string")
+    got = lambda *a: {r["page_id"] for r in U.url_filter(pages, *a).where("rejected").collect()}
+    terms = {"bad": None, "one": 0.5, "two": 0.5, "three": 0.1, "--": None}
+    assert got(terms) == {1, 2} and got(terms, 2, 0.0) == {1, 2, 3} and got(terms, 3) == {1} and got({}) == set()
+
+
+def test_url_sql_over_escapes(spark):
+    import duckdb
+
+    from ..oracle import rows
+
+    urls = [None, "", "http://a.com/live%2Dsex", "http://a.com/%70%6F%72n", "http://a.com/100%free-%2", "%", "http://a.com/caf%C3%A9/Poker%20BETS", "sex%%36%31adult", "x%2561y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert rows(U.url_filter(pages).toPandas()) == rows(con.sql(U.oracle_sql()).df())
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/sex/adult", None), (1, "http://a.com/sex/adult", "x"), (None, None, "<p>hi"), (2, "", "")], "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("rejected", "soft_hits", "j", "text", "x", "threshold")})
     got = U.url_filter(pages).collect()
