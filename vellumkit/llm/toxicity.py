@@ -32,6 +32,8 @@ EPOCHS, BATCH, RATE, DECAY, MIN_DOCS, MIN_Z = 30, 64, 0.2, 1e-4, 3, 3.0
 PAIR_SHARE, PAIR_DOCS, PAIR_Z, TILE = 0.02, 20, 8.0, 512
 #: Tokens (what white space separates) whose terms a worker keeps; beyond that it starts anew.
 KEPT_TOKENS = 1 << 20
+#: Texts that are scored at once.
+SCORED = 256
 
 
 def terms_of(word: str) -> list[str]:
@@ -51,6 +53,18 @@ def buckets_of(text: str | None) -> np.ndarray:
     return np.unique(_hashed_terms(list({t for w in words_of(text) for t in terms_of(w)})))
 
 
+class Tokens(dict):
+    """Numbers the tokens that are looked up, in the order in which they are met; ``new`` are those that were met since it was emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        self.new.append(token)
+        return n
+
+
 @dataclass
 class Machine:
     """bias; the buckets in use, sorted; their linear weights and their factors [used, FACTORS]."""
@@ -63,32 +77,50 @@ class Machine:
     def __post_init__(self) -> None:
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[self.used] = np.arange(len(self.used), dtype=np.int32)
-        self.seen: set[str] = set()
-        self.known: dict[str, list[int]] = {}  # of the tokens seen, those with a term in use
-
-    def places_of(self, text: str) -> list[int]:
-        """Distinct places of a text's terms among those in use, sorted. A token is cut into words and hashed when it is first seen."""
-        tokens = set(text.lower().split())
-        if new := list(tokens - self.seen):
-            if len(self.seen) > KEPT_TOKENS:
-                self.seen, self.known, new = set(), {}, list(tokens)
-            self.seen.update(new)
-            terms = [[t for w in WORD.findall(x) for t in terms_of(w)] for x in new]
-            at = self.place[_hashed_terms([t for own in terms for t in own])]
-            owner = np.repeat(np.arange(len(new)), [len(own) for own in terms])
-            for i in np.flatnonzero(at >= 0):
-                self.known.setdefault(new[owner[i]], []).append(int(at[i]))
-        return sorted({p for x in tokens & self.known.keys() for p in self.known[x]})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.tokens, self.ends, self.known = Tokens(), np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def _learn(self) -> None:
+        """Cut the new tokens into words and hash their terms; ``known[ends[k]:ends[k + 1]]`` are the places of token k's terms in use."""
+        new, self.tokens.new = self.tokens.new, []
+        terms = [[t for w in WORD.findall(x) for t in terms_of(w)] for x in new]
+        at = self.place[_hashed_terms([t for own in terms for t in own])]
+        owner = np.repeat(np.arange(len(new)), [len(own) for own in terms])[at >= 0]
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))))
+        self.known = np.concatenate((self.known, at[at >= 0]))
+
+    def places_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of the distinct terms in use, sorted. A token is hashed when it is first met."""
+        if len(self.tokens) > KEPT_TOKENS:
+            self._forget()
+        ids, n = [], []
+        for t in texts:
+            own = set(t.lower().split()) if t else ()
+            ids.extend(map(self.tokens.__getitem__, own))
+            n.append(len(own))
+        if self.tokens.new:
+            self._learn()
+        ids = np.array(ids, np.int64)
+        first = self.ends[ids]
+        many = self.ends[ids + 1] - first
+        at = self.known[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        there = np.zeros((len(texts), len(self.used)), bool)
+        there[np.repeat(np.repeat(np.arange(len(texts)), n), many), at] = True
+        return np.nonzero(there)
 
     def scores(self, texts: list[str | None]) -> list[float | None]:
         """Probabilities that texts are toxic; None for None."""
-        places = [[] if t is None else self.places_of(t) for t in texts]
-        doc, at = np.repeat(np.arange(len(texts)), [len(p) for p in places]), np.array([x for p in places for x in p], np.int64)
-        z, v = self.bias + np.bincount(doc, self.linear[at], len(texts)), self.factors[at]
-        for f in range(v.shape[1]):
-            z += 0.5 * (np.bincount(doc, v[:, f], len(texts)) ** 2 - np.bincount(doc, v[:, f] ** 2, len(texts)))
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        return [None if t is None else float(x) for t, x in zip(texts, p)]
+        out: list[float | None] = []
+        for a in range(0, len(texts), SCORED):
+            some = texts[a : a + SCORED]
+            doc, at = self.places_of(some)
+            z, v = self.bias + np.bincount(doc, self.linear[at], len(some)), self.factors[at]
+            for f in range(v.shape[1]):
+                z += 0.5 * (np.bincount(doc, v[:, f], len(some)) ** 2 - np.bincount(doc, v[:, f] ** 2, len(some)))
+            out += [None if t is None else float(x) for t, x in zip(some, 1 / (1 + np.exp(-np.clip(z, -40, 40))))]
+        return out
 
     def score(self, text: str | None) -> float | None:
         return self.scores([text])[0]
