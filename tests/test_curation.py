@@ -80,3 +80,27 @@ def test_sets_and_catalog(spark):
     assert sorted((r["name"], r["rate"]) for r in C.expand_catalog(catalog, asked).collect()) == [("p", 0.1), ("p", 3.0), ("q", 0.1)]
     d = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, k string")
     assert ids(C.dedup_keep_first(d, ["k"], ["id"])) == [1, 3]
+
+
+def test_joins_are_checked_by_what_a_side_holds(spark):
+    from vellumkit import runtime as R
+
+    small = spark.createDataFrame([(1, "x" * 1000, [1, 2, 3]), (2, None, None)], "k long, s string, a array<long>")
+    assert R.bytes_of(small, 10) == 2 * 10 + 1000 + 3 * 16 and R.bytes_of(small.where("false")) == 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    limit, R.BROADCAST_LIMIT_BYTES = R.BROADCAST_LIMIT_BYTES, 500
+    try:
+        assert "BroadcastHashJoin" not in plan(R.join_checked(spark.range(9), small, F.col("id") == F.col("k"), "inner"))
+        assert "BroadcastHashJoin" in plan(R.join_checked(spark.range(9).withColumnRenamed("id", "k"), small.select("k"), "k", "inner"))
+    finally:
+        R.BROADCAST_LIMIT_BYTES = limit
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_tables(spark):
+    from vellumkit import runtime as R
+
+    back, path = R.stored(spark.range(5).withColumn("t", F.lit("x")), "some")
+    assert back.count() == 5 and path.startswith(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    assert R.removed(spark, path) and not R.removed(spark, path)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-#: A side of a join is broadcast when rows x row_bytes stays under this; beyond it Spark shuffles both sides.
+#: A side of a join is broadcast when its counted size stays under this; beyond it Spark shuffles both sides.
 BROADCAST_LIMIT_BYTES = 32 << 20
 
 
@@ -28,7 +31,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         if not folder:
             if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = f"file://{tempfile.mkdtemp(prefix='vellumkit-')}"
+            made = tempfile.mkdtemp(prefix="vellumkit-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = f"file://{made}"
         sc.setCheckpointDir(folder)
     return spark
 
@@ -39,9 +44,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back, so that what follows reads only its columns; with the path."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Delete a path of the shared folder; whether it was there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bytes_of(df: DataFrame, row_bytes: int = 40) -> int:
+    """Counted size of a table in memory: ``row_bytes`` for each row, and what its strings, binaries and arrays hold."""
+    wide = [F.octet_length(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    wide += [16 * F.size(F.coalesce(f"`{f.name}`", F.array().cast(f.dataType))) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    n, *held = df.agg(F.count("*"), *(F.coalesce(F.sum(w), F.lit(0)) for w in wide)).first()
+    return n * row_bytes + sum(held)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, row_bytes: int = 40) -> DataFrame:
     """Join that broadcasts ``small`` only if its counted size is below the limit; else both sides are shuffled."""
-    if small.count() * row_bytes <= BROADCAST_LIMIT_BYTES:
+    if bytes_of(small, row_bytes) <= BROADCAST_LIMIT_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
