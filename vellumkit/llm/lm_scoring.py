@@ -29,13 +29,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import checkpoint, join_checked, prepare
 
-MOST_BYTES, LEVEL, FLUSH, CHUNK = (1 << 31) - (1 << 20), 5, 300_000, 1 << 15
+MOST_BYTES, LEVEL, FLUSH, CHUNK = (1 << 31) - (1 << 20), 5, 200_000, 1 << 15
 #: Bits by which the hash table has fewer entries than the dictionary has bytes; bits of the entries tried; bytes of the least match.
 HASH, SEARCH, MATCH = 1, 5, 6
 
+#: In a worker: the compressors of the run it is in.
+_ready: dict[str, list[zstandard.ZstdCompressor]] = {}
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words in (in_domain, text): a row for each word, at times several. The memory is bounded by flushing."""
+    _ready.clear()  # a worker may hold the dictionaries of an earlier run
     counts: tuple[Counter, Counter] = (Counter(), Counter())  # of the other documents, of those in the domain
 
     def out() -> pa.RecordBatch:
@@ -113,7 +117,6 @@ def size_of(raw: bytes, by: zstandard.ZstdCompressor) -> int:
     return sum(len(by.compress(raw[a : a + CHUNK])) for a in range(0, max(1, len(raw)), CHUNK))
 
 
-_ready: dict[str, list[zstandard.ZstdCompressor]] = {}
 
 
 def _digested(token: str, sent: list[Broadcast]) -> list[zstandard.ZstdCompressor]:
