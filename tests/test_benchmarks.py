@@ -41,6 +41,39 @@ def test_synonyms(spark):
     assert scores(B.lrsvqa_scores(df))["overall"] == pytest.approx(1 / 3)
 
 
+def quad_rows(spark, points, prompt):
+    """Rotated squares: a perfect answer, one that is off by half, one in another order of the corners, and one too many."""
+    square = [[10.0, 0.0], [20.0, 10.0], [10.0, 20.0], [0.0, 10.0]]
+    flat = lambda q: [int(v) for p in q for v in p]
+    off, turned, far = [[x + 5, y + 5] for x, y in square], [square[k] for k in (2, 0, 3, 1)], [[x + 100, y] for x, y in square]
+    form = (lambda qs: "```json\n[" + ",".join(f'{{"bbox_2d": {flat(q)}, "label": "a"}}' for q in qs) + "]\n```") if prompt == "json" else (lambda qs: "\n".join(f"{','.join(map(str, flat(q)))} a" for q in qs))
+    truth = lambda qs: qs if points else [[v for p in q for v in p] for q in qs]
+    rows = [(form(p), truth(g), ["o"] * len(g), "small", "rec") for p, g in (([square], [square]), ([off], [square]), ([turned], [square]), ([square, far], [square]), ([far, turned], [square, far]), ([], [square]))]
+    kind = "array<array<array<double>>>" if points else "array<array<double>>"
+    return spark.createDataFrame(rows, f"output string, ground_truth {kind}, obj_ids array<string>, size_group string, type string").withColumns({c: F.lit(10) for c in ("original_width", "original_height", "resized_width", "resized_height")})
+
+
+@pytest.mark.parametrize("points,prompt", [(False, "json"), (True, "json"), (False, "plain"), (True, "plain")])
+def test_referring_of_quadrangles(spark, points, prompt):
+    got = scores(B.evaluate(quad_rows(spark, points, prompt), "geochat_referring", prompt_type=prompt))
+    assert got["overall"] == pytest.approx(3 / 6) and got["count_single"] == pytest.approx(2 / 5) and got["count_multiple"] == 1.0
+
+
+def test_a_perfect_answer_of_corners_counts(spark):
+    df = spark.createDataFrame([("0,0,10,0,10,10,0,10", [[0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0]], ["o"], None, None)], "output string, ground_truth array<array<double>>, obj_ids array<string>, size_group string, type string").withColumns({c: F.lit(10) for c in ("original_width", "original_height", "resized_width", "resized_height")})
+    assert scores(B.evaluate(df, "geochat_referring", prompt_type="plain"))["overall"] == 1.0
+
+
+def test_detection_by_rotated_overlap(spark):
+    """Of the second image the bounds overlap by 0.64, the quadrangles by 0.32."""
+    diamond, bounds = [10, 0, 20, 10, 10, 20, 0, 10], [0, 0, 20, 0, 20, 20, 0, 20]
+    line = lambda p: f"{','.join(map(str, p))} ship"
+    truth = lambda p: [{"poly": [float(v) for v in p], "label": "ship"}]
+    df = spark.createDataFrame([("a", line(diamond), truth(diamond)), ("b", line(bounds), truth([10, 2, 18, 10, 10, 18, 2, 10]))], "file_name string, output string, gt array<struct<poly: array<double>, label: string>>").withColumns({c: F.lit(10) for c in ("original_width", "original_height", "resized_width", "resized_height")})
+    got = scores(B.evaluate(df, "dota_val", classes=["ship", "plane"], prompt_type="plain"))
+    assert got["ship_ap"] == pytest.approx(0.5)  # one of two found, at full precision
+
+
 def test_referring(spark):
     gt = [[0.0, 0.0, 10.0, 10.0]]  # both sides are scaled
     rows = [('```json\n[{"bbox_2d": [0, 0, 10, 10], "label": "a"}]\n```', gt, ["o"], "small", "rec"), ("junk", gt, ["o"], "small", "rec"), ('[{"bbox_2d": [0, 0, 10, 10]}]', gt * 2, ["o", "p"], None, "rec")]

@@ -96,6 +96,40 @@ def spark_free_giou(p, g):
     return np.array([[polygon_giou_np(a, b) for b in g] for a in p]).reshape(len(p), len(g))
 
 
+def ap_by_hand(rows, iou):
+    """The usual loop over detections by score; rows: (image, class, score or None, ord, box, kind)."""
+    out = {}
+    for c in {r[1] for r in rows if r[5] == "gt"}:
+        free = {(r[0], r[3]): r[4] for r in rows if r[1] == c and r[5] == "gt"}
+        total, taken, tp = len(free), set(), []
+        for im, _, s, o, b, _ in sorted((r for r in rows if r[1] == c and r[5] == "pred"), key=lambda r: (-r[2], r[3])):
+            own = [(iou(b, g), -k) for k, ((i, _), g) in enumerate(sorted(free.items())) if i == im]
+            best = max(own, default=(0, 0))
+            tp.append(best[0] >= 0.5 and (im, best[1]) not in taken)
+            if tp[-1]:
+                taken.add((im, best[1]))
+        cum = [sum(tp[: k + 1]) / (k + 1) for k in range(len(tp))]
+        out[c] = sum(max(cum[k:]) for k in range(len(tp)) if tp[k]) / total
+    return out
+
+
+@pytest.mark.parametrize("quads", [False, True])
+@pytest.mark.parametrize("chunk", [3, 1 << 16])
+def test_average_precision_against_a_loop(spark, quads, chunk):
+    from vellumkit.functions.geometry import polygon_iou_np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(240):
+        x, y, w, h, d = (float(v) for v in rng.integers(0, 30, 5))
+        box = [x, y, x + w + 5, y + h + 5] if not quads else [x + d, y, x + 30, y + d, x + 30 - d, y + 30, x, y + 30 - d]
+        kind = "gt" if k % 3 == 0 else "pred"
+        rows.append((int(rng.integers(0, 8)), "ab"[k % 2], None if kind == "gt" else float(rng.integers(0, 5)), k, box, kind))
+    df = spark.createDataFrame(rows, "image long, cls string, score double, ord long, box array<double>, kind string")
+    got = {r["cls"]: r["ap"] for r in D.average_precision(D.assign_detections(df, "image", "cls", "score", "ord"), "cls", "score", "ord", chunk).collect()}
+    assert got == pytest.approx(ap_by_hand(rows, polygon_iou_np)) and len(got) == 2
+
+
 def test_average_precision(spark):
     box = [0.0, 0.0, 10.0, 10.0]
     far = [50.0, 50.0, 60.0, 60.0]

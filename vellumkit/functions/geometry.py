@@ -153,19 +153,34 @@ def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
-def polygon_giou_np(a: list[float], b: list[float]) -> float:
-    """GIoU of two convex polygons given as 4 or 2n numbers; 0 for one without area."""
+def _overlap(a: list[float], b: list[float]) -> tuple[float, float, np.ndarray]:
+    """(area of both, area of either, all corners) of two convex polygons; areas are 0 if one has none."""
     p, q = _corners(a), _corners(b)
     p, q = (x[::-1] if _area(x) < 0 else x for x in (p, q))
-    ap, aq = _area(p), _area(q)
+    ap, aq, every = _area(p), _area(q), np.concatenate((p, q))
     if ap <= 0 or aq <= 0:
-        return 0.0
-    both = _clip(p, q)
+        return 0.0, 0.0, every
+    apart = (p.min(axis=0) >= q.max(axis=0)).any() or (q.min(axis=0) >= p.max(axis=0)).any()
+    both = every[:0] if apart else _clip(p, q)
     inter = abs(_area(both)) if len(both) > 2 else 0.0
-    union, hull = ap + aq - inter, _area(_hull(np.concatenate((p, q))))
+    return inter, ap + aq - inter, every
+
+
+def polygon_giou_np(a: list[float], b: list[float]) -> float:
+    """GIoU of two convex polygons given as 4 or 2n numbers; 0 for one without area."""
+    inter, union, every = _overlap(a, b)
+    if not union:
+        return 0.0
+    hull = _area(_hull(every))
     return inter / union - (hull - union) / hull
 
 
+def polygon_iou_np(a: list[float], b: list[float]) -> float:
+    """IoU of two convex polygons given as 4 or 2n numbers; 0 for one without area."""
+    inter, union, _ = _overlap(a, b)
+    return inter / union if union else 0.0
+
+
 @F.pandas_udf(DoubleType())
 def polygon_giou(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else polygon_giou_np(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -232,6 +247,9 @@ def mask_counts(pred: Column, truth: Column, height: int = 256, width: int = 256
     def counts(p: pd.Series, t: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(p, t):
+            if all(m is None or len(m) == 0 for m in (a, b)):
+                rows.append([height * width, 0, 0, 0])
+                continue
             x, y = (raster_np([] if m is None else list(m), height, width) for m in (a, b))
             rows.append(np.bincount((2 * y + x).ravel(), minlength=4).tolist())
         return pd.DataFrame(rows, columns=["tn", "fp", "fn", "tp"])

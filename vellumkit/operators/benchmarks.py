@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G, text as X
 from ..runtime import join_checked
@@ -202,12 +202,19 @@ def cider_scores(df: DataFrame, key: str = "idx") -> DataFrame:
 
 
 def referring_scores(df: DataFrame, prompt_type: str = "json") -> DataFrame:
-    """Share of rows whose objects are all found and no others, over all and by size, type and count (A8). Axis-aligned boxes; polygons
-    go through ``polygon_matches``."""
-    boxes = F.transform(X.json_boxes(F.col("output")), lambda b: b["bbox_2d"]) if prompt_type == "json" else F.transform(X.plain_boxes(F.col("output")), lambda b: b.cast("array<double>"))
+    """Share of rows whose objects are all found and no others, over all and by size, type and count (A8). Boxes of 4 numbers and
+    quadrangles of 8, or of 4 points, may be mixed; of an answer in plain text, runs of 8 numbers and then of 4."""
+    flat = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0)), lambda v: v.cast("double"))  # numbers of a list of any depth
+    if prompt_type == "json":
+        boxes = F.transform(F.from_json(X.strip_fence(F.col("output")), "array<struct<bbox_2d: string>>"), lambda b: flat(b["bbox_2d"]))
+    else:
+        boxes = F.transform(X.plain_boxes(F.col("output")), lambda b: b.cast("array<double>"))
+    truth = F.col("ground_truth")
+    if "array<array<array" in df.schema["ground_truth"].dataType.simpleString():  # corners as points
+        truth = F.transform(truth, F.flatten)
     sx, sy = F.col("original_width") / F.col("resized_width"), F.col("original_height") / F.col("resized_height")
     scale = lambda bs: F.transform(bs, lambda b: F.transform(b, lambda v, i: v * F.when(i % 2 == 0, sx).otherwise(sy)))
-    rows = df.withColumns({"ok": D.referring_ok(scale(boxes), scale(F.col("ground_truth"))), "count": F.when(F.size("obj_ids") == 1, "single").otherwise("multiple"), "size": F.coalesce("size_group", F.lit("unknown")), "type": F.coalesce("type", F.lit("unknown"))})
+    rows = df.withColumns({"ok": D.referring_ok(scale(boxes), scale(truth)), "count": F.when(F.size("obj_ids") == 1, "single").otherwise("multiple"), "size": F.coalesce("size_group", F.lit("unknown")), "type": F.coalesce("type", F.lit("unknown"))})
     g = M.grouping_sets_accuracy(rows, F.col("ok"), [[], ["size"], ["type"], ["count"]])
     name = F.coalesce(*[F.when(F.col(f"by_{c}") == 1, F.concat(F.lit(f"{c}_"), F.col(c))) for c in ("size", "type", "count")], F.lit("overall"))
     return g.select(name.alias("metric"), F.col("acc").alias("value"), "n")
@@ -290,49 +297,62 @@ def mask_f1(df: DataFrame, height: int = 256, width: int = 256) -> DataFrame:
 
 def teochatlas_scores(df: DataFrame) -> DataFrame:
     """(metric, value, n), metric being <dataset>_<task>_<accuracy|f1> (A14, A10, A13). Needs dataset, task, output, ground_truth and,
-    for areas and masks, polygon as WKT. The pairs of dataset and task that occur are few and come to the driver."""
-    pairs = [(r["d"], r["task"]) for r in df.select(F.lower("dataset").alias("d"), "task").distinct().collect()]
-    out = []
-    for d, t in sorted(pairs):
-        rule = next((r for r in TEO_RULES if re.fullmatch(r[0], d) and re.fullmatch(r[1], t)), None)
-        if rule is None:
-            raise ValueError(f"Unsupported task {t} for dataset {d}")
-        _, _, kind, classes, skip, value = rule
-        own = df.where((F.lower("dataset") == d) & (F.col("task") == t))
-        if kind == "area":
-            c = own.withColumns({"__g": X.clean_string(F.col("ground_truth")), "__p": X.clean_string(F.col("output"))})
-            c = c.withColumn("__a", G.mask_counts(wkt_rings(F.col("polygon")), F.array().cast("array<array<double>>"))["fp"])
-            r = M.area_weighted_f1(c, "__g", "__p", "__a", classes, skip).select(F.col(value).alias("f1"))
-        elif kind == "mask":
-            r = mask_f1(own).select("f1")
-        else:
-            r = M.task_accuracy(own, "task", "output", "ground_truth", classes if kind == "keyword" else None).select("accuracy", "n")
-        out.append(tidy(r, F.lit(f"{d}_{t}")))
-    return reduce(DataFrame.unionByName, out)
+    for areas and masks, polygon as WKT. A pair of dataset and task without a rule is an error.
+
+    After a look at the names, one pass: the first rule that fits is a column, each row gives its share of the sums of its kind, and these are added up by
+    dataset, task and class.
+    """
+    d, t, p, g = F.lower("dataset"), F.col("task"), X.clean_string(F.col("output")), X.clean_string(F.col("ground_truth"))
+    fits = lambda r: F.rlike(d, F.lit(f"^(?:{r[0]})$")) & F.rlike(t, F.lit(f"^(?:{r[1]})$"))
+    rule = reduce(lambda acc, kr: F.when(fits(kr[1]), F.lit(kr[0])).otherwise(acc), list(enumerate(TEO_RULES))[::-1], F.lit(None).cast("int"))
+    if unknown := df.where(rule.isNull()).select(d.alias("d"), t.alias("t")).first():
+        raise ValueError(f"Unsupported task {unknown['t']} for dataset {unknown['d']}")
+    column = lambda k: F.element_at(F.array(*[F.array(*map(F.lit, r[k])).cast("array<string>") if isinstance(r[k], list) else F.lit(r[k]) for r in TEO_RULES]), F.col("r") + 1)
+    rows = df.select(d.alias("d"), t.alias("t"), p.alias("p"), g.alias("g"), "output", "ground_truth", "polygon", rule.alias("r"))
+    rows = rows.withColumns({"kind": column(2), "classes": column(3), "skip": column(4), "value": column(5)})
+    none = F.array().cast("array<array<double>>")
+    area, mask = F.col("kind") == "area", F.col("kind") == "mask"
+    rings = F.coalesce(wkt_rings(F.col("polygon")), none)
+    rows = rows.withColumn("m", G.mask_counts(F.when(area, rings).when(mask, answer_masks(F.col("output"))).otherwise(none), F.when(mask & F.contains("ground_truth", F.lit("[")), rings).otherwise(none)))
+    zero, a, known = F.lit(0.0), F.col("m.fp").cast("double"), F.array_contains("classes", F.col("p"))
+    part = lambda c, tp, fp, fn, n: F.struct(c.alias("class"), tp.cast("double").alias("tp"), fp.cast("double").alias("fp"), fn.cast("double").alias("fn"), n.cast("double").alias("n"))
+    wrong = F.when(known & (F.col("p") != F.col("g")), a).otherwise(zero)
+    areas = F.array(part(F.col("g"), F.when(F.col("p") == F.col("g"), a).otherwise(zero), zero, wrong, a), part(F.col("p"), zero, wrong, zero, zero))
+    same = (F.col("p") == F.col("g")) | F.exists("classes", lambda k: F.contains("p", k) & F.contains("g", k))
+    one = part(F.lit(""), F.coalesce(same, F.lit(False)).cast("int"), zero, zero, F.lit(1))
+    parts = F.when(area & ~F.array_contains("skip", F.col("g")), areas).when(mask, F.array(part(F.lit(""), F.col("m.tp"), F.col("m.fp"), F.col("m.fn"), zero))).when(~area, F.array(one))
+    sums = rows.select("d", "t", "r", F.explode(parts).alias("s")).groupBy("d", "t", "r", "s.class").agg(*[F.sum(f"s.{x}").alias(x) for x in ("tp", "fp", "fn", "n")])
+    sums = sums.withColumns({"kind": column(2), "classes": column(3), "value": column(5)}).withColumn("total", F.sum("n").over(Window.partitionBy("d", "t", "r")))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), zero)  # as of precision and recall, of which none is null with a hit
+    own, share = F.array_contains("classes", F.col("class")), F.try_divide("n", "total")
+    inverse = F.when(own & (share > 0), 1 / share)
+    kind, value = F.first("kind"), F.first("value")
+    by_kind = (
+        F.when(kind == "mask", F.when(F.sum("tp") > 0, 2 * F.sum("tp") / (2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))))
+        .when(kind != "area", F.sum("tp") / F.sum("n")).when(value == "w_f1", F.sum(F.when(own, f1 * share)))
+        .when(value == "inv_w_f1", F.coalesce(F.try_divide(F.sum(f1 * inverse), F.sum(inverse)), zero)).otherwise(F.sum(F.when(own, f1)) / F.first(F.size("classes")))
+    )
+    counted = kind.isin("keyword", "accuracy")
+    return sums.groupBy("d", "t", "r").agg(by_kind.alias("v"), F.when(counted, F.sum("n").cast("bigint")).alias("n"), counted.alias("c")).select(F.concat_ws("_", "d", "t", F.when(F.col("c"), "accuracy").otherwise("f1")).alias("metric"), F.coalesce("v", F.when(~F.col("c"), zero)).alias("value"), "n")
 
 
 def detection_scores(df: DataFrame, classes: list[str], prompt_type: str = "json", clear_for_empty: bool = False) -> DataFrame:
-    """AP at IoU 0.5 by class, and their mean (A21), of answers with lists of instances against gt array<struct<poly, label>>; labels
-    outside the classes become the nearest by edit distance (J12). Boxes are the polygons' bounds. Answers are blank where the
-    truth is empty, if asked for (F9)."""
+    """AP at IoU 0.5 by class, and their mean (A21), of answers with lists of instances against gt array<struct<poly, label>>, by the
+    overlap of the quadrangles themselves; labels outside the classes become the nearest by edit distance (J12). Answers are blank
+    where the truth is empty, if asked for (F9)."""
     inst = X.json_instances(F.col("output")) if prompt_type == "json" else X.plain_instances(F.col("output"))
     inst = F.when(F.lit(clear_for_empty) & (F.size("gt") == 0), F.array().cast("array<struct<poly: array<int>, label: string>>")).otherwise(inst)
     sx, sy = F.col("original_width") / F.col("resized_width"), F.col("original_height") / F.col("resized_height")
-    bounds = lambda p: F.array(F.array_min(_every(p, 0)), F.array_min(_every(p, 1)), F.array_max(_every(p, 0)), F.array_max(_every(p, 1)))
     scaled = F.transform(inst, lambda e: F.struct(F.transform(e["poly"], lambda v, i: v * F.when(i % 2 == 0, sx).otherwise(sy)).alias("poly"), e["label"].alias("label")))
     from .messages import fuzzy_labels
 
-    pred = df.select("file_name", F.posexplode_outer(scaled).alias("k", "e")).where("e is not null").select("file_name", F.col("e.label").alias("label"), F.lit(1.0).alias("score"), F.col("k").cast("bigint").alias("ord"), bounds(F.col("e.poly")).alias("box"), F.lit("pred").alias("kind"))
+    pred = df.select("file_name", F.posexplode_outer(scaled).alias("k", "e")).where("e is not null").select("file_name", F.col("e.label").alias("label"), F.lit(1.0).alias("score"), F.col("k").cast("bigint").alias("ord"), F.col("e.poly").cast("array<double>").alias("box"), F.lit("pred").alias("kind"))
     pred = fuzzy_labels(pred, "label", classes).drop("label").withColumnRenamed("matched", "cls")
-    truth = df.select("file_name", F.posexplode("gt").alias("k", "e")).select("file_name", F.col("e.label").alias("cls"), F.lit(None).cast("double").alias("score"), F.col("k").cast("bigint").alias("ord"), bounds(F.transform(F.col("e.poly"), lambda v: v.cast("double"))).alias("box"), F.lit("gt").alias("kind"))
+    truth = df.select("file_name", F.posexplode("gt").alias("k", "e")).select("file_name", F.col("e.label").alias("cls"), F.lit(None).cast("double").alias("score"), F.col("k").cast("bigint").alias("ord"), F.col("e.poly").cast("array<double>").alias("box"), F.lit("gt").alias("kind"))
     ap = D.average_precision(D.assign_detections(pred.unionByName(truth), "file_name", "cls", "score", "ord"), "cls", "score", "ord")
     return tidy(ap, F.col("cls"), ["ap"], "n_gt").unionByName(tidy(ap.agg(F.avg("ap").alias("mAP"), F.sum("n_gt").alias("n"))))
 
 
-def _every(p: Column, k: int) -> Column:
-    return F.filter(p, lambda v, i: i % 2 == k)
-
-
 #: benchmark pattern -> metric
 METRICS = [
     (r"(refcoco\w*_val|refgta_subsample|dior_rsvg_val|rsvg_val|vrsbench_referring)", rec_scores), (r"geoground.*", lambda df, **k: rec_scores(df, by="dataset_name", **k)), (r"geochat_referring", referring_scores),

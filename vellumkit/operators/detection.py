@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.geometry import box_giou, polygon_giou_np
+from ..functions.geometry import box_giou, polygon_giou_np, polygon_iou_np
+from ..runtime import checkpoint, join_checked
+from .ranking import rank_within
 
 
 def pair_matrix(pred: Column, gt: Column) -> Column:
@@ -26,10 +28,35 @@ def greedy_matches(pairs: Column, threshold: float) -> Column:
     return F.size(F.aggregate(order, F.struct(empty.alias("is"), empty.alias("js")), step)["is"])
 
 
+def _upright(*lists: Column) -> Column:
+    """All boxes are axis-aligned ones of 4 numbers."""
+    return F.forall(F.flatten(F.array(*[F.transform(x, F.size) for x in lists])), lambda n: n == 4)
+
+
+@F.pandas_udf(T.IntegerType())
+def _polygon_hits(pred: pd.Series, gt: pd.Series, threshold: pd.Series) -> pd.Series:
+    """Number of greedy matches of each row's polygons; null where a list is null or a box has neither 4 nor 8 numbers."""
+    out = []
+    for p, g, t in zip(pred, gt, threshold):
+        if p is None or g is None or any(len(x) not in (4, 8) for x in (*p, *g)):
+            out.append(None)
+            continue
+        v = np.array([[polygon_giou_np(list(x), list(y)) for y in g] for x in p]).reshape(len(p), len(g))
+        out.append(len(greedy_matches_np(v, t)))
+    return pd.Series(out, dtype="Int32")
+
+
 def referring_ok(pred: Column, gt: Column, threshold: float = 0.5) -> Column:
-    """All boxes are found and no others (F1 = 1, A8); without a prediction, or an unreadable one, false."""
+    """All boxes are found and no others (F1 = 1, A8); without a prediction, or an unreadable one, false.
+
+    Boxes have 4 numbers (axis-aligned) or 8 (any quadrangle). Rows of the first kind alone are matched by expressions; only the others'
+    boxes go to Python, and only if their number is right.
+    """
     n = F.size(F.coalesce(pred, F.array().cast("array<array<double>>")))
-    return F.coalesce((n > 0) & (n == F.size(gt)) & (greedy_matches(pair_matrix(pred, gt), threshold) == n), F.lit(False))
+    right, upright = (n > 0) & (n == F.size(gt)), _upright(pred, gt)
+    doubles = lambda c: F.when(right & ~upright, c.cast("array<array<double>>"))
+    hits = F.when(upright, greedy_matches(pair_matrix(pred, gt), threshold)).otherwise(_polygon_hits(doubles(pred), doubles(gt), F.lit(threshold)))
+    return F.coalesce(right & (hits == n), F.lit(False))
 
 
 def greedy_matches_np(values: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -67,12 +94,28 @@ def _iou(p: Column, g: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, (p[2] - p[0]) * (p[3] - p[1]) + (g[2] - g[0]) * (g[3] - g[1]) - w * h), F.lit(0.0))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("v", T.DoubleType()), T.StructField("j", T.IntegerType())])))
+def _polygon_best(pred: pd.Series, gt: pd.Series) -> pd.Series:
+    """Of each predicted polygon, its largest IoU and minus the place of the first true one that has it, as a struct that orders alike."""
+    out = []
+    for p, g in zip(pred, gt):
+        if p is None or g is None:
+            out.append(None)
+            continue
+        own = []
+        for x in p:
+            v = [polygon_iou_np(list(x), list(y)) for y in g]
+            own.append({"v": max(v), "j": -v.index(max(v))} if v else None)
+        out.append(own)
+    return pd.Series(out)
+
+
 def assign_detections(df: DataFrame, image: str, cls: str, score: str, order: str, iou: float = 0.5) -> DataFrame:
     """Whether each detection is a hit (A21): in score order each takes its best true box of the same image and class, if
     its IoU reaches the threshold and the box is free. df: detections (box, kind 'pred') and truths (kind 'gt').
 
-    The boxes of an image and class are gathered in a row and matched by a fold, without Python. A row without a score counts
-    the truths of its group.
+    Boxes have 4 numbers (axis-aligned) or 8 (any quadrangle, as of rotated boxes). The boxes of an image and class are gathered in
+    a row and matched by a fold; only the overlaps of quadrangles are computed in Python. A row without a score counts the truths of its group.
     """
     pred, gt = F.col("kind") == "pred", F.col("kind") == "gt"
     g = df.groupBy(image, cls).agg(
@@ -80,7 +123,11 @@ def assign_detections(df: DataFrame, image: str, cls: str, score: str, order: st
     )
     g = g.withColumn("g", F.array_sort("g"))
     best = lambda p: F.array_max(F.transform("g", lambda t, j: F.struct(_iou(p["b"], t["b"]).alias("v"), (-j).alias("j"))))
-    tried = F.transform("p", lambda p: F.struct(p["s"].alias("s"), p["o"].alias("o"), best(p).alias("m")))
+    of = lambda c: F.transform(c, lambda e: e["b"].cast("array<double>"))
+    g = g.withColumn("__up", _upright(of("p"), of("g")))
+    polygons = lambda c: F.when(~F.col("__up"), of(c))
+    g = g.withColumn("__best", _polygon_best(polygons("p"), polygons("g")))
+    tried = F.transform("p", lambda p, k: F.struct(p["s"].alias("s"), p["o"].alias("o"), F.when(F.col("__up"), best(p)).otherwise(F.get("__best", k)).alias("m")))
     g = g.withColumn("m", tried)
     start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("tp"))
     hit = lambda a, p: F.coalesce((p["m"]["v"] >= iou) & ~F.array_contains(a["taken"], p["m"]["j"]), F.lit(False))
@@ -92,13 +139,31 @@ def assign_detections(df: DataFrame, image: str, cls: str, score: str, order: st
     return g.select(image, cls, F.explode(F.concat(hits, head)).alias("e")).select(image, cls, "e.*")
 
 
-def average_precision(assigned: DataFrame, cls: str, score: str, order: str) -> DataFrame:
-    """(class, ap, n_gt): area under the interpolated precision-recall curve, from running sums (A21). Classes without truth are left out."""
+#: Detections of a class that one task of the running sums takes.
+CHUNK = 1 << 16
+
+
+def average_precision(assigned: DataFrame, cls: str, score: str, order: str, chunk: int = CHUNK) -> DataFrame:
+    """(class, ap, n_gt): area under the interpolated precision-recall curve, from running sums (A21). Classes without truth are left out.
+
+    A class's detections are ranked without a window over all of them and cut into chunks; sums and maxima run within a chunk, and
+    what comes before and after it is added from a table with a row a chunk.
+    """
     n_gt = assigned.groupBy(cls).agg(F.sum("n_gt").alias("total")).where("total > 0")
-    rank = Window.partitionBy(cls).orderBy(F.desc(score), order)
-    d = assigned.where(F.col(score).isNotNull()).withColumns({"cum": F.sum("tp").over(rank.rowsBetween(Window.unboundedPreceding, 0)), "at": F.row_number().over(rank)})
-    d = d.withColumn("precision", F.col("cum") / F.col("at"))
+    found = assigned.where(F.col(score).isNotNull()).select(cls, (-F.col(score)).alias("__neg"), order, "tp")
+    d = rank_within(found, cls, ["__neg", order], "__r").withColumn("__chunk", F.floor(F.col("__r") / chunk))
+    own, all_before = Window.partitionBy(cls, "__chunk").orderBy("__r"), Window.partitionBy(cls).orderBy("__chunk")
+    sums = d.groupBy(cls, "__chunk").agg(F.sum("tp").alias("__tp"))
+    sums = sums.select(F.col(cls).alias("__c"), F.col("__chunk").alias("__k"), F.coalesce(F.sum("__tp").over(all_before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    same = lambda t, c, k: F.col(cls).eqNullSafe(F.col(c)) & (F.col("__chunk") == F.col(k))
+    d = join_checked(d, sums, same(d, "__c", "__k"), "inner", 100).drop("__c", "__k")
+    cum = F.col("__before") + F.sum("tp").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    d = checkpoint(d.withColumn("__precision", cum / (F.col("__r") + 1)).select(cls, "__chunk", "__r", "tp", "__precision"))
+    tops = d.groupBy(cls, "__chunk").agg(F.max("__precision").alias("__top"))
+    later = Window.partitionBy(cls).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col(cls).alias("__c"), F.col("__chunk").alias("__k"), F.max("__top").over(later).alias("__after"))
     # From the last row back: a frame that starts at the first row grows, one that ends at the last is computed anew for each row.
-    d = d.withColumn("best", F.max("precision").over(Window.partitionBy(cls).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)))
-    ap = d.where("tp = 1").groupBy(cls).agg(F.sum("best").alias("area"))
-    return n_gt.join(ap, cls, "left").select(cls, (F.coalesce("area", F.lit(0.0)) / F.col("total")).alias("ap"), F.col("total").alias("n_gt"))
+    back = Window.partitionBy(cls, "__chunk").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+    d = join_checked(d, tops, same(d, "__c", "__k"), "inner", 100).withColumn("__best", F.greatest(F.max("__precision").over(back), "__after"))
+    ap = d.where("tp = 1").groupBy(cls).agg(F.sum("__best").alias("area")).withColumnRenamed(cls, "__c")
+    return n_gt.join(ap, F.col(cls).eqNullSafe(F.col("__c")), "left").select(cls, (F.coalesce("area", F.lit(0.0)) / F.col("total")).alias("ap"), F.col("total").alias("n_gt"))

@@ -154,24 +154,28 @@ def _gram_counts(df: DataFrame, keys: list[str], tok: str, orders: int = 4) -> D
 
 def cider(df: DataFrame, key: str, pred: str, refs: str, sigma: float = 6.0) -> DataFrame:
     """(key, cider): the CIDEr-D score of each row, ten times the mean over n = 1..4 and the references; the corpus score
-    is the mean x 100 (A7). Document frequencies count the rows whose references have the gram."""
-    p = df.select(key, tokens(F.col(pred)).alias("tok"))
-    r = df.select(key, F.posexplode(refs).alias("ref", "t")).select(key, "ref", tokens(F.col("t")).alias("tok"))
-    gp, gr = _gram_counts(p, [key], "tok"), _gram_counts(r, [key, "ref"], "tok")
-    docs = df.select(F.count("*").over(Window.partitionBy()).alias("rows")).limit(1)
-    freq = gr.select(key, "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
-    idf = lambda g: g.join(freq, ["n", "g"], "left").crossJoin(F.broadcast(docs)).withColumn("w", F.col("c") * (F.log("rows") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))))
-    wp, wr = idf(gp), idf(gr)
-    norm_p = wp.groupBy(key, "n").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("np"))
-    norm_r = wr.groupBy(key, "ref", "n").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("nr"))
-    dot = wr.select(key, "ref", "n", "g", F.col("w").alias("wr")).join(wp.select(key, "n", "g", F.col("w").alias("wp")), [key, "n", "g"])
-    dot = dot.groupBy(key, "ref", "n").agg(F.sum(F.least("wp", "wr") * F.col("wr")).alias("dot"))
-    sim = dot.join(norm_r, [key, "ref", "n"]).join(norm_p, [key, "n"])
-    length = r.join(p.select(key, F.size("tok").alias("lp")), key).select(key, "ref", (F.col("lp") - F.size("tok")).alias("delta"))
-    sim = sim.join(length, [key, "ref"]).withColumn("s", F.coalesce(F.try_divide("dot", F.col("np") * F.col("nr")), F.lit(0.0)) * F.exp(-(F.col("delta") ** 2) / (2 * sigma**2)))
-    per = sim.groupBy(key).agg(F.sum("s").alias("s"))
-    n_refs = df.select(key, F.size(refs).alias("__n"))
-    return n_refs.join(per, key, "left").select(key, F.coalesce(10 * F.col("s") / (4 * F.col("__n")), F.lit(0.0)).alias("cider"))
+    is the mean x 100 (A7). Document frequencies count the rows whose references have the gram.
+
+    The captions are moved once, to their key; their grams are counted where they are. Only the counts meet the frequencies by
+    gram, and come back to their key, where norms and products are sums within a row.
+    """
+    rows = df.select(F.col(key).alias("__key"), tokens(F.col(pred)).alias("__p"), F.coalesce(F.transform(refs, tokens), F.array().cast("array<array<string>>")).alias("__r")).repartition("__key")
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("ref"), F.col("__p").alias("tok"))), F.transform("__r", lambda t, i: F.struct(i.cast("int").alias("ref"), t.alias("tok"))))
+    grams = _gram_counts(rows.select("__key", F.explode(sides).alias("s")).select("__key", "s.ref", "s.tok"), ["__key", "ref"], "tok")
+    freq = grams.where("ref >= 0").select("__key", "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
+    total = df.agg(F.count("*").alias("rows"))  # one row
+    weighed = grams.join(freq, ["n", "g"], "left").crossJoin(F.broadcast(total)).withColumn("w", F.col("c") * (F.log("rows") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))))
+    side = F.struct("ref", "w")
+    both = weighed.repartition("__key").groupBy("__key", "n", "g").agg(F.coalesce(F.max(F.when(F.col("ref") < 0, F.col("w"))), F.lit(0.0)).alias("wp"), F.collect_list(side).alias("s"))
+    sums = both.select("__key", "n", "wp", F.explode("s").alias("s")).groupBy("__key", "n", "s.ref").agg(F.sum(F.least("wp", "s.w") * F.col("s.w")).alias("dot"), F.sqrt(F.sum(F.col("s.w") ** 2)).alias("norm"))
+    sums = sums.groupBy("__key").agg(F.collect_list(F.struct("n", "ref", "dot", "norm")).alias("e"))
+    lengths = rows.select("__key", F.size("__p").alias("__lp"), F.transform("__r", F.size).alias("__lr"))
+    norm_p = lambda n: F.aggregate(F.filter("e", lambda x: (x["ref"] < 0) & (x["n"] == n)), F.lit(0.0), lambda acc, x: acc + x["norm"])
+    apart = lambda ref: F.col("__lp") - F.get("__lr", ref)
+    near = lambda x: F.coalesce(F.try_divide(x["dot"], norm_p(x["n"]) * x["norm"]), F.lit(0.0)) * F.exp(-(apart(x["ref"]) ** 2) / (2 * sigma**2))
+    s = F.aggregate(F.filter("e", lambda x: x["ref"] >= 0), F.lit(0.0), lambda acc, x: acc + near(x))
+    scored = lengths.join(sums, "__key", "left").select(F.col("__key").alias(key), F.coalesce(10 * s / (4 * F.size("__lr")), F.lit(0.0)).alias("cider"))
+    return scored
 
 
 def bleu4(df: DataFrame, key: str, pred: str, refs: str) -> DataFrame:

@@ -33,9 +33,15 @@ def pack_interval(buffer: list[tuple], capacity: int, final: bool) -> tuple[list
     return (groups, []) if final or not groups else (groups[:-1], groups[-1])
 
 
-def pack(df: DataFrame, id_col: str, length: str, order: str, shards: int = 32, interval: int = 64, capacity: int = 4096) -> DataFrame:
+#: Rows of a shard, where their number isn't given.
+SHARD_ROWS = 1 << 17
+
+
+def pack(df: DataFrame, id_col: str, length: str, order: str, shards: int | None = None, interval: int = 64, capacity: int = 4096) -> DataFrame:
     """(shard, group_id, members array<struct<id, length>>, total): each shard packs its rows in ``order``, ``interval`` at a time, and
-    carries its last bin on, so the memory of a task is one interval. Null lengths count as 0."""
+    carries its last bin on, so the memory of a task is one interval. Null lengths count as 0. Without ``shards``, there is one for each
+    ``SHARD_ROWS`` rows, so that tasks grow with the table."""
+    shards = shards or max(1, -(-df.count() // SHARD_ROWS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[int, tuple[list, int]] = {}
