@@ -215,11 +215,14 @@ def min_area_rect(p: pd.Series) -> pd.Series:
 def raster_np(polygons: list[list[float]], height: int, width: int) -> np.ndarray:
     """Mask of polygons, outline included: pixels within half a pixel of the polygon's interior or edges."""
     out = np.zeros((height, width), np.uint8)
-    yy, xx = np.mgrid[0:height, 0:width].astype(float)
     for p in polygons:
         q = np.array(p, float).reshape(-1, 2)
-        inside = np.zeros((height, width), bool)
-        near = np.zeros((height, width), bool)
+        (x0, y0), (x1, y1) = (int(v) for v in np.maximum(np.floor(q.min(axis=0)), 0)), (int(v) for v in np.minimum(np.ceil(q.max(axis=0)), (width - 1, height - 1)))
+        if x1 < x0 or y1 < y0:
+            continue
+        yy, xx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1].astype(float)  # no other pixel is within half a pixel
+        inside = np.zeros(yy.shape, bool)
+        near = np.zeros(yy.shape, bool)
         for (ax, ay), (bx, by) in zip(q, np.roll(q, -1, axis=0)):
             crosses = (ay > yy) != (by > yy)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -227,7 +230,7 @@ def raster_np(polygons: list[list[float]], height: int, width: int) -> np.ndarra
             n = (bx - ax) ** 2 + (by - ay) ** 2
             t = np.clip(((xx - ax) * (bx - ax) + (yy - ay) * (by - ay)) / n, 0, 1) if n else np.zeros_like(xx)
             near |= np.maximum(abs(xx - ax - t * (bx - ax)), abs(yy - ay - t * (by - ay))) <= 0.5
-        out |= (inside | near).astype(np.uint8)
+        out[y0 : y1 + 1, x0 : x1 + 1] |= (inside | near).astype(np.uint8)
     return out
 
 
@@ -251,7 +254,8 @@ def mask_counts(pred: Column, truth: Column, height: int = 256, width: int = 256
                 rows.append([height * width, 0, 0, 0])
                 continue
             x, y = (raster_np([] if m is None else list(m), height, width) for m in (a, b))
-            rows.append(np.bincount((2 * y + x).ravel(), minlength=4).tolist())
+            n, k, both = int(x.sum()), int(y.sum()), int((x & y).sum())
+            rows.append([height * width - n - k + both, n - both, k - both, both])
         return pd.DataFrame(rows, columns=["tn", "fp", "fn", "tp"])
 
     return counts(pred, truth)

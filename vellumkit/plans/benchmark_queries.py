@@ -8,16 +8,17 @@ from ..operators import benchmarks as B
 from .registry import Tables, query
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'find the ' || left(text, 12) ELSE 'find the ' || left(text, 12) END AS prompt, 'file:///data/' || source || '/' || doc_id || '.png' AS image, 2 AS turns FROM documents""")
+@query("""SELECT doc_id, 'find the ' || text AS prompt, 'file:///data/' || source || '/' || doc_id || '.png' AS image, 2 AS turns FROM documents
+    UNION ALL SELECT -1 - doc_id, 'Locate the ' || text || ', output the bbox coordinates using JSON format', 'file:///data/' || source || '/' || doc_id || '.png', 1 FROM documents""")
 def rec_prompts(t: Tables) -> DataFrame:
-    """Messages of a grounding benchmark in plain form."""
-    d = t.documents.select("doc_id", F.left("text", F.lit(12)).alias("normal_caption"), F.concat("source", F.lit("/"), "doc_id", F.lit(".png")).alias("image_id"))
-    m = B.prepare(d, "refcoco_val", "/data/", prompt_type="plain")
-    user = F.col("message")[1]["content"]
-    return m.select("doc_id", user[1]["text"].alias("prompt"), user[0]["media"].alias("image"), F.size("message").alias("turns"))
+    """Messages of a grounding benchmark in plain form, and in JSON form (ids below 0)."""
+    d = t.documents.select("doc_id", F.col("text").alias("normal_caption"), F.concat("source", F.lit("/"), "doc_id", F.lit(".png")).alias("image_id"))
+    plain, as_json = B.prepare(d, "refcoco_val", "/data/", prompt_type="plain"), B.prepare(d.withColumn("doc_id", -1 - F.col("doc_id")), "refcoco_val", "/data/", prompt_type="json")
+    of = lambda m: m.withColumn("u", F.element_at("message", -1)["content"]).select("doc_id", F.col("u")[1]["text"].alias("prompt"), F.col("u")[0]["media"].alias("image"), F.size("message").alias("turns"))
+    return of(plain).unionByName(of(as_json))
 
 
-_QA = "SELECT conv_id, min(CASE WHEN role = 'user' THEN left(text, 15) END) AS q, min(CASE WHEN role = 'assistant' THEN left(text, 10) END) AS a FROM conversations WHERE turn < 3 GROUP BY conv_id"
+_QA = "SELECT conv_id, min(CASE WHEN role = 'user' THEN text END) AS q, min(CASE WHEN role = 'assistant' THEN text END) AS a FROM conversations WHERE turn < 3 GROUP BY conv_id"
 
 
 @query(f"""WITH c AS ({_QA}), r AS (SELECT conv_id, 'i' || (conv_id % 7) || '.png' AS image_id, CASE WHEN conv_id % 3 = 1 THEN 'referring' WHEN conv_id % 3 = 2 THEN 'caption' ELSE 'vqa' END AS type, conv_id % 5 AS k, q, a FROM c WHERE q IS NOT NULL AND a IS NOT NULL),
@@ -25,7 +26,7 @@ _QA = "SELECT conv_id, min(CASE WHEN role = 'user' THEN left(text, 15) END) AS q
     SELECT question_id, image_id, type, coalesce(CASE WHEN type = 'referring' THEN normal_caption END, '') AS normal_caption, coalesce(array_to_string(solution, ','), '') AS solution, coalesce(answer, '') AS answer FROM f WHERE rn = 1""")
 def format_conversations(t: Tables) -> DataFrame:
     """Conversations become typed rows, the first of each."""
-    c = t.conversations.where("turn < 3").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "user", F.left("text", F.lit(15)))).alias("q"), F.min(F.when(F.col("role") == "assistant", F.left("text", F.lit(10)))).alias("a")).where("q is not null and a is not null")
+    c = t.conversations.where("turn < 3").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "user", F.col("text"))).alias("q"), F.min(F.when(F.col("role") == "assistant", F.col("text"))).alias("a")).where("q is not null and a is not null")
     k, kind = (F.col("conv_id") % 5).cast("string"), F.col("conv_id") % 3
     q = F.when(kind == 1, F.concat(F.lit("<image>\nWhere is <p>The ship "), k, F.lit("</p>?"))).when(kind == 2, "<image>\nDescribe it").otherwise(F.concat(F.lit("<image>\n"), "q"))
     a = F.when(kind == 1, F.concat(F.lit("{<1><"), k, F.lit("><3><4>}"))).otherwise(F.col("a"))
@@ -51,13 +52,21 @@ def vhm_router(t: Tables) -> DataFrame:
     return B.evaluate(rows, "vhm_hnstd_qa").select("metric", F.coalesce(F.round("value", 6), F.lit(-1.0)).alias("value"), "n")
 
 
-@query("""SELECT 'fmow_high_res_' || role || '_accuracy' AS metric, round(avg((conv_id % 2 = 0)::INT), 6) AS value, count(*) AS n FROM conversations GROUP BY role
-    UNION ALL SELECT 'xbd_dmg_cls_change_detection_classification_f1', 0.5, 0""")
+_DMG = ["no damage", "minor damage", "major damage", "destroyed"]
+
+
+@query(f"""WITH k AS (SELECT unnest({_DMG}) AS c), b AS (SELECT ({_DMG})[1 + l_partkey % 4] AS g, CASE WHEN l_linenumber % 3 = 0 THEN ({_DMG})[1 + l_suppkey % 4] WHEN l_linenumber % 7 = 1 THEN 'unsure' ELSE ({_DMG})[1 + l_partkey % 4] END AS p, (l_quantity::INT + 1) * (l_linenumber + 2) AS a FROM lineitem WHERE l_partkey % 11 > 0),
+    s AS (SELECT c, coalesce((SELECT sum(a) FROM b WHERE g = c AND p = c), 0) AS tp, coalesce((SELECT sum(a) FROM b WHERE p = c AND g <> c), 0) AS fp, coalesce((SELECT sum(a) FROM b WHERE g = c AND p <> c AND p <> 'unsure'), 0) AS fn, coalesce((SELECT sum(a) FROM b WHERE g = c), 0) AS n FROM k),
+    f AS (SELECT 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1, n / (SELECT sum(a) FROM b) AS share FROM s)
+    SELECT 'fmow_high_res_' || role || '_accuracy' AS metric, round(avg((conv_id % 2 = 0)::INT), 6) AS value, count(*) AS n FROM conversations GROUP BY role
+    UNION ALL SELECT 'xbd_dmg_cls_change_detection_classification_f1', round(sum(f1 / share) / sum(1 / share), 6), 0 FROM f""")
 def teochatlas_router(t: Tables) -> DataFrame:
-    """Rules by dataset and task."""
-    poly = "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0))"
-    a = t.conversations.select(F.lit("FMoW_high_res").alias("dataset"), F.col("role").alias("task"), F.when(F.col("conv_id") % 2 == 0, "A Port!").otherwise("other").alias("output"), F.lit("a port").alias("ground_truth"), F.lit(poly).alias("polygon"))
-    b = t.region.select(F.lit("xBD_dmg_cls").alias("dataset"), F.lit("change_detection_classification").alias("task"), F.lit("Destroyed").alias("output"), F.when(F.col("r_regionkey") % 2 == 0, "destroyed").otherwise("Unclassified").alias("ground_truth"), F.lit(poly).alias("polygon"))
-    c = b.withColumn("output", F.lit("No damage")).withColumn("ground_truth", F.when(F.col("ground_truth") == "destroyed", "Minor damage").otherwise("Unclassified"))
-    out = B.evaluate(a.unionByName(b).unionByName(c), "teochatlas_all")
-    return out.select("metric", F.round("value", 6).alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Rules by dataset and task; boxes of line items, of varying area, are classified."""
+    k = F.col("l_partkey")
+    a = t.conversations.select(F.lit("FMoW_high_res").alias("dataset"), F.col("role").alias("task"), F.when(F.col("conv_id") % 2 == 0, "A Port!").otherwise("other").alias("output"), F.lit("a port").alias("ground_truth"), F.lit(None).cast("string").alias("polygon"))
+    name = lambda i: F.element_at(F.array(*map(F.lit, _DMG)), (1 + i % 4).cast("int"))
+    w, h = F.col("l_quantity").cast("int").cast("string"), (F.col("l_linenumber") + 1).cast("string")  # with its outline a pixel more either way
+    poly = F.concat(F.lit("POLYGON ((0 0, "), w, F.lit(" 0, "), w, F.lit(" "), h, F.lit(", 0 "), h, F.lit(", 0 0))"))
+    out = F.when(F.col("l_linenumber") % 3 == 0, name(F.col("l_suppkey"))).when(F.col("l_linenumber") % 7 == 1, "unsure").otherwise(name(k))
+    b = t.lineitem.select(F.lit("xBD_dmg_cls").alias("dataset"), F.lit("change_detection_classification").alias("task"), F.initcap(out).alias("output"), F.when(k % 11 == 0, "Unclassified").otherwise(name(k)).alias("ground_truth"), poly.alias("polygon"))
+    return B.evaluate(a.unionByName(b), "teochatlas_all").select("metric", F.round("value", 6).alias("value"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -138,7 +138,7 @@ def frames_sorted(t: Tables) -> DataFrame:
 @query()
 def pack_best_fit(t: Tables) -> DataFrame:
     """Documents packed into sequences of 8,192 characters."""
-    return P.pack(t.documents.select("doc_id", F.least("n_chars", F.lit(20_000)).alias("n_chars")), "doc_id", "n_chars", "doc_id", shards=8, interval=64, capacity=8192)
+    return P.pack(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars", "doc_id", shards=8, interval=64, capacity=8192)
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(range(1 + vec_id % 5), lambda i: (vec_id + i)::INT) AS ids FROM embeddings), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY label) AS m FROM v)
@@ -152,11 +152,11 @@ def pad_batch(t: Tables) -> DataFrame:
     return P.pad_batch(v.withColumnRenamed("label", "batch"), "batch", "ids", "y").select("vec_id", "input_ids", "labels", "attention_mask", "position_ids")
 
 
-@query("""WITH l AS (SELECT l_orderkey, list({n: l_linenumber, p: (l_partkey % 100)::INT, s: (l_suppkey % 100)::INT} ORDER BY l_linenumber, l_partkey % 100, l_suppkey % 100) AS m FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey)
+@query("""WITH l AS (SELECT l_orderkey, list({n: l_linenumber, p: (l_partkey % 100)::INT, s: (l_suppkey % 100)::INT} ORDER BY l_linenumber, l_partkey % 100, l_suppkey % 100) AS m FROM lineitem GROUP BY l_orderkey)
     SELECT l_orderkey, flatten(list_transform(m, lambda e: [e.p, e.s])) AS input_ids, flatten(list_transform(m, lambda e: [-100, e.s])) AS labels, flatten(list_transform(range(len(m)), lambda k: [k::INT, k::INT])) AS example_ids, flatten(list_transform(m, lambda e: [0::INT, 1::INT])) AS position_ids FROM l""")
 def flatten_group(t: Tables) -> DataFrame:
     """An order's items as one sequence."""
-    d = t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.array((F.col("l_partkey") % 100).cast("int"), (F.col("l_suppkey") % 100).cast("int")).alias("ids"))
+    d = t.lineitem.select("l_orderkey", "l_linenumber", F.array((F.col("l_partkey") % 100).cast("int"), (F.col("l_suppkey") % 100).cast("int")).alias("ids"))
     return P.flatten_group(d, "l_orderkey", "l_linenumber", "ids", "ids")
 
 

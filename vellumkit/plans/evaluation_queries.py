@@ -60,7 +60,7 @@ def rec_acc_at_05(t: Tables) -> DataFrame:
 
 
 _NORM = lambda c: f"trim(trim(lower({c}), chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '.')"
-_PG = "SELECT lang, source, left(text, 40) AS gt, CASE WHEN doc_id % 3 = 0 THEN '  ' || left(text, 40) || '.' WHEN doc_id % 3 = 1 THEN 'I see ' || left(text, 40) ELSE left(text, 12) END AS pred, doc_id FROM documents WHERE doc_id % 2 = 0"
+_PG = "SELECT lang, source, text AS gt, CASE WHEN doc_id % 3 = 0 THEN '  ' || text || '.' WHEN doc_id % 3 = 1 THEN 'I see ' || text ELSE left(text, length(text) // 3) END AS pred, doc_id FROM documents"
 
 
 @query(f"""WITH d AS ({_PG}), n AS (SELECT lang, {_NORM("gt")} AS g, {_NORM("pred")} AS p FROM d)
@@ -73,19 +73,19 @@ def identical_contain_prefix_acc(t: Tables) -> DataFrame:
 
 
 def _answers(t: Tables) -> DataFrame:
-    gt = F.substring("text", 1, 40)
-    pred = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), gt, F.lit("."))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("I see "), gt)).otherwise(F.substring("text", 1, 12))
-    return t.documents.where(F.col("doc_id") % 2 == 0).select("lang", "source", gt.alias("gt"), pred.alias("pred"), "doc_id")
+    gt = F.col("text")
+    pred = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), gt, F.lit("."))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("I see "), gt)).otherwise(F.left("text", F.floor(F.length("text") / 3).cast("int")))
+    return t.documents.select("lang", "source", gt.alias("gt"), pred.alias("pred"), "doc_id")
 
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-@query(f"""WITH c AS (SELECT role, translate(lower(left(text, 30)), '{_PUNCT}', '') AS p, translate(lower(left(text, 30 - (conv_id % 4)::INT)), '{_PUNCT}', '') AS g FROM conversations WHERE text IS NOT NULL)
+@query(f"""WITH c AS (SELECT role, translate(lower(text), '{_PUNCT}', '') AS p, translate(lower(left(text, length(text) - (conv_id % 4)::INT)), '{_PUNCT}', '') AS g FROM conversations WHERE text IS NOT NULL)
     SELECT role AS task, round(avg((p = g OR (contains(p, 'the') AND contains(g, 'the')) OR (contains(p, 'de') AND contains(g, 'de')))::INT), 6) AS accuracy, count(*) AS n FROM c GROUP BY role""")
 def task_keyword_acc(t: Tables) -> DataFrame:
     """X2, A10."""
-    c = t.conversations.where("text is not null").select(F.col("role").alias("task"), F.substring("text", 1, 30).alias("p"), F.left("text", (30 - F.col("conv_id") % 4).cast("int")).alias("g"))
+    c = t.conversations.where("text is not null").select(F.col("role").alias("task"), F.col("text").alias("p"), F.left("text", (F.length("text") - F.col("conv_id") % 4).cast("int")).alias("g"))
     return _rounded(M.task_accuracy(c, "task", "p", "g", ["the", "de"]))
 
 
@@ -203,12 +203,12 @@ def mae_mape(t: Tables) -> DataFrame:
 
 
 _TOK = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
-_CAP = "SELECT conv_id * 100 + turn AS k, left(text, 60) AS p, [left(text, 50), substr(text, 5, 60)] AS refs FROM conversations WHERE role = 'assistant' AND length(text) > 20"
+_CAP = "SELECT conv_id * 100 + turn AS k, left(text, length(text) - 9) AS p, [left(text, length(text) - 20), substr(text, 5)] AS refs FROM conversations WHERE role = 'assistant' AND length(text) > 20"
 _GRAMS = lambda t: f"unnest(list_concat({', '.join(f'list_transform(range(greatest(0, len({t}) - {n - 1})), lambda i: {{n: {n}, g: array_to_string({t}[i + 1 : i + {n}], chr(32))}})' for n in (1, 2, 3, 4))}))"
 
 
 def _captions(t: Tables) -> DataFrame:
-    return t.conversations.where("role = 'assistant' and length(text) > 20").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.left("text", F.lit(60)).alias("p"), F.array(F.left("text", F.lit(50)), F.substring("text", 5, 60)).alias("refs"))
+    return t.conversations.where("role = 'assistant' and length(text) > 20").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.left("text", F.length("text") - 9).alias("p"), F.array(F.left("text", F.length("text") - 20), F.expr("substring(text, 5)")).alias("refs"))
 
 
 _NG = f"""d AS ({_CAP}), pt AS (SELECT k, {_TOK("p")} AS t FROM d), rt AS (SELECT k, r.i AS ref, {_TOK("r.t")} AS t FROM (SELECT k, unnest([{{i: 0, t: refs[1]}}, {{i: 1, t: refs[2]}}]) AS r FROM d)),
@@ -237,80 +237,126 @@ def bleu4(t: Tables) -> DataFrame:
 
 
 def _order_boxes(t: Tables) -> DataFrame:
-    b = t.lineitem.where("l_orderkey % 3 = 0").selectExpr("l_orderkey", "l_linenumber", f"cast({_X} as double) as x", f"cast({_Y} as double) as y", f"cast({_W} as double) as w", f"cast({_H} as double) as h", f"cast({_DX} as int) as dx")
+    b = t.lineitem.selectExpr("l_orderkey", "l_linenumber", f"cast({_X} as double) as x", f"cast({_Y} as double) as y", f"cast({_W} as double) as w", f"cast({_H} as double) as h", f"cast({_DX} as int) as dx")
     gt = F.struct("l_linenumber", "x", "y", "dx", F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("b"))
     pred = F.struct("l_linenumber", "x", "y", "dx", F.array(F.col("x") + F.col("dx"), F.col("y"), F.col("x") + F.col("w") + F.col("dx"), F.col("y") + F.col("h")).alias("b"))
     boxes = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda s: s["b"])
     return b.groupBy("l_orderkey").agg(boxes(gt).alias("gt"), boxes(pred).alias("pred"))
 
 
-@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_X}::DOUBLE AS x, {_Y}::DOUBLE AS y, {_W}::DOUBLE AS w, {_H}::DOUBLE AS h, ({_DX})::INT AS dx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_X}, {_Y}, {_DX}) - 1)::INT AS k FROM lineitem WHERE l_orderkey % 3 = 0),
-    m AS (SELECT p.l_orderkey, p.k AS i, g.k AS j, greatest(0, least(p.x + p.dx + p.w, g.x + g.w) - greatest(p.x + p.dx, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS inter, p.w * p.h + g.w * g.h AS areas,
-        (greatest(p.x + p.dx + p.w, g.x + g.w) - least(p.x + p.dx, g.x)) * (greatest(p.y + p.h, g.y + g.h) - least(p.y, g.y)) - (greatest(0, -(p.x + p.dx - g.x) * (p.y - g.y)) + greatest(0, -(p.x + p.dx + p.w - g.x - g.w) * (p.y + p.h - g.y - g.h)) + greatest(0, (p.x + p.dx + p.w - g.x - g.w) * (p.y - g.y)) + greatest(0, (p.x + p.dx - g.x) * (p.y + p.h - g.y - g.h))) / 2 AS hull FROM b p JOIN b g USING (l_orderkey))
-    SELECT l_orderkey, i, j, round(inter / (areas - inter) - (hull - (areas - inter)) / hull, 6) AS giou FROM m""")
+_GIOU = """SELECT l_orderkey, i, j, inter / (areas - inter) - (hull - (areas - inter)) / hull AS giou FROM (SELECT p.l_orderkey, p.k AS i, g.k AS j, greatest(0, least(p.x + p.dx + p.w, g.x + g.w) - greatest(p.x + p.dx, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS inter, p.w * p.h + g.w * g.h AS areas,
+        (greatest(p.x + p.dx + p.w, g.x + g.w) - least(p.x + p.dx, g.x)) * (greatest(p.y + p.h, g.y + g.h) - least(p.y, g.y)) - (greatest(0, -(p.x + p.dx - g.x) * (p.y - g.y)) + greatest(0, -(p.x + p.dx + p.w - g.x - g.w) * (p.y + p.h - g.y - g.h)) + greatest(0, (p.x + p.dx + p.w - g.x - g.w) * (p.y - g.y)) + greatest(0, (p.x + p.dx - g.x) * (p.y + p.h - g.y - g.h))) / 2 AS hull FROM b p JOIN b g USING (l_orderkey))"""
+
+
+@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_X}::DOUBLE AS x, {_Y}::DOUBLE AS y, {_W}::DOUBLE AS w, {_H}::DOUBLE AS h, ({_DX})::INT AS dx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_X}, {_Y}, {_DX}) - 1)::INT AS k FROM lineitem)
+    SELECT l_orderkey, i, j, round(giou, 6) AS giou FROM ({_GIOU})""")
 def giou_matrix(t: Tables) -> DataFrame:
     """Every pair of an order's boxes, within the row."""
     b = _order_boxes(t)
     return _rounded(b.select("l_orderkey", F.explode(D.pair_matrix(F.col("pred"), F.col("gt"))).alias("e")).select("l_orderkey", "e.i", "e.j", F.col("e.v").alias("giou")))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey, l_linenumber, {_X}::DOUBLE AS x, {_Y}::DOUBLE AS y, {_W}::DOUBLE AS w, {_H}::DOUBLE AS h, ({_DX})::INT AS dx, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_X}, {_Y}, {_DX}) - 1)::INT AS k FROM lineitem),
+    o AS (SELECT l_orderkey, count(*) AS n, max(CASE WHEN k = 0 THEN w * h END) > 2500 AS big FROM b GROUP BY l_orderkey), m AS ({_GIOU}),
+    r AS (SELECT l_orderkey, 0 AS n, []::INT[] AS a, []::INT[] AS c FROM o UNION ALL
+        SELECT l_orderkey, n + 1, list_append(a, i), list_append(c, j) FROM (SELECT r.*, i, j, row_number() OVER (PARTITION BY r.l_orderkey ORDER BY giou DESC, i, j) AS q FROM r JOIN m ON m.l_orderkey = r.l_orderkey WHERE giou >= 0.5 AND NOT list_contains(a, i) AND NOT list_contains(c, j)) WHERE q = 1),
+    f AS (SELECT l_orderkey, max(n) AS tp FROM r GROUP BY l_orderkey),
+    s AS (SELECT (tp = n)::INT AS ok, CASE WHEN big THEN 'large' ELSE 'small' END AS size_group, CASE WHEN n = 1 THEN 'single' ELSE 'multiple' END AS obj_count FROM f JOIN o USING (l_orderkey))
+    SELECT size_group, obj_count, round(avg(ok), 6) AS acc, count(*) AS n, (1 - grouping(size_group))::INT AS by_size_group, (1 - grouping(obj_count))::INT AS by_obj_count FROM s GROUP BY GROUPING SETS ((), (size_group), (obj_count))""")
 def giou_greedy_match_groupingsets(t: Tables) -> DataFrame:
     """Orders whose boxes are all matched, by size and count."""
     b = _order_boxes(t).withColumns({"ok": D.referring_ok(F.col("pred"), F.col("gt")), "obj_count": F.when(F.size("gt") == 1, "single").otherwise("multiple"), "size_group": F.when(G.polygon_area(F.array(*[F.col("gt")[0][k] for k in (0, 1, 2, 1, 2, 3, 0, 3)])) > 2500, "large").otherwise("small")})
     return _rounded(M.grouping_sets_accuracy(b, F.col("ok"), [[], ["size_group"], ["obj_count"]]))
 
 
-@query()
+_ORD = "(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + cast(l_quantity as bigint)"
+
+
+@query(f"""WITH b AS (SELECT l_orderkey AS image, l_returnflag AS cls, {_X}::DOUBLE AS x, {_Y}::DOUBLE AS y, {_W}::DOUBLE AS w, {_H}::DOUBLE AS h, ({_DX})::DOUBLE AS dx, l_quantity AS score, {_ORD} AS ord FROM lineitem),
+    m AS (SELECT p.image, p.cls, p.score, p.ord, g.ord AS gord, g.x AS gx, g.y AS gy, greatest(0, least(p.x + 2 * p.dx + p.w, g.x + g.w) - greatest(p.x + 2 * p.dx, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS inter, p.w * p.h + g.w * g.h AS areas FROM b p JOIN b g ON p.image = g.image AND p.cls = g.cls),
+    n AS (SELECT *, inter / (areas - inter) AS iou, row_number() OVER (PARTITION BY image, cls, score, ord ORDER BY inter / (areas - inter) DESC, gord) AS r FROM m),
+    h AS (SELECT cls, score, ord, (iou >= 0.5 AND row_number() OVER (PARTITION BY image, cls, gord, iou >= 0.5 ORDER BY score DESC, ord) = 1)::INT AS tp FROM n WHERE r = 1),
+    c AS (SELECT cls, tp, row_number() OVER w AS rk, sum(tp) OVER w AS cum FROM h WINDOW w AS (PARTITION BY cls ORDER BY score DESC, ord ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT cls, tp, max(cum / rk) OVER (PARTITION BY cls ORDER BY rk DESC ROWS UNBOUNDED PRECEDING) AS best FROM c)
+    SELECT cls, round(sum(tp * best) / count(*), 6) AS ap, count(*) AS n_gt FROM e GROUP BY cls""")
 def detection_ap50(t: Tables) -> DataFrame:
     """AP at IoU 0.5 of line items' boxes, images are orders and classes return flags."""
-    b = t.lineitem.where("l_orderkey % 5 = 0").selectExpr("l_orderkey as image", "l_returnflag as cls", f"cast({_X} as double) as x", f"cast({_Y} as double) as y", f"cast({_W} as double) as w", f"cast({_H} as double) as h", f"cast({_DX} as double) as dx", "l_quantity as score", "l_orderkey * 10 + l_linenumber as ord")
+    b = t.lineitem.selectExpr("l_orderkey as image", "l_returnflag as cls", f"cast({_X} as double) as x", f"cast({_Y} as double) as y", f"cast({_W} as double) as w", f"cast({_H} as double) as h", f"cast({_DX} as double) as dx", "l_quantity as score", f"{_ORD} as ord")
     truth = b.select("image", "cls", F.lit(None).cast("double").alias("score"), "ord", F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("box"), F.lit("gt").alias("kind"))
     pred = b.select("image", "cls", "score", "ord", F.array(F.col("x") + 2 * F.col("dx"), "y", F.col("x") + F.col("w") + 2 * F.col("dx"), F.col("y") + F.col("h")).alias("box"), F.lit("pred").alias("kind"))
     return _rounded(D.average_precision(D.assign_detections(truth.unionByName(pred), "image", "cls", "score", "ord"), "cls", "score", "ord"))
 
 
-@query("""WITH d AS (SELECT l_orderkey, l_linenumber, (100 + l_partkey % 3000)::DOUBLE AS h, (100 + l_suppkey * 37 % 3000)::DOUBLE AS w FROM lineitem WHERE l_orderkey % 4 = 0),
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, (100 + l_partkey % 3000)::DOUBLE AS h, (100 + l_suppkey * 37 % 3000)::DOUBLE AS w FROM lineitem),
     a AS (SELECT *, greatest(28, round_even(h / 28, 0) * 28) AS h0, greatest(28, round_even(w / 28, 0) * 28) AS w0, sqrt(h * w / 1003520.0::DOUBLE) AS dn, sqrt(3136.0::DOUBLE / (h * w)) AS up FROM d),
     r AS (SELECT l_orderkey, l_linenumber, CASE WHEN h0 * w0 > 1003520 THEN greatest(28, floor(h / dn / 28) * 28) WHEN h0 * w0 < 3136 THEN ceil(h * up / 28) * 28 ELSE h0 END::INT AS rh, CASE WHEN h0 * w0 > 1003520 THEN greatest(28, floor(w / dn / 28) * 28) WHEN h0 * w0 < 3136 THEN ceil(w * up / 28) * 28 ELSE w0 END::INT AS rw FROM a)
     SELECT l_orderkey, l_linenumber, rh, rw, ((rh // 14) * (rw // 14) // 4)::INT AS tokens FROM r""")
 def smart_resize_tokens(t: Tables) -> DataFrame:
     """G7, P39."""
-    d = t.lineitem.where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", G.smart_resize((100 + F.col("l_partkey") % 3000).cast("double"), (100 + F.col("l_suppkey") * 37 % 3000).cast("double")).alias("s"))
+    d = t.lineitem.select("l_orderkey", "l_linenumber", G.smart_resize((100 + F.col("l_partkey") % 3000).cast("double"), (100 + F.col("l_suppkey") * 37 % 3000).cast("double")).alias("s"))
     return d.select("l_orderkey", "l_linenumber", F.col("s.h").alias("rh"), F.col("s.w").alias("rw"), G.image_tokens(F.col("s.h"), F.col("s.w")).alias("tokens"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_size WHEN p_partkey % 4 = 1 THEN 21 WHEN p_partkey % 4 = 2 THEN 20 ELSE -1 END::INT AS number,
-    (p_partkey % 2 = 1) AS choice, round(CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 1.0 END, 6)::DOUBLE AS colour, (p_partkey % 5 < 2) AS presence FROM part""")
+_TENS, _ONES = "['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety']", "['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine']"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 8 AS a, p_partkey // 8 % 9 AS b, (['A', 'B', 'C', 'D'])[1 + p_size % 4] AS c, (['A', 'B', 'C', 'D'])[1 + p_partkey % 4] AS x, (['red', 'green', 'blue', 'grey'])[1 + p_size % 4] AS u, (['red', 'green', 'blue', 'grey'])[1 + p_partkey % 4] AS v FROM part)
+    SELECT k AS p_partkey, CASE k % 4 WHEN 0 THEN s WHEN 1 THEN 20 + 10 * a + 1 + b WHEN 2 THEN 20 + 10 * a ELSE -1 END::INT AS number, CASE WHEN k % 2 = 1 THEN x ELSE 'A' END = c AS choice, CASE WHEN u = v THEN 1.0 ELSE 0.5 END::DOUBLE AS colour,
+        CASE k % 5 WHEN 0 THEN s % 2 = 0 WHEN 1 THEN s % 2 = 0 WHEN 3 THEN s % 2 = 1 ELSE false END AS presence FROM p""")
 def answer_parsers(t: Tables) -> DataFrame:
-    """Numbers, choices, colours, presence out of answers."""
-    k = F.col("p_partkey")
-    text = F.when(k % 4 == 0, F.concat(F.lit("about "), F.col("p_size"), F.lit(" cars and 7"))).when(k % 4 == 1, "Twenty-one cars").when(k % 4 == 2, "twenty one").otherwise("no number here")
-    choice = F.when(k % 2 == 1, "it is B.").otherwise("Answer: B")
-    colour = F.when(k % 3 == 0, "light red").otherwise("Red and blue")
+    """Numbers, choices, colours, presence out of answers that vary with each row."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    of = lambda names, i: F.element_at(F.expr("array" + names.replace("[", "(").replace("]", ")")), (1 + i).cast("int"))
+    tens, ones = of(_TENS, k % 8), of(_ONES, F.floor(k / 8) % 9)
+    text = F.when(k % 4 == 0, F.concat(F.lit("about "), s, F.lit(" cars and 7"))).when(k % 4 == 1, F.concat(F.initcap(tens), F.lit("-"), ones, F.lit(" cars"))).when(k % 4 == 2, F.concat(tens, F.lit(" "), ones)).otherwise("no number here")
+    letters, colours = "['A', 'B', 'C', 'D']", "['red', 'green', 'blue', 'grey']"
+    choice = F.when(k % 2 == 1, F.concat(F.lit("it is "), of(letters, k % 4), F.lit("."))).otherwise(F.concat(F.lit("Answer: "), of(letters, k % 4)))
+    colour = F.when(of(colours, s % 4) == of(colours, k % 4), F.concat(F.lit("Mostly "), of(colours, k % 4))).otherwise(F.concat(F.lit("light "), of(colours, k % 4)))
+    truth = F.when(of(colours, s % 4) == of(colours, k % 4), of(colours, s % 4)).otherwise(F.concat_ws(", ", of(colours, s % 4), of(colours, k % 4)))
     presence = F.when(k % 5 == 0, "Yes.").when(k % 5 == 1, "that is true").when(k % 5 == 2, "Yes, there is none").when(k % 5 == 3, "no").otherwise("maybe")
-    return t.part.select("p_partkey", F.coalesce(X.parse_number(text), F.lit(-1)).alias("number"), X.eval_choice(choice, F.lit("b")).alias("choice"), R6(X.eval_color(colour, F.lit("red, blue"))).alias("colour"), X.eval_presence(presence, F.lit("yes")).alias("presence"))
+    return t.part.select("p_partkey", F.coalesce(X.parse_number(text), F.lit(-1)).alias("number"), X.eval_choice(choice, F.lower(of(letters, s % 4))).alias("choice"), R6(X.eval_color(colour, truth)).alias("colour"), X.eval_presence(presence, F.when(s % 2 == 0, "yes").otherwise("no")).alias("presence"))
+
+
+_BOXTEXT = "'[' || a || ', ' || b || ', ' || (a + 5) || ', ' || (b + 5) || ']'"
 
 
-@query("""SELECT l_orderkey, l_linenumber, 'a [' || (x * 336 // 100) || ', ' || (y * 224 // 100) || ', ' || ((x + 5) * 336 // 100) || ', ' || ((y + 5) * 224 // 100) || '] b' AS pixels, 'a b' AS bare, true AS same
-    FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 90)::BIGINT AS x, (l_suppkey % 90)::BIGINT AS y FROM lineitem WHERE l_orderkey % 6 = 0)""")
+@query(f"""WITH d AS (SELECT l_orderkey, l_linenumber, l_returnflag AS f, l_quantity::INT % 4 AS q, (l_partkey % 90)::BIGINT AS x, (l_suppkey % 90)::BIGINT AS y FROM lineitem),
+    e AS (SELECT *, x AS a, y AS b FROM d), n AS (SELECT *, {_BOXTEXT} AS own, replace({_BOXTEXT}, '[' || a, '[' || (a + 1)) AS other FROM e)
+    SELECT l_orderkey, l_linenumber, f || ' [' || (x * 336 // 100) || ', ' || (y * 224 // 100) || ', ' || ((x + 5) * 336 // 100) || ', ' || ((y + 5) * 224 // 100) || '] ' || CASE WHEN q = 1 THEN '[1, 2, 3] ' ELSE '' END || 'at ' || q AS pixels,
+        f || ' at ' || q AS bare, q < 2 AS same, q = 3 AS nothing_else FROM n""")
 def box_text_rewrite(t: Tables) -> DataFrame:
-    """X6, X15, X17, F10."""
-    d = t.lineitem.where("l_orderkey % 6 = 0").withColumn("s", F.concat(F.lit("a ["), F.concat_ws(", ", F.col("l_partkey") % 90, F.col("l_suppkey") % 90, F.col("l_partkey") % 90 + 5, F.col("l_suppkey") % 90 + 5), F.lit("] b")))
-    return d.select("l_orderkey", "l_linenumber", X.denormalize_boxes(F.col("s"), F.lit(336), F.lit(224)).alias("pixels"), X.remove_boxes(F.col("s")).alias("bare"), X.same_boxes(F.col("s"), F.concat(F.lit("x "), F.col("s"))).alias("same"))
+    """Lists of other lengths stay; the boxes of a text are those of another, or not, or all there is."""
+    a, b, q = F.col("l_partkey") % 90, F.col("l_suppkey") % 90, F.col("l_quantity").cast("int") % 4
+    box = lambda d: F.concat(F.lit("["), F.concat_ws(", ", a + d, b, a + 5, b + 5), F.lit("]"))
+    s = F.concat("l_returnflag", F.lit(" "), box(0), F.lit(" "), F.when(q == 1, "[1, 2, 3] ").otherwise(""), F.lit("at "), q.cast("string"))
+    other = F.concat(F.lit("x "), box(F.when(q < 2, 0).otherwise(1)), F.when(q == 1, " [1, 2, 3]").otherwise(""))
+    alone = F.when(q == 3, F.concat(box(0), F.lit(", "), box(1), F.lit("."))).otherwise(F.concat(box(0), F.lit(" and "), box(1)))
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.denormalize_boxes(s, F.lit(336), F.lit(224)).alias("pixels"), X.remove_boxes(s).alias("bare"), X.same_boxes(s, other).alias("same"), X.are_all_boxes(alone).alias("nothing_else"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS k, array_to_string(list_transform(range(8), lambda i: 10 + p_partkey % 50 + i), ',') AS poly FROM part)
+    SELECT k AS p_partkey, poly AS json_polys, CASE WHEN k % 5 = 4 THEN 'a b' ELSE 'ship ' || k % 7 END AS json_labels, CASE WHEN k % 3 = 0 THEN poly || '|' || poly ELSE poly END AS plain_polys, CASE WHEN k % 3 = 0 THEN 'ship|big ship' ELSE 'ship' END AS plain_labels FROM p""")
 def json_repair_parse(t: Tables) -> DataFrame:
-    """Broken detection answers and plain ones give the same instances."""
+    """Answers with each kind of slip, and lines of other forms among the good ones, give the instances that they hold."""
     k = F.col("p_partkey")
-    poly = F.concat_ws(", ", *[(k % 50 + i).cast("string") for i in range(8)])
-    broken = F.concat(F.lit('```json\n[\n{"quadrant bbox": ('), poly, F.lit('), "label": "label": "Ship"},,\n{"quadrant bbox": [1 2 3], "label": "cut\n]\n```'))
-    plain = F.concat(F.replace(poly, F.lit(", "), F.lit(",")), F.lit(",99 Ship \n1,2 short\nwords only"))
-    return t.part.select("p_partkey", X.json_instances(broken).alias("from_json"), X.plain_instances(plain).alias("from_plain"))
-
-
-@query("""SELECT o_orderkey, exp(avg(l_quantity / 50)) AS raw, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey""".replace("exp(avg(l_quantity / 50)) AS raw", "round(exp(avg(l_quantity / 50)), 6) AS ppl").replace(", count(*) AS n", ""))
+    poly = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (10 + k % 50 + i).cast("string")), ", ")
+    label = F.concat(F.lit("Ship "), (k % 7).cast("string"))
+    item = lambda box, name: F.concat(F.lit('{"quadrant bbox": '), box, F.lit(', "label": '), name, F.lit("}"))
+    square, quoted = F.concat(F.lit("["), poly, F.lit("]")), F.concat(F.lit('"'), label, F.lit('"'))
+    one = (
+        F.when(k % 5 == 0, item(F.concat(F.lit("("), poly, F.lit(")")), quoted)).when(k % 5 == 1, F.concat(item(square, F.concat(F.lit('"label": '), quoted)), F.lit(",,")))
+        .when(k % 5 == 2, item(F.replace(square, F.lit(", "), F.lit(" ")), quoted)).when(k % 5 == 3, item(F.replace(square, F.lit(", "), F.lit(",, , ")), quoted)).otherwise(item(square, F.lit('"A b"')))
+    )
+    broken = F.concat(F.lit("```json\n[\n"), one, F.lit(',\n{"quadrant bbox": [1, 2, 3], "label": "short"},\n{"quadrant bbox": [1, 2, 3, 4, 5, 6, 7, "x"], "label": "odd"},\n{"quadrant bbox": [1 2 3], "label": "cut\n]\n```'))
+    bare = F.replace(poly, F.lit(", "), F.lit(","))
+    plain = F.concat(bare, F.lit(",99 Ship \n1,2 short\nwords only\n"), F.when(k % 3 == 0, F.concat(bare, F.lit("  Big Ship"))).otherwise(""), F.lit("\n1,2,3,4,5,6,7,z ship"))
+    polys = lambda x: F.array_join(F.transform(x, lambda e: F.array_join(e["poly"].cast("array<string>"), ",")), "|")
+    labels = lambda x: F.array_join(F.transform(x, lambda e: e["label"]), "|")
+    j, q = X.json_instances(broken), X.plain_instances(plain)
+    return t.part.select("p_partkey", polys(j).alias("json_polys"), labels(j).alias("json_labels"), polys(q).alias("plain_polys"), labels(q).alias("plain_labels"))
+
+
+@query("SELECT o_orderkey, round(exp(avg(l_quantity / 50)), 6) AS ppl FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def perplexity(t: Tables) -> DataFrame:
     """Exp of the mean token loss, tokens being line items."""
     loss = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_quantity") / 50).alias("nll")).join(t.orders.select("o_orderkey"), "o_orderkey")

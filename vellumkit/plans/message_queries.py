@@ -11,14 +11,14 @@ from .registry import Tables, query
 
 def _conversations(t: Tables) -> DataFrame:
     """Conversations of two turns with two media tags in every third."""
-    c = t.conversations.where("role <> 'system' and text is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "human").otherwise("gpt").alias("from"), F.substring("text", 1, 20).alias("value")))).alias("c"))
+    c = t.conversations.where("role <> 'system' and text is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "human").otherwise("gpt").alias("from"), F.col("text").alias("value")))).alias("c"))
     tag = lambda i: F.when((F.col("conv_id") % 3 == 0) & (i == 0), "<image>\nand <video>").otherwise("")
     conv = F.transform("c", lambda m, i: F.struct(m["from"].alias("from"), F.concat(tag(i), m["value"]).alias("value")))
     name = lambda kind: F.array(F.concat(F.lit(kind), F.col("conv_id").cast("string")))
     return c.select("conv_id", conv.alias("conv"), name("i").alias("images"), name("v").alias("videos"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, left(text, 20) AS v FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
+@query("""WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, text AS v FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
     SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS users, (CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS media, CASE WHEN conv_id % 3 = 0 THEN 'i' || conv_id || ',v' || conv_id ELSE '' END AS files FROM c GROUP BY conv_id""")
 def conversation_to_messages(t: Tables) -> DataFrame:
     """Roles, tags and the files they take."""
@@ -28,7 +28,7 @@ def conversation_to_messages(t: Tables) -> DataFrame:
     return c.select("conv_id", F.size("m").cast("bigint").alias("turns"), F.size(F.filter("m", lambda x: x["role"] == "user")).cast("bigint").alias("users"), F.size(media).cast("bigint").alias("media"), F.array_join(F.transform(media, lambda p: p["media"]), ",").alias("files"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rr, left(text, 20) AS v FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
+@query("""WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rr, text AS v FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
     SELECT conv_id, string_agg(CASE WHEN conv_id % 3 = 0 AND r = 1 THEN '<image>' || chr(10) || 'and <video>' || v WHEN conv_id % 3 <> 0 AND role = 'user' AND rr = 1 THEN '<image>' || chr(10) || v ELSE v END, '|' ORDER BY turn) AS conv FROM c GROUP BY conv_id""")
 def ensure_media_tag(t: Tables) -> DataFrame:
     """P16."""
@@ -58,11 +58,11 @@ def coco_denorm_nested(t: Tables) -> DataFrame:
     return out.select(F.col("id").cast("int").alias("id"), F.size("annotations").cast("bigint").alias("n"), total.alias("coords"), "categories", F.array_min(F.transform("annotations", lambda a: a["rank"])).alias("first_rank"))
 
 
-@query("""SELECT o_orderkey AS ref_id, l_linenumber AS sent_id, l_shipdate::DATE::VARCHAR AS sent, c_name AS file_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 0""")
+@query("""SELECT o_orderkey AS ref_id, l_linenumber AS sent_id, l_shipdate::DATE::VARCHAR AS sent, c_name AS file_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'""")
 def ref_index_joins(t: Tables) -> DataFrame:
     """References are orders, sentences their items, images their customers."""
     items = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("sent_id"), F.to_date("l_shipdate").cast("string").alias("sent"))).alias("sentences"))
-    refs = t.orders.where("o_orderkey % 4 = 0").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderkey").alias("ann_id"), F.col("o_custkey").alias("image_id"), F.col("o_orderstatus").alias("split"), "sentences")
+    refs = t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("ref_id"), F.col("o_orderkey").alias("ann_id"), F.col("o_custkey").alias("image_id"), F.col("o_orderstatus").alias("split"), "sentences")
     anns = t.orders.select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice")).alias("bbox"))
     images = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_name"))
     return S.refer_sentences(S.refer_filter(refs, "F"), anns, images).select("ref_id", "sent_id", "sent", "file_name")
@@ -114,10 +114,10 @@ def fuzzy_label_fallback(t: Tables) -> DataFrame:
     return S.fuzzy_labels(d, "label", _CLASSES)
 
 
-@query("""SELECT l_orderkey, string_agg(x || ',' || y || ',' || (x + 10) || ',' || (y + 5) || ' ship', chr(10) ORDER BY y, x) || chr(10) AS answer FROM (SELECT l_orderkey, (l_partkey % 90)::INT AS x, (l_suppkey % 70)::INT AS y FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, string_agg(x || ',' || y || ',' || (x + 10) || ',' || (y + 5) || ' ship', chr(10) ORDER BY y, x) || chr(10) AS answer FROM (SELECT l_orderkey, (l_partkey % 90)::INT AS x, (l_suppkey % 70)::INT AS y FROM lineitem) GROUP BY l_orderkey""")
 def detection_answers(t: Tables) -> DataFrame:
     """An order's items as sorted detections."""
-    d = t.lineitem.where("l_orderkey % 5 = 0").select("l_orderkey", (F.col("l_partkey") % 90).cast("int").alias("x"), (F.col("l_suppkey") % 70).cast("int").alias("y"))
+    d = t.lineitem.select("l_orderkey", (F.col("l_partkey") % 90).cast("int").alias("x"), (F.col("l_suppkey") % 70).cast("int").alias("y"))
     a = d.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit(0).alias("rank"), F.lit("ship").alias("name"), F.array("x", "y", F.col("x") + 10, F.col("y") + 5).alias("bbox"))).alias("anns"))
     return a.select("l_orderkey", S.detection_answer(F.col("anns"), as_json=False).alias("answer"))
 
@@ -140,13 +140,14 @@ def polygon_canonical(t: Tables) -> DataFrame:
     return p.withColumn("area", G.polygon_area(F.col("poly")))
 
 
-@query()
+@query("""WITH d AS (SELECT conv_id, text AS p, length(text) % 2 = 0 AND NOT contains(text, ' zoom ') AS again FROM conversations WHERE turn = 0 AND text IS NOT NULL), z AS (SELECT *, CASE WHEN again THEN p || ' zoom [1.0, 2.0, 3.0, ' || (4 + length(p) % 10) || '.0]' ELSE p END AS prompt FROM d)
+    SELECT conv_id, prompt, 'seen ' || length(prompt) AS output, CASE WHEN again THEN 2 ELSE 1 END AS rounds FROM z""")
 def zoom_chain_loop(t: Tables) -> DataFrame:
     """A stub model that asks for one zoom of every other prompt."""
 
     def factory():
-        call = '<tool_call>{"name": "zoom_in", "arguments": {"bbox_2d": [1, 2, 3, 4]}}</tool_call>'
-        return lambda b: b["prompt"].map(lambda p: call if len(p) % 2 == 0 and " zoom " not in p else f"seen {len(p)}")
+        call = '<tool_call>{"name": "zoom_in", "arguments": {"bbox_2d": [1, 2, 3, %d]}}</tool_call>'
+        return lambda b: b["prompt"].map(lambda p: call % (4 + len(p) % 10) if len(p) % 2 == 0 and " zoom " not in p else f"seen {len(p)}")
 
-    d = t.conversations.where("turn = 0 and text is not null").select("conv_id", F.left("text", F.lit(40)).alias("prompt"))
+    d = t.conversations.where("turn = 0 and text is not null").select("conv_id", F.col("text").alias("prompt"))
     return model.zoom_loop(d, factory)
