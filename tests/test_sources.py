@@ -96,3 +96,31 @@ def test_sinks(spark, tmp_path):
     assert K.pending(todo, spark, str(tmp_path / "done")).count() == 2
     K.mark_done(spark, str(tmp_path / "done"), "a")
     assert [r["benchmark"] for r in K.pending(todo, spark, str(tmp_path / "done")).collect()] == ["b"]
+
+
+def test_patches_are_merged(spark):
+    square = lambda x, y: [x, y, x + 20.0, y, x + 20.0, y + 20.0, x, y + 20.0]
+    rows = [("I__2.0__100___40", "ship", 0.5, square(10.0, 0.0)), ("I__2.0__0___0", "ship", 0.9, square(112.0, 40.0)), ("I__2.0__0___0", "plane", 0.1, square(110.0, 40.0)), ("plain", "ship", 0.3, square(1.0, 2.0))]
+    got = K.merge_patches(spark.createDataFrame(rows, "image string, class_name string, score double, poly array<double>")).collect()
+    assert sorted((r["image"], r["class_name"], r["score"], r["poly"][0], r["poly"][1]) for r in got) == [("I", "plane", 0.1, 55.0, 20.0), ("I", "ship", 0.9, 56.0, 20.0), ("plain", "ship", 0.3, 1.0, 2.0)]
+
+
+def test_catalog_of_names_and_yaml(spark, tmp_path):
+    text = "a: {annotation_path: p}\nb: [a, {annotation_path: q}]\nc: b\n"
+    (tmp_path / "c.yaml").write_text(text)
+    yaml = pytest.importorskip("yaml")
+    want = [("a", "p"), ("b", "p"), ("b", "q"), ("c", "p"), ("c", "q")]
+    (tmp_path / "c.json").write_text(json.dumps(yaml.safe_load(text)))
+    for name in ("c.yaml", "c.json"):
+        assert [(r["name"], r["annotation_path"]) for r in R.read_catalog(spark, str(tmp_path / name)).collect()] == want
+    (tmp_path / "d.json").write_text('{"a": "b", "b": "a"}')
+    with pytest.raises(ValueError):
+        R.read_catalog(spark, str(tmp_path / "d.json"))
+
+
+def test_rotated_boxes_of_xml(spark, tmp_path):
+    corners = "".join(f"<{a}{k}>{v}</{a}{k}>" for k, p in (("_left_top", (0, 1)), ("_right_top", (4, 1)), ("_right_bottom", (4, 3)), ("_left_bottom", (0, 3))) for a, v in zip("xy", p))
+    objects = f"<object><name>Ship</name><robndbox><cx>10</cx><cy>5</cy><w>4</w><h>2</h><angle>90</angle></robndbox></object><object><name>dam</name><polygon>{corners}</polygon></object>"
+    (tmp_path / "a.xml").write_text(f"<annotation><filename>a.png</filename>{objects}</annotation>")
+    got = {r["class_name"]: (r["file_name"], [round(v, 6) for v in r["poly"]]) for r in R.read_rotated_boxes(spark, str(tmp_path)).collect()}
+    assert got == {"ship": ("a", [11.0, 3.0, 11.0, 7.0, 9.0, 7.0, 9.0, 3.0]), "dam": ("a", [0.0, 1.0, 4.0, 1.0, 4.0, 3.0, 0.0, 3.0])}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .packing import mask_labels
 
@@ -47,15 +48,20 @@ def chat_spans(message: Column, media_tokens: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<text: string, is_label: boolean>>"), merge)
 
 
+def _sent(tokenizer_path: str):
+    """The tokenizer's file, read on the driver, for the executors."""
+    return SparkSession.active().sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+
+
 def tokenize(df: DataFrame, spans: str, tokenizer_path: str) -> DataFrame:
-    """Columns input_ids and labels (P38): each span is encoded by itself; ids outside the labels are ignored. The file must be at
-    the same path on each executor."""
+    """Columns input_ids and labels (P38): each span is encoded by itself; ids outside the labels are ignored."""
+    sent = _sent(tokenizer_path)
 
     @F.pandas_udf("ids array<int>, keep array<boolean>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
+        tok = Tokenizer.from_str(sent.value)
         for rows in batches:
             lists = [[] if r is None else [(s["text"] or "", bool(s["is_label"])) for s in r] for r in rows]
             encoded = iter(tok.encode_batch([t for x in lists for t, _ in x], add_special_tokens=False))
@@ -75,12 +81,13 @@ def tokenize(df: DataFrame, spans: str, tokenizer_path: str) -> DataFrame:
 
 def sample_length(spans: Column, tokenizer_path: str) -> Column:
     """Number of tokens, without keeping them."""
+    sent = _sent(tokenizer_path)
 
     @F.pandas_udf("int")
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
+        tok = Tokenizer.from_str(sent.value)
         for rows in batches:
             yield pd.Series([0 if r is None else sum(len(e.ids) for e in tok.encode_batch([s["text"] or "" for s in r], add_special_tokens=False)) for r in rows], dtype="int32")
 

@@ -55,18 +55,18 @@ def vhm_router(t: Tables) -> DataFrame:
 _DMG = ["no damage", "minor damage", "major damage", "destroyed"]
 
 
-@query(f"""WITH k AS (SELECT unnest({_DMG}) AS c), b AS (SELECT ({_DMG})[1 + l_partkey % 4] AS g, CASE WHEN l_linenumber % 3 = 0 THEN ({_DMG})[1 + l_suppkey % 4] WHEN l_linenumber % 7 = 1 THEN 'unsure' ELSE ({_DMG})[1 + l_partkey % 4] END AS p, (l_quantity::INT + 1) * (l_linenumber + 2) AS a FROM lineitem WHERE l_partkey % 11 > 0),
+@query(f"""WITH k AS (SELECT unnest({_DMG}) AS c), b AS (SELECT ({_DMG})[1 + p_partkey % 4] AS g, CASE WHEN p_partkey % 9 % 3 = 0 THEN ({_DMG})[1 + p_size % 4] WHEN p_partkey % 9 = 1 THEN 'unsure' ELSE ({_DMG})[1 + p_partkey % 4] END AS p, (p_size + 1) * (p_partkey % 9 + 2) AS a FROM part WHERE p_partkey % 11 > 0),
     s AS (SELECT c, coalesce((SELECT sum(a) FROM b WHERE g = c AND p = c), 0) AS tp, coalesce((SELECT sum(a) FROM b WHERE p = c AND g <> c), 0) AS fp, coalesce((SELECT sum(a) FROM b WHERE g = c AND p <> c AND p <> 'unsure'), 0) AS fn, coalesce((SELECT sum(a) FROM b WHERE g = c), 0) AS n FROM k),
     f AS (SELECT 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1, n / (SELECT sum(a) FROM b) AS share FROM s)
     SELECT 'fmow_high_res_' || role || '_accuracy' AS metric, round(avg((conv_id % 2 = 0)::INT), 6) AS value, count(*) AS n FROM conversations GROUP BY role
     UNION ALL SELECT 'xbd_dmg_cls_change_detection_classification_f1', round(sum(f1 / share) / sum(1 / share), 6), 0 FROM f""")
 def teochatlas_router(t: Tables) -> DataFrame:
-    """Rules by dataset and task; boxes of line items, of varying area, are classified."""
-    k = F.col("l_partkey")
+    """Rules by dataset and task; boxes of parts, of varying area, are classified."""
+    k, n = F.col("p_partkey"), F.col("p_partkey") % 9
     a = t.conversations.select(F.lit("FMoW_high_res").alias("dataset"), F.col("role").alias("task"), F.when(F.col("conv_id") % 2 == 0, "A Port!").otherwise("other").alias("output"), F.lit("a port").alias("ground_truth"), F.lit(None).cast("string").alias("polygon"))
     name = lambda i: F.element_at(F.array(*map(F.lit, _DMG)), (1 + i % 4).cast("int"))
-    w, h = F.col("l_quantity").cast("int").cast("string"), (F.col("l_linenumber") + 1).cast("string")  # with its outline a pixel more either way
+    w, h = F.col("p_size").cast("string"), (n + 1).cast("string")  # with its outline a pixel more either way
     poly = F.concat(F.lit("POLYGON ((0 0, "), w, F.lit(" 0, "), w, F.lit(" "), h, F.lit(", 0 "), h, F.lit(", 0 0))"))
-    out = F.when(F.col("l_linenumber") % 3 == 0, name(F.col("l_suppkey"))).when(F.col("l_linenumber") % 7 == 1, "unsure").otherwise(name(k))
-    b = t.lineitem.select(F.lit("xBD_dmg_cls").alias("dataset"), F.lit("change_detection_classification").alias("task"), F.initcap(out).alias("output"), F.when(k % 11 == 0, "Unclassified").otherwise(name(k)).alias("ground_truth"), poly.alias("polygon"))
+    out = F.when(n % 3 == 0, name(F.col("p_size"))).when(n == 1, "unsure").otherwise(name(k))
+    b = t.part.select(F.lit("xBD_dmg_cls").alias("dataset"), F.lit("change_detection_classification").alias("task"), F.initcap(out).alias("output"), F.when(k % 11 == 0, "Unclassified").otherwise(name(k)).alias("ground_truth"), poly.alias("polygon"))
     return B.evaluate(a.unionByName(b), "teochatlas_all").select("metric", F.round("value", 6).alias("value"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -44,12 +44,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder; ``name`` comes last."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}-{name}"
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back, so that what follows reads only its columns; with the path."""
-    spark = prepare(df.sparkSession)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path), path
+    return df.sparkSession.read.parquet(path), path
 
 
 def removed(spark: SparkSession, path: str) -> bool:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.geometry import polygon_iou_np
+
 
 def write_results(df: DataFrame, path: str, drop: tuple[str, ...] = ("content",)) -> None:
     """Inference results without binary columns."""
@@ -45,6 +48,27 @@ def write_submission(dets: DataFrame, path: str) -> None:
     dets.select("class_name", line.alias("line")).write.mode("overwrite").partitionBy("class_name").text(path)
 
 
+def merge_patches(dets: DataFrame, iou: float = 0.1) -> DataFrame:
+    """Detections of patches named <image>__<scale>__<x>___<y>, in the coordinates of the image, without those that overlap a better one of
+    the class by more than ``iou`` (K9). Names of another form are images of their own. Score ties go to the lesser polygon."""
+    part = lambda k: F.regexp_extract("image", r"^(.*)__([0-9.]+)__(-?\d+)___(-?\d+)$", k)
+    patch = part(1) != ""
+    shift, scale = F.array(part(3).try_cast("double"), part(4).try_cast("double")), part(2).try_cast("double")
+    moved = F.transform("poly", lambda v, i: F.when(patch, (v + F.get(shift, (i % 2).cast("int"))) / scale).otherwise(v.cast("double")))
+    rows = dets.select(F.when(patch, part(1)).otherwise(F.col("image")).alias("__image"), "class_name", F.col("score").cast("double").alias("score"), moved.alias("poly"))
+    rows = rows.withColumnRenamed("__image", "image")  # within a lambda the name would mean the new column
+
+    def best(own: pd.DataFrame) -> pd.DataFrame:  # of an image and class
+        order = sorted(range(len(own)), key=lambda k: (-own["score"].iloc[k], list(own["poly"].iloc[k])))
+        kept: list[int] = []
+        for k in order:
+            if all(polygon_iou_np(list(own["poly"].iloc[k]), list(own["poly"].iloc[j])) <= iou for j in kept):
+                kept.append(k)
+        return own.iloc[kept]
+
+    return rows.groupBy("image", "class_name").applyInPandas(best, rows.schema)
+
+
 def write_ranked(df: DataFrame, path: str, score: str = "ppl") -> None:
     """Candidates by falling score."""
     df.orderBy(F.desc(score)).write.mode("overwrite").json(path)
