@@ -128,6 +128,63 @@ def test_licenses_with_an_insertion_as_long_as_themselves():
         assert found == (k <= len(t.words))
 
 
+def any_window(t, words):
+    """Whether any stretch of up to twice the template, wherever it starts, aligns enough."""
+    for lo in range(len(words)):
+        for hi in range(lo + 1, min(len(words), lo + 2 * len(t.words)) + 1):
+            got = L.align(t.words, words[lo:hi])
+            if len(got) >= t.need and 2 * len(got) >= got[-1][1] + 1 - got[0][1] and t.marked([(i, j + lo) for i, j in got], words):
+                return True
+    return False
+
+
+def test_windows_against_all_stretches():
+    """Templates with words left out, replaced and inserted, among words that repeat those of the template."""
+    rng, found = random.Random(3), 0
+    other = "the and of license software under copyright x1 x2 x3 permission notice".split()
+    for name in ("mit-line", "cc-by-4.0", "gpl-3-line", "apache-2.0-line", "cc-by-nc-sa-4.0-line"):
+        t = L.Template.of(name, L.TEMPLATES[name])
+        noise = lambda n: [rng.choice(other + t.words) for _ in range(n)]  # noqa: B023, E731
+        for _ in range(120):
+            w = list(t.words)
+            for _ in range(rng.randint(0, 3)):
+                at, kind = rng.randrange(len(w)), rng.random()
+                w[at : at + (kind < 0.6)] = noise(0 if kind < 0.35 else 1 if kind < 0.6 else rng.randint(1, len(t.words)))
+            words = noise(rng.randint(0, 6)) + w + noise(rng.randint(0, 6))
+            assert (t.best(words)[0] > 0) == any_window(t, words)
+            found += t.best(words)[0] > 0
+    assert 300 < found < 560
+
+
+def test_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+        assert L.Template.of("t", " ".join(a)).in_order(b) == n[-1][-1]
+
+
+def test_the_whole_query_against_plain_python(spark):
+    """Every document and template by ``best``, without the set operations that skip most; offsets and coverage from its places."""
+    from vellumkit.llm import queries as Q
+
+    from ..oracle import SF
+
+    want = set()
+    ready = [L.Template.of(n, t) for n, t in L.TEMPLATES.items()]
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        lower = (r["text"] or "").lower()
+        spans = [m.span() for m in L.WORD.finditer(lower)]
+        for t in ready:
+            n, own = t.best([lower[a:b] for a, b in spans])
+            if n:
+                want.add((r["doc_id"], t.name, spans[own[0][1]][0], spans[own[-1][1]][1], len(own), round(len(own) / len(t.words), 6), n))
+    assert {tuple(r) for r in Q.op7_license_scan(spark, SF).collect()} == want and want
+
+
 def test_triggers_skip_nothing():
     """A text that covers a template enough always has a trigger."""
     rng = random.Random(2)

@@ -8,7 +8,8 @@ licenses of a family apart, so a template has ``MARKS``: words that must be alig
 
 A stretch is tried around each word of a text that is one of the template's triggers: its rarer words, so many that an
 alignment with the coverage asked for can't do without all of them. So texts without any trigger, nearly all, cost
-one set operation, and no other text is skipped. Templates are constants; texts stay where they are, without a shuffle.
+one set operation, and no other text is skipped. Of the windows around a trigger three for each of its places in the template are
+aligned; if none of them will do, though the widest has enough words in common in their order, all are. Templates are constants; texts stay where they are, without a shuffle.
 """
 
 from __future__ import annotations
@@ -132,6 +133,11 @@ class Template:
     must: frozenset[str] = frozenset()
     bars: frozenset[str] = frozenset()
 
+    def __post_init__(self) -> None:
+        self.bits: dict[str, int] = {}  # a word's places in the template
+        for i, w in enumerate(self.words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << i
+
     @classmethod
     def of(cls, name: str, text: str, min_coverage: float = MIN_COVERAGE) -> Template:
         words = WORD.findall(text.lower())
@@ -146,25 +152,50 @@ class Template:
     def marked(self, own: list[tuple[int, int]], words: list[str]) -> bool:
         return self.must <= {self.words[i] for i, _ in own} and self.bars.isdisjoint(words[own[0][1] : own[-1][1] + 1])
 
+    def in_order(self, words: list[str]) -> int:
+        """Length of the longest common subsequence, by bits: no alignment has more words."""
+        every = (1 << len(self.words)) - 1
+        left = every
+        for w in words:
+            hit = left & self.bits.get(w, 0)
+            left = ((left + hit) | (left - hit)) & every
+        return len(self.words) - left.bit_count()
+
     def best(self, words: list[str]) -> tuple[int, list[tuple[int, int]]]:
         """(occurrences, the aligned places (in the template, in the text) of the best one)."""
         n, found, best, after = len(self.words), 0, [], 0
+        tried: set[tuple[int, int]] = set()
         for p, w in enumerate(words):
             if p < after or w not in self.triggers:
                 continue
             own: list[tuple[int, int]] = []
+
+            def align_in(lo: int, hi: int) -> None:
+                nonlocal own
+                if (self.count & Counter(words[lo:hi])).total() < max(self.need, len(own) + 1):
+                    return  # words in common are too few for any alignment
+                got = [(i, j + lo) for i, j in align(self.words, words[lo:hi])]
+                if len(got) > len(own) and 2 * len(got) >= got[-1][1] + 1 - got[0][1] and self.marked(got, words):
+                    own = got
+
             for k in self.triggers[w]:
                 for s in (0, n // 2 + 2, n):  # an insertion may be as long as the template
-                    lo, hi = max(after, p - k - s), min(len(words), p - k + n + s)
-                    if (self.count & Counter(words[lo:hi])).total() < max(self.need, len(own) + 1):
-                        continue  # words in common are too few for any alignment
-                    got = [(i, j + lo) for i, j in align(self.words, words[lo:hi])]
-                    if len(got) > len(own) and 2 * len(got) >= got[-1][1] + 1 - got[0][1] and self.marked(got, words):
-                        own = got
+                    align_in(max(after, p - k - s), min(len(words), p - k + n + s))
                 if len(own) == n:
                     break
+            if len(own) < self.need:
+                for k in self.triggers[w]:
+                    lo, hi = max(after, p - k - n), min(len(words), p - k + 2 * n)
+                    if (self.count & Counter(words[lo:hi])).total() < self.need or self.in_order(words[lo:hi]) < self.need:
+                        continue
+                    for a in range(lo, p + 1):
+                        for b in range(max(p + 1, a + self.need), hi + 1):
+                            if (a, b) not in tried:
+                                tried.add((a, b))
+                                align_in(a, b)
             if len(own) >= self.need:
                 found, after = found + 1, own[-1][1] + 1
+                tried.clear()
                 if len(own) > len(best):
                     best = own
         return found, best
