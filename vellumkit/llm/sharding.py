@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranking import mixed_key, mixed_key_sql, rank_within
-from ..runtime import prepare
+from ..runtime import checkpoint, join_checked, prepare
 
 SHARD_ROWS, SEED = 2048, 17
 
@@ -41,11 +41,15 @@ def shard_assignment(docs: DataFrame, shard_rows: int = SHARD_ROWS, seed: int =
 
 
 def shard(docs: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """``docs`` with columns shard and position (of these names, columns of ``docs`` are replaced), each shard in one
-    partition and in order. Rows that repeat a doc_id share its place."""
-    placed = shard_assignment(docs, shard_rows, seed).select(F.col("doc_id").alias("__doc"), "shard", "position")
+    """``docs`` with columns shard and position (of these names, columns of ``docs`` are replaced; other names don't matter), each shard
+    in one partition and in order. Rows that repeat a doc_id share its place, as do those of a null doc_id; a null source is a source of
+    its own; nulls in other columns and texts of any length don't matter. An empty table stays empty.
+
+    Texts are shuffled once, to their shards, while the places fit the checked broadcast; beyond it once more, by doc_id.
+    """
+    placed = checkpoint(shard_assignment(docs, shard_rows, seed).select(F.col("doc_id").alias("__doc"), "shard", "position"))
     kept = docs.drop("shard", "position")
-    out = kept.join(placed, kept["doc_id"].eqNullSafe(placed["__doc"])).drop(placed["__doc"])
+    out = join_checked(kept, placed, kept["doc_id"].eqNullSafe(placed["__doc"]), "inner", 60).drop(placed["__doc"])
     return out.repartition("shard").sortWithinPartitions("shard", "position")
 
 
