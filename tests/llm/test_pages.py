@@ -85,3 +85,79 @@ def test_ratios_by_hand():
 @pytest.mark.parametrize("html,text", [("plain\ntext", "plain\ntext"), ("<p>a &amp; b", "a & b"), ("<script>x", ""), ("<!-- c --><br>", ""), ("<p>" + "word " * 100_000, ("word " * 100_000).strip()), ("<b><i>unclosed", "unclosed"), ("<", "<")])
 def test_odd_pages(html, text):
     assert H.extract(html)[0] == text
+
+
+def by_hand(html):
+    """Content of a page from the events of a parser of its own, one loop a step."""
+    import math
+    from html.parser import HTMLParser
+
+    events = []
+
+    class Events(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            events.append(("<", tag))
+
+        def handle_endtag(self, tag):
+            events.append((">", tag))
+
+        def handle_data(self, data):
+            events.append(("t", data))
+
+    p = Events(convert_charrefs=True)
+    p.feed(html)
+    p.close()
+    rows, text, tags, hidden = [], "", 0, None
+
+    def cut(seen):
+        if seen:
+            rows.append((" ".join(text.split()), tags))
+        return "", 0
+
+    seen = False
+    for kind, x in events:
+        if hidden:
+            if kind == ">" and (x == hidden or x in ("head", "body", "html")):
+                hidden = None
+        elif kind == "<" and x in H.SKIPPED:
+            hidden = x
+        elif kind == "<":
+            if x in H.BLOCKS:
+                text, tags = cut(seen)
+            tags, seen = tags + 1, True
+        elif kind == ">":
+            tags, seen = tags + 1, True
+            if x in H.BLOCKS:
+                text, tags = cut(seen)
+                seen = False
+        else:
+            for k, line in enumerate(x.split("\n")):
+                if k:
+                    text, tags = cut(seen)
+                text, seen = text + line, True
+    cut(seen)
+    if not rows:
+        return "", 0, 0
+    ratio = [len(t) / max(1, n) for t, n in rows]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(math.exp(-0.5 * (j - i) ** 2), ratio[j]) for j in range(max(0, i - 2), min(len(ratio), i + 3))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    threshold = 0.5 * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
+    keep = [t for (t, _), s in zip(rows, smooth) if t and s > 0 and s >= threshold]
+    return "\n".join(keep), len(rows), len(keep)
+
+
+def test_the_whole_query_against_loops(spark):
+    from vellumkit.llm import queries as Q
+
+    from ..oracle import SF
+
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = Q.op3_html_extraction(spark, SF).collect()
+    assert len(got) == len(html) and all(html.values())
+    for r in got:
+        assert (r["text"], r["n_lines"], r["n_content_lines"]) == by_hand(html[r["page_id"]])
+    for page in (PAGE, "plain\ntext", "<script>x", "<p>a<b>c</p>\n\n<div></div>", ""):
+        assert H.extract(page)[:3] == by_hand(page)

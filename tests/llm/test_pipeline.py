@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as C
 from vellumkit.llm import decontamination, mixing, sharding, simhash, toxicity
 
-from .common import SCHEMA, edited, text
+from .common import SCHEMA, edge_docs, edited, text
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -89,6 +89,29 @@ def test_empty_table(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).count() == 0
 
 
+def test_awkward_rows_and_columns(spark, tmp_path):
+    """Null ids, texts and sources, empty and very long texts, repeated rows, columns of the operators' names: through run() as through the stages."""
+    docs = edge_docs(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, 1, 1), (6, 0, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text(9)), (None, text(4)), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [c for c in docs.columns if c not in ("shard", "position")] + ["shard", "position"]
+    got = C.run(spark, str(tmp_path)).collect()
+    assert got[0].__fields__ == want
+    ids = sorted(str(r["doc_id"]) for r in got)
+    assert ids == sorted(["None", "None", "1", "2", "3", "4", "5", "6", "7", "8"])  # one of the two rows 5; -9 holds an item
+    assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] == 6} == {6: text(6, 60_000)}
+    assert all(r["shard"] is not None and r["position"] is not None for r in got)
+
+
+def test_a_stray_source_does_not_empty_the_pipeline(spark, tmp_path):
+    rows = [(k, text(k, 40), "en", "src3" if k % 2 else "src4", 9) for k in range(200)] + [(900, text(900, 40), "en", None, 9)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 201
+
+
 def test_all_ten_are_registered():
     import __spark_entry__ as e
 

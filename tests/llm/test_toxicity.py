@@ -134,3 +134,28 @@ def test_all_of_a_planted_set_goes(spark):
     kept = {r["doc_id"] for r in X.drop_toxic(docs, labels).collect()}
     toxic, clean = {i for i, _, y in rows if y}, {i for i, _, y in rows if not y}
     assert len(kept & toxic) <= 0.05 * len(toxic) and len(kept & clean) >= 0.97 * len(clean)
+
+
+def test_the_whole_query_against_loops(spark):
+    """Scores of all documents from the fitted numbers, by plain loops over the terms and their pairs; the threshold; the labels that count."""
+    import math
+
+    from vellumkit.llm import queries as Q
+
+    from ..oracle import SF
+
+    d, l = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = X.train(d, l)
+    weight = {int(b): (float(m.linear[k]), m.factors[k].tolist()) for k, b in enumerate(m.used)}
+    got = {r["doc_id"]: r for r in Q.op2_toxicity(spark, SF).collect()}
+    rows = d.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = {w for w in X.WORD.findall((r["text"] or "").lower())}
+        terms = {t for w in words for t in [w, *(w[:k] + str(k) for k in (4, 5, 6) if len(w) >= k)]}
+        mine = sorted({b for b in (X.xxhash.xxh3_64_intdigest(t) % X.BUCKETS for t in terms) if b in weight})
+        z = m.bias + sum(weight[b][0] for b in mine) + sum(sum(x * y for x, y in zip(weight[a][1], weight[b][1])) for i, a in enumerate(mine) for b in mine[:i])
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=2e-6)
+        assert got[r["doc_id"]]["toxic"] == (got[r["doc_id"]]["score"] >= X.THRESHOLD)
+    truth = {r["doc_id"]: r["toxic"] for r in l.collect()}
+    assert np.mean([got[i]["toxic"] == bool(t) for i, t in truth.items()]) > 0.9  # few labels, but it has learnt
