@@ -288,3 +288,67 @@ def benchmark_suffix(x: Column) -> Column:
     pattern = r"^(.*?)(_unique)?_(\d+)$"
     k = F.regexp_extract(x, pattern, 3)
     return F.struct(F.when(k != "", F.regexp_extract(x, pattern, 1)).otherwise(x).alias("name"), F.coalesce(k.try_cast("int"), F.lit(0)).alias("shots"), (F.regexp_extract(x, pattern, 2) != "").alias("is_unique"))
+
+
+# --- likeness of labels ------------------------------------------------------------------------------------------------
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """Share of the letters of both that a longest common subsequence covers, in percent; 100 for two empty texts."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    bits: dict[str, int] = {}
+    for i, c in enumerate(a):
+        bits[c] = bits.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    left = every
+    for c in b:
+        hit = left & bits.get(c, 0)
+        left = ((left + hit) | (left - hit)) & every
+    return 200.0 * (len(a) - left.bit_count()) / (len(a) + len(b))
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter text with a stretch of the longer one, which may hang over an end."""
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 100.0 if not b else 0.0
+    pairs = [(a, b), (b, a)] if len(a) == len(b) else [(a, b)]
+    return max(indel_ratio(x, y[max(0, k) : k + len(x)]) for x, y in pairs for k in range(1 - len(x), len(y)))
+
+
+def _token_ratios(a: str, b: str, ratio) -> float:
+    """The better of the ratios with words sorted, and as sets: what both have against each with its own words."""
+    x, y = sorted(a.split()), sorted(b.split())
+    both, own = sorted({*x} & {*y}), [sorted({*p} - {*q}) for p, q in ((x, y), (y, x))]
+    best = ratio(" ".join(x), " ".join(y))
+    if not x or not y:
+        return best
+    if both and not all(own):
+        return 100.0
+    if ratio is partial_ratio:
+        return 100.0 if both else max(best, ratio(*(" ".join(o) for o in own)))
+    joined = [" ".join([*both, *o]) for o in own]
+    pairs = [joined] + ([(" ".join(both), j) for j in joined] if both else [])
+    return max([best, *(ratio(*p) for p in pairs)])
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """Likeness of two labels from 0 to 100 (J12): the plain ratio, the ratios by words at 0.95, and for lengths that differ by half or more
+    those of a stretch, at 0.9, or 0.6 beyond eight times the length."""
+    if not a or not b:
+        return 0.0
+    apart = max(len(a), len(b)) / min(len(a), len(b))
+    plain = indel_ratio(a, b)
+    if apart < 1.5:
+        return max(plain, 0.95 * _token_ratios(a, b, indel_ratio))
+    scale = 0.9 if apart < 8 else 0.6
+    return max(plain, scale * partial_ratio(a, b), 0.95 * scale * _token_ratios(a, b, partial_ratio))
+
+
+def ptb_tokens(x: Column) -> Column:
+    """Lower-cased words in the manner of the Penn treebank, without punctuation (A20): contractions are cut before their apostrophe."""
+    y = F.lower(x)
+    for pattern, by in ((r"([\w.])(n't)\b", r"$1 $2"), (r"('(?:s|m|d|re|ve|ll))\b", r" $1"), (r"\.\.\.|--+", " "), (r"([^\w\s'.,:/-])", " "), (r"(?<![0-9])[.,:/]|[.,:/](?![0-9])", " "), (r"(?<!\w)-|-(?!\w)", " "), (r"(?:^|\s)'(?!(?:s|m|d|re|ve|ll)\b)|'(?:\s|$)", " ")):
+        y = F.regexp_replace(y, pattern, by)
+    return F.filter(F.split(y, r"\s+"), lambda w: w != "")

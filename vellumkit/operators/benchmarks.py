@@ -94,6 +94,14 @@ def prepare(df: DataFrame, benchmark: str, root: str, image: str = "image_id", p
     return build_prompts(df, fam, F.col(column), F.concat_ws("/", F.lit(root.rstrip("/")), F.col(image)), prompt_type, prefix)
 
 
+def check_prompt_type(candidates: DataFrame, prompt_type: str, text: str = "instruction") -> None:
+    """Ranked in-context candidates must have been scored with the prompts of this run (F12): an error if one speaks of JSON where plain text
+    is asked for, or the other way round."""
+    is_json = F.contains(F.lower(text), F.lit("json"))
+    if candidates.where(is_json != F.lit(prompt_type == "json")).select(F.lit(1)).first():
+        raise ValueError(f"the candidates were not ranked with prompts of type {prompt_type}")
+
+
 def as_list(gt: Column) -> Column:
     """Captions are judged against a list."""
     return F.array(gt)
@@ -338,16 +346,16 @@ def teochatlas_scores(df: DataFrame) -> DataFrame:
 
 def detection_scores(df: DataFrame, classes: list[str], prompt_type: str = "json", clear_for_empty: bool = False) -> DataFrame:
     """AP at IoU 0.5 by class, and their mean (A21), of answers with lists of instances against gt array<struct<poly, label>>, by the
-    overlap of the quadrangles themselves; labels outside the classes become the nearest by edit distance (J12). Answers are blank
+    overlap of the quadrangles themselves; labels outside the classes become the best by weighted ratio (J12). Answers are blank
     where the truth is empty, if asked for (F9)."""
     inst = X.json_instances(F.col("output")) if prompt_type == "json" else X.plain_instances(F.col("output"))
     inst = F.when(F.lit(clear_for_empty) & (F.size("gt") == 0), F.array().cast("array<struct<poly: array<int>, label: string>>")).otherwise(inst)
     sx, sy = F.col("original_width") / F.col("resized_width"), F.col("original_height") / F.col("resized_height")
     scaled = F.transform(inst, lambda e: F.struct(F.transform(e["poly"], lambda v, i: v * F.when(i % 2 == 0, sx).otherwise(sy)).alias("poly"), e["label"].alias("label")))
-    from .messages import fuzzy_labels
+    from .messages import weighted_labels
 
     pred = df.select("file_name", F.posexplode_outer(scaled).alias("k", "e")).where("e is not null").select("file_name", F.col("e.label").alias("label"), F.lit(1.0).alias("score"), F.col("k").cast("bigint").alias("ord"), F.col("e.poly").cast("array<double>").alias("box"), F.lit("pred").alias("kind"))
-    pred = fuzzy_labels(pred, "label", classes).drop("label").withColumnRenamed("matched", "cls")
+    pred = weighted_labels(pred, "label", classes).drop("label").withColumnRenamed("matched", "cls")
     truth = df.select("file_name", F.posexplode("gt").alias("k", "e")).select("file_name", F.col("e.label").alias("cls"), F.lit(None).cast("double").alias("score"), F.col("k").cast("bigint").alias("ord"), F.col("e.poly").cast("array<double>").alias("box"), F.lit("gt").alias("kind"))
     ap = D.average_precision(D.assign_detections(pred.unionByName(truth), "file_name", "cls", "score", "ord"), "cls", "score", "ord")
     return tidy(ap, F.col("cls"), ["ap"], "n_gt").unionByName(tidy(ap.agg(F.avg("ap").alias("mAP"), F.sum("n_gt").alias("n"))))

@@ -120,3 +120,14 @@ def expand_catalog(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     prepare(catalog.sparkSession)
     asked = requests.select(F.regexp_replace("request", r"[%*].*$", "").alias("asked"), sampling_rate(F.col("request")).alias("rate"))
     return catalog.join(F.broadcast(asked), (F.col("asked") == "all") | (F.col("asked") == F.col("name"))).drop("asked")  # requests are a driver-side list
+
+
+def drop_malformed(df: DataFrame, box: str, least: int = 4) -> DataFrame:
+    """Rows whose box has ``least`` numbers at least, none of them null (F7); null boxes go."""
+    return df.where(F.coalesce((F.size(box) >= least) & F.forall(box, lambda v: v.isNotNull()), F.lit(False)))
+
+
+def configs_by_type(catalog: DataFrame) -> DataFrame:
+    """(dataset_type, configs): the catalog's entries grouped by the class that reads them, in order of their names."""
+    rest = [c for c in catalog.columns if c != "dataset_type"]
+    return catalog.groupBy("dataset_type").agg(F.array_sort(F.collect_list(F.struct("name", *[c for c in rest if c != "name"]))).alias("configs"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.geometry import resize_coords
+from ..runtime import checkpoint, join_checked
 from .ranking import mixed_key
 
 MESSAGE = "array<struct<role: string, content: array<struct<type: string, text: string, media: string>>>>"
@@ -137,6 +140,21 @@ def fuzzy_labels(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
     return df.withColumn("matched", F.when(F.array_contains(names, F.col(label)), F.col(label)).otherwise(best))
 
 
+def weighted_labels(df: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """As ``fuzzy_labels``, by weighted ratio: the first of the classes, as given, with the best one (J12). Each different label that isn't a
+    class is compared once; null and empty labels have none."""
+    order = list(dict.fromkeys(classes))
+
+    @F.pandas_udf(StringType())
+    def best(labels: pd.Series) -> pd.Series:
+        return pd.Series([max(order, key=lambda c: T.weighted_ratio(x, c), default=None) if x else None for x in labels], dtype="object")
+
+    odd = df.where(F.col(label).isNotNull() & ~F.col(label).isin(order)).select(F.col(label).alias("__odd")).distinct()
+    known = checkpoint(odd.withColumn("__best", best("__odd")))
+    out = join_checked(df, known, F.col(label) == F.col("__odd"), "left", 100)
+    return out.withColumn("matched", F.when(F.col(label).isin(order), F.col(label)).otherwise(F.col("__best"))).drop("__odd", "__best")
+
+
 def class_vector(x: Column, classes: list[str]) -> Column:
     """1 for each class that the text names."""
     return F.array(*[F.contains(x, F.lit(c)).cast("int") for c in classes])

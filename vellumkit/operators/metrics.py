@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -178,8 +180,9 @@ def cider(df: DataFrame, key: str, pred: str, refs: str, sigma: float = 6.0) ->
     return scored
 
 
-def bleu4(df: DataFrame, key: str, pred: str, refs: str) -> DataFrame:
-    """One row (bleu4): corpus BLEU with clipped counts and the closest reference length (A20); 0 if an order has no match."""
+def bleu4(df: DataFrame, key: str, pred: str, refs: str, tokens: Callable[[Column], Column] = tokens) -> DataFrame:
+    """One row (bleu4): corpus BLEU with clipped counts and the closest reference length (A20); 0 if an order has no match. ``tokens``: how
+    texts are cut, such as ``text.ptb_tokens``."""
     p = df.select(key, tokens(F.col(pred)).alias("tok"))
     r = df.select(key, F.posexplode(refs).alias("ref", "t")).select(key, "ref", tokens(F.col("t")).alias("tok"))
     gp = _gram_counts(p, [key], "tok")
