@@ -44,4 +44,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import benchmark_queries, curation_queries, evaluation_queries, message_queries, source_queries  # noqa: E402, F401
+from . import benchmark_queries, curation_queries, evaluation_queries, message_queries, sample_queries, source_queries  # noqa: E402, F401
