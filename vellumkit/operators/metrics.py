@@ -161,9 +161,7 @@ def cider(df: DataFrame, key: str, pred: str, refs: str, sigma: float = 6.0) ->
     The captions are moved once, to their key; their grams are counted where they are. Only the counts meet the frequencies by
     gram, and come back to their key, where norms and products are sums within a row.
     """
-    rows = df.select(F.col(key).alias("__key"), tokens(F.col(pred)).alias("__p"), F.coalesce(F.transform(refs, tokens), F.array().cast("array<array<string>>")).alias("__r")).repartition("__key")
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("ref"), F.col("__p").alias("tok"))), F.transform("__r", lambda t, i: F.struct(i.cast("int").alias("ref"), t.alias("tok"))))
-    grams = _gram_counts(rows.select("__key", F.explode(sides).alias("s")).select("__key", "s.ref", "s.tok"), ["__key", "ref"], "tok")
+    rows, grams = _sides(df, key, pred, refs, tokens)
     freq = grams.where("ref >= 0").select("__key", "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("rows"))  # one row
     weighed = grams.join(freq, ["n", "g"], "left").crossJoin(F.broadcast(total)).withColumn("w", F.col("c") * (F.log("rows") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))))
@@ -180,19 +178,26 @@ def cider(df: DataFrame, key: str, pred: str, refs: str, sigma: float = 6.0) ->
     return scored
 
 
+def _sides(df: DataFrame, key: str, pred: str, refs: str, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(__key, __p, __r: words of the answer and of each reference), moved once to its key; (__key, ref, n, g, c) of their grams, counted
+    there: ref is -1 for the answer."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of text with many grams aren't put in one task
+    rows = df.select(F.col(key).alias("__key"), tokens(F.col(pred)).alias("__p"), F.coalesce(F.transform(refs, tokens), F.array().cast("array<array<string>>")).alias("__r")).repartition(tasks, "__key")
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("ref"), F.col("__p").alias("tok"))), F.transform("__r", lambda t, i: F.struct(i.cast("int").alias("ref"), t.alias("tok"))))
+    return rows, _gram_counts(rows.select("__key", F.explode(sides).alias("s")).select("__key", "s.ref", "s.tok"), ["__key", "ref"], "tok")
+
+
 def bleu4(df: DataFrame, key: str, pred: str, refs: str, tokens: Callable[[Column], Column] = tokens) -> DataFrame:
     """One row (bleu4): corpus BLEU with clipped counts and the closest reference length (A20); 0 if an order has no match. ``tokens``: how
-    texts are cut, such as ``text.ptb_tokens``."""
-    p = df.select(key, tokens(F.col(pred)).alias("tok"))
-    r = df.select(key, F.posexplode(refs).alias("ref", "t")).select(key, "ref", tokens(F.col("t")).alias("tok"))
-    gp = _gram_counts(p, [key], "tok")
-    gr = _gram_counts(r, [key, "ref"], "tok").groupBy(key, "n", "g").agg(F.max("c").alias("m"))
-    hits = gp.join(gr, [key, "n", "g"], "left").agg(
+    texts are cut, such as ``text.ptb_tokens``. Texts are moved once, to their key; grams aren't."""
+    rows, grams = _sides(df, key, pred, refs, tokens)
+    own, most = F.max(F.when(F.col("ref") < 0, F.col("c"))), F.max(F.when(F.col("ref") >= 0, F.col("c")))
+    hits = grams.groupBy("__key", "n", "g").agg(own.alias("c"), most.alias("m")).where("c is not null").agg(
         *[F.sum(F.when(F.col("n") == n, F.least("c", F.coalesce("m", F.lit(0))))).alias(f"hit{n}") for n in (1, 2, 3, 4)],
         *[F.sum(F.when(F.col("n") == n, F.col("c"))).alias(f"all{n}") for n in (1, 2, 3, 4)],
     )
-    lengths = r.join(p.select(key, F.size("tok").alias("lp")), key).groupBy(key, "lp").agg(F.min(F.struct(F.abs(F.size("tok") - F.col("lp")).alias("d"), F.size("tok").alias("lr"))).alias("best"))
-    lengths = lengths.agg(F.sum("lp").alias("lp"), F.sum("best.lr").alias("lr"))
+    best = F.array_min(F.transform("__r", lambda t: F.struct(F.abs(F.size(t) - F.size("__p")).alias("d"), F.size(t).alias("lr"))))
+    lengths = rows.where(F.size("__r") > 0).agg(F.sum(F.size("__p")).alias("lp"), F.sum(best["lr"]).alias("lr"))
     ok = F.lit(True)
     for n in (1, 2, 3, 4):
         ok = ok & (F.coalesce(f"hit{n}", F.lit(0)) > 0)
