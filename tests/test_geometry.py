@@ -94,3 +94,17 @@ def test_masks(spark):
     ring[3:6, 3:6] = 0
     assert G.close_mask_np(ring, 2).all()
     assert G.max_pool_np(np.eye(5, dtype=int), 2).tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+
+
+def test_runs_of_masks():
+    import numpy as np
+
+    from vellumkit.functions import geometry as G
+
+    rng = np.random.default_rng(0)
+    for h, w in ((1, 1), (3, 5), (7, 2)):
+        for p in (0.0, 0.3, 1.0):
+            m = (rng.random((h, w)) < p).astype(np.uint8)
+            runs = G.mask_runs_np(m)
+            assert sum(runs) == h * w and (G.runs_mask_np(runs, h, w) == m).all() and all(r > 0 for r in runs[1:])
+    assert G.mask_runs_np(np.array([[0, 1], [1, 1]])) == [1, 3]

@@ -277,6 +277,11 @@ def soft_vqa_score(pred: Column, answers: Column) -> Column:
     return F.when(k > 0, (k * F.least(F.lit(1.0), (k - 1) / 3) + (n - k) * F.least(F.lit(1.0), k / 3)) / n).otherwise(0.0)
 
 
+def st_vqa_ok(pred: Column, answers: Column) -> Column:
+    """The normalised answer is one of the normalised true ones."""
+    return F.exists(answers, lambda a: normalize_answer(a) == normalize_answer(pred))
+
+
 def sampling_rate(x: Column) -> Column:
     """``name%50`` -> 0.5, ``name*3`` -> 3, ``name`` -> 1."""
     p, m = F.regexp_extract(x, r"%\s*([\d.]+)$", 1), F.regexp_extract(x, r"\*\s*([\d.]+)$", 1)

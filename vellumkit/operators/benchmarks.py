@@ -94,6 +94,14 @@ def prepare(df: DataFrame, benchmark: str, root: str, image: str = "image_id", p
     return build_prompts(df, fam, F.col(column), F.concat_ws("/", F.lit(root.rstrip("/")), F.col(image)), prompt_type, prefix)
 
 
+def detection_matrix(df: DataFrame, benchmark: str, root: str, boxes: tuple[str, ...] = ("hbox", "rbox", "qbox"), prompt_types: tuple[str, ...] = ("json", "plain"), instances: str | None = None) -> DataFrame:
+    """Rows of a detection benchmark for each form of box and of prompt (P29), in columns det_box and prompt_type; by falling number of
+    ``instances``, if there is such a column, so that the longest answers come first."""
+    every = [prepare(df, benchmark, root, prompt_type=p, det_box=b).withColumns({"det_box": F.lit(b), "prompt_type": F.lit(p)}) for b in boxes for p in prompt_types]
+    out = reduce(DataFrame.unionByName, every)
+    return out.orderBy(F.desc(instances), "image_id", "det_box", "prompt_type") if instances else out
+
+
 def check_prompt_type(candidates: DataFrame, prompt_type: str, text: str = "instruction") -> None:
     """Ranked in-context candidates must have been scored with the prompts of this run (F12): an error if one speaks of JSON where plain text
     is asked for, or the other way round."""

@@ -119,7 +119,7 @@ def expand_catalog(catalog: DataFrame, requests: DataFrame) -> DataFrame:
 
     prepare(catalog.sparkSession)
     asked = requests.select(F.regexp_replace("request", r"[%*].*$", "").alias("asked"), sampling_rate(F.col("request")).alias("rate"))
-    return catalog.join(F.broadcast(asked), (F.col("asked") == "all") | (F.col("asked") == F.col("name"))).drop("asked")  # requests are a driver-side list
+    return join_checked(catalog, asked, (F.col("asked") == "all") | (F.col("asked") == F.col("name")), "inner").drop("asked")
 
 
 def drop_malformed(df: DataFrame, box: str, least: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import curation as C, packing as P
 from ..operators.ranking import mixed_key_sql
+from ..runtime import join_checked
 from ..streaming import streams
 from .registry import Tables, query
 
@@ -173,4 +174,4 @@ def catalog_dispatch(t: Tables) -> DataFrame:
     spark = t.spark
     catalog = spark.createDataFrame([(n,) for n in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")], "name string")
     asked = spark.createDataFrame([("BUILDING%50",), ("MACHINERY*3",), ("all%10",)], "request string")
-    return t.customer.join(F.broadcast(C.expand_catalog(catalog, asked)), F.col("c_mktsegment") == F.col("name")).select("c_custkey", "name", "rate")  # a row a request and dataset
+    return join_checked(t.customer, C.expand_catalog(catalog, asked), F.col("c_mktsegment") == F.col("name"), "inner").select("c_custkey", "name", "rate")

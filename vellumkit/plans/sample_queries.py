@@ -238,3 +238,19 @@ def scaled_coordinates(t: Tables) -> DataFrame:
     """Coordinates of one image size in another, cut to whole numbers."""
     c = G.resize_coords(F.array((F.col("l_partkey") % 400).cast("double"), (F.col("l_suppkey") % 300).cast("double")), F.lit(400), F.lit(300), F.lit(300), F.lit(600))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", c[0].alias("x"), c[1].alias("y"))
+
+
+@query("""WITH d AS (SELECT s_suppkey AS k, (1 + s_suppkey % 9)::INT AS x, (1 + s_suppkey % 5)::INT AS y, (2 + s_suppkey % 4)::INT AS w, (1 + s_suppkey % 6)::INT AS h FROM supplier)
+    SELECT k AS s_suppkey, list_concat([x * 20 + y, h + 1], flatten(list_transform(range(w), lambda i: [20 - h - 1, h + 1])), [20 * 30 - (x + w) * 20 - y - h - 1])::INT[] AS runs, ((w + 1) * (h + 1))::BIGINT AS area FROM d""")
+def mask_runs(t: Tables) -> DataFrame:
+    """Boxes as run lengths of their masks, column by column."""
+    k = F.col("s_suppkey")
+    x, y, w, h = (v.cast("double") for v in (1 + k % 9, 1 + k % 5, 2 + k % 4, 1 + k % 6))
+    return t.supplier.select("s_suppkey", G.polygon_runs(F.array(F.array(x, y, x + w, y, x + w, y + h, x, y + h)), 20, 30).alias("r")).select("s_suppkey", "r.runs", "r.area")
+
+
+@query("""SELECT p_partkey, b.box AS det_box, q.kind AS prompt_type, CASE WHEN q.kind = 'json' THEN 'Locate every item of these categories and answer in JSON: ' || p_type || '.' ELSE 'find the ' || p_type || '.' END AS prompt FROM part, (SELECT unnest(['hbox', 'rbox', 'qbox']) AS box) b, (SELECT unnest(['json', 'plain']) AS kind) q""")
+def detection_prompts(t: Tables) -> DataFrame:
+    """Each form of box with each form of prompt."""
+    m = B.detection_matrix(t.part.select(K, F.col("p_type").alias("categories"), F.concat(F.lit("i"), K).alias("image_id"), "p_size"), "dota_val", "/r", instances="p_size")
+    return m.select(K, "det_box", "prompt_type", F.element_at("message", -1)["content"][1]["text"].alias("prompt"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import curation as C, packing as P
-from ..runtime import place
+from ..runtime import join_checked, place
 from ..sources import readers as R, sinks as K
 from ..streaming import streams
 from .registry import Tables, query
@@ -174,7 +174,7 @@ def catalog_scan(t: Tables) -> DataFrame:
     text = '{"BUILDING": {"annotation_path": "b.json", "data_path": "BUILDING"}, "MACHINERY": {"annotation_path": "m.json", "data_path": "MACHINERY"}, "both": ["BUILDING", "MACHINERY"]}'
     t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     c = R.read_catalog(t.spark, f"{path}")
-    return t.customer.join(F.broadcast(c), F.col("c_mktsegment") == F.col("data_path")).select("c_custkey", "name", "annotation_path")  # a row a catalog entry
+    return join_checked(t.customer, c, F.col("c_mktsegment") == F.col("data_path"), "inner").select("c_custkey", "name", "annotation_path")
 
 
 @query("SELECT vec_id, (['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'])[label + 1] AS class_name FROM embeddings")
@@ -207,3 +207,25 @@ def stream_packed_samples(t: Tables) -> DataFrame:
     done = spark.read.parquet(out).where("total <= 8192 or size(members) = 1").select(F.explode("members").alias("m")).select("m.id", "m.length")
     held = spark.read.format("statestore").load(state).select(F.explode(F.arrays_zip(*[F.col(f"value.groupState.{c}").alias(c) for c in ("ids", "lengths")])).alias("e")).select(F.col("e.ids").alias("id"), F.col("e.lengths").alias("length"))
     return done.unionByName(held)
+
+
+@query("SELECT p_partkey, 'd' || p_partkey % 3 AS suite, p_name AS question FROM part WHERE p_partkey % 3 < 2")
+def suite_scan(t: Tables) -> DataFrame:
+    """The files of a suite, of two forms and columns, as one table with the name of each."""
+    files = {}
+    for k, name in ((0, "d0.json"), (1, "d1.jsonl")):
+        files[f"d{k}"] = path = place(t.spark, name)
+        rows = t.part.where(F.col("p_partkey") % 3 == k).select("p_partkey", F.col("p_name").alias("question"), *([F.lit(1).alias("more")] if k else []))
+        if k:
+            rows.write.json(path)
+        else:
+            rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    return R.read_suite(t.spark, files).select("p_partkey", "suite", "question")
+
+
+@query("SELECT page_id, 'i' || page_id || CASE WHEN page_id % 3 = 0 THEN '.jpg' WHEN page_id % 3 = 1 THEN '.png' ELSE '.jpg' END AS image FROM pages")
+def existing_extensions(t: Tables) -> DataFrame:
+    """A picture that isn't there under its name is taken with the other extension, if it is there with that."""
+    name = F.concat(F.lit("i"), "page_id")
+    there = t.pages.where("page_id % 3 < 2").select(F.concat(name, F.when(F.col("page_id") % 3 == 0, ".jpg").otherwise(".png")).alias("path"))
+    return R.existing_extension(t.pages.select("page_id", F.concat(name, F.lit(".jpg")).alias("image")), "image", there).select("page_id", "image")

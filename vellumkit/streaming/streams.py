@@ -13,11 +13,11 @@ from ..operators.packing import pack_interval
 PACKED = "shard int, group_id bigint, members array<struct<id: bigint, length: bigint>>, total bigint"
 
 
-def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, by, n, total) of a stream of events; rows later than the watermark are dropped. A timestamp without
+def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours", value: str = "value") -> DataFrame:
+    """(window_start, by, n, total of ``value``) of a stream of events; rows later than the watermark are dropped. A timestamp without
     time zone is read as UTC, as a watermark needs one with it."""
     e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-    g = e.groupBy(F.window("__ts", width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    g = e.groupBy(F.window("__ts", width), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("window.start").alias("window_start"), by, "n", "total")
 
 
