@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -251,10 +252,16 @@ def normalize_answer(x: Column) -> Column:
     digits, contractions get their apostrophe; a mark next to a space vanishes, any other becomes a space."""
     t = strip(F.replace(F.replace(F.replace(F.lower(x), F.lit(","), F.lit("")), F.lit("?"), F.lit("")), F.lit("'s"), F.lit(" 's")))
     t = strip(F.translate(t, "\n\t", "  "))
-    comma, out = F.rlike(t, F.lit(r"(?<=\d),+(?=\d)")), t
-    for m in _MARKS:
-        gone = F.contains(t, F.lit(m + " ")) | F.contains(t, F.lit(" " + m)) | comma
-        out = F.replace(out, F.lit(m), F.when(gone, F.lit("")).otherwise(F.lit(" ")))
+
+    def without_marks(t: Column, comma: Column) -> Column:
+        out = t
+        for m in _MARKS:
+            gone = comma | F.contains(t, F.lit(m + " ")) | F.contains(t, F.lit(" " + m))
+            out = F.replace(out, F.lit(m), F.when(gone, F.lit("")).otherwise(F.lit(" ")))
+        return out
+
+    marks = "[" + re.escape("".join(_MARKS)) + "]"
+    out = let(t, lambda t: F.when(~F.rlike(t, F.lit(marks)), t).otherwise(let(F.rlike(t, F.lit(r"(?<=\d),+(?=\d)")), lambda comma: without_marks(t, comma))))
     out = F.regexp_replace(out, r"\.(?!\d)", "")
     words = F.create_map(*[F.lit(y) for pair in (ANSWER_NUMBERS.items()) for y in pair])
     short = F.create_map(*[F.lit(y) for pair in (CONTRACTIONS.items()) for y in pair])
@@ -279,7 +286,7 @@ def soft_vqa_score(pred: Column, answers: Column) -> Column:
 
 def st_vqa_ok(pred: Column, answers: Column) -> Column:
     """The normalised answer is one of the normalised true ones."""
-    return F.exists(answers, lambda a: normalize_answer(a) == normalize_answer(pred))
+    return let(normalize_answer(pred), lambda p: F.exists(F.array_distinct(answers), lambda a: normalize_answer(a) == p))
 
 
 def sampling_rate(x: Column) -> Column:
