@@ -267,6 +267,17 @@ def test_lm_whole_texts_of_any_length():
     assert Z.size_of(b"", c) == len(c.compress(b""))
 
 
+def test_lm_repeated_rows_and_texts(spark):
+    """Rows of one id with several texts, of one text with several ids, and equal rows: each keeps its own sizes, as often as it occurs."""
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (2, text(1)), (None, text(2)), (None, text(2)), (3, None), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string").repartition(3)
+    good = spark.createDataFrame([(2,)], "doc_id bigint")
+    counts = Z.word_counts(docs, good)
+    packs = [Z.compressor(Z.dictionary(counts, c)) for c in ("n_in", "n_all")]
+    want = sorted(str((i, *(None if t is None else Z.size_of(t.encode(), c) for c in packs))) for i, t in rows)
+    assert sorted(str((r["doc_id"], r["in_size"], r["general_size"])) for r in Z.lm_scores(docs, good).collect()) == want
+
+
 def test_lm_edges(spark):
     docs = edge_docs(spark)
     good = spark.createDataFrame([(5,), (5,), (None,), (77,)], "doc_id bigint")

@@ -8,8 +8,8 @@ in-domain documents than like the corpus.
 A dictionary is raw content: every word that was counted, by count x length, the best at the end, where matches are
 cheapest. Words are counted over all documents: each task counts its own, and the counts, which grow with the corpus,
 are shuffled by word. So the dictionaries grow with the vocabulary, and zstandard's hash tables with them; only
-``MOST_BYTES``, what zstandard can load, is a limit. They go over the driver to each worker, which digests them once and
-then holds about four times their size.
+``MOST_BYTES``, what zstandard can load, is a limit. They go over the driver to the workers. Texts are scanned once for each dictionary,
+so that a worker holds one at a time, digested, at about four times its size; the sizes of a text meet by its id and hash.
 
 The match finder is the greedy one: the faster ones keep but the last 16 MB of a dictionary. A text is compressed in chunks
 of ``CHUNK`` bytes, up to which zstandard searches a digested dictionary where it is; for longer inputs it would copy the
@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
@@ -33,8 +34,8 @@ MOST_BYTES, LEVEL, FLUSH, CHUNK = (1 << 31) - (1 << 20), 5, 200_000, 1 << 15
 #: Bits by which the hash table has fewer entries than the dictionary has bytes; bits of the entries tried; bytes of the least match.
 HASH, SEARCH, MATCH = 1, 5, 6
 
-#: In a worker: the compressors of the run it is in.
-_ready: dict[str, list[zstandard.ZstdCompressor]] = {}
+#: In a worker: the compressor of the dictionary it is at.
+_ready: dict[str, zstandard.ZstdCompressor] = {}
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,37 +120,45 @@ def size_of(raw: bytes, by: zstandard.ZstdCompressor) -> int:
 
 
 
-def _digested(token: str, sent: list[Broadcast]) -> list[zstandard.ZstdCompressor]:
-    """The compressors of a run, which a worker keeps from task to task, as digesting takes as long as the dictionaries are."""
+def _digested(token: str, sent: Broadcast) -> zstandard.ZstdCompressor:
+    """The compressor of a dictionary, which a worker keeps from task to task, as digesting takes as long as the dictionary is. It holds
+    one at a time."""
     if token not in _ready:
         _ready.clear()
-        made = []
-        for one in sent:  # in turn, so that of the contents as they were sent a worker holds one at most
-            made.append(compressor(one.value))
-            vars(one).pop("_value", None)  # zstandard has its own copy
-        _ready[token] = made
+        _ready[token] = compressor(sent.value)
+        vars(sent).pop("_value", None)  # zstandard has its own copy
     return _ready[token]
 
 
+def _sizes(docs: DataFrame, content: bytes, name: str) -> DataFrame:
+    """(doc_id, h0, h1, name): the size of each row's text by one dictionary, with the 128-bit hash of the text (nulls for a null text)."""
+    sent, token = docs.sparkSession.sparkContext.broadcast(content), uuid.uuid4().hex
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _digested(token, sent)
+        for b in batches:
+            sizes, halves = [], ([], [])
+            for t in b.column(1):
+                raw = t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else None
+                sizes.append(None if raw is None else size_of(raw, by))
+                for half, at in zip(halves, (0, 8)):
+                    half.append(None if raw is None else int.from_bytes(xxhash.xxh3_128_digest(raw)[at : at + 8], "big", signed=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (*halves, sizes))], names=["doc_id", "h0", "h1", name])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(sized, f"doc_id bigint, h0 bigint, h1 bigint, {name} bigint")
+
+
 def lm_scores(docs: DataFrame, in_domain: DataFrame) -> DataFrame:
     """(doc_id, in_size, general_size, score) for each row of ``docs``, repeated ones too.
 
     A null text has null sizes and score; an empty text has the sizes of an empty frame. Without in-domain documents, or without
     words, the dictionary is empty and the text is compressed without one. Whole texts are counted and compressed. Other columns are not read.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     counts = checkpoint(word_counts(docs, in_domain))
-    sent, token = [spark.sparkContext.broadcast(dictionary(counts, c)) for c in ("n_in", "n_all")], uuid.uuid4().hex
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, general = _digested(token, sent)
-        for b in batches:
-            sizes = [[], []]
-            for t in b.column(1):
-                raw = t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else None
-                sizes[0].append(None if raw is None else size_of(raw, inside))
-                sizes[1].append(None if raw is None else size_of(raw, general))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s, pa.int64()) for s in sizes)], names=["doc_id", "in_size", "general_size"])
-
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id bigint, in_size bigint, general_size bigint")
-    return out.withColumn("score", F.round((F.col("general_size") - F.col("in_size")) / F.col("general_size"), 6))
+    inside, general = (_sizes(docs, dictionary(counts, c), name) for c, name in (("n_in", "in_size"), ("n_all", "general_size")))
+    both = inside.withColumn("n", F.lit(1)).unionByName(general, allowMissingColumns=True)  # a task has one dictionary, so a worker holds one
+    out = both.groupBy("doc_id", "h0", "h1").agg(F.max("in_size").alias("in_size"), F.max("general_size").alias("general_size"), F.sum("n").alias("n"))
+    score = F.round((F.col("general_size") - F.col("in_size")) / F.col("general_size"), 6)
+    return out.select("doc_id", "in_size", "general_size", score.alias("score"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("n")).drop("n")
