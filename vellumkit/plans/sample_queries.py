@@ -122,13 +122,14 @@ def frozen_examples(t: Tables) -> DataFrame:
     return R.ordered_pick(t.documents.select("doc_id"), "doc_id", [17, 3, 99, 3, 41]).withColumnRenamed("pos", "place")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN [[p_size, 1, 2, 3, 4, 5, 6, 7]] ELSE [[p_size, 1, 2, 3], [4, 5, 6, p_size]] END::INT[][] AS plain, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE [p_size + 0.5, 1, 2, 3] END::DOUBLE[] AS fenced FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ',1,2,3,4,5,6,7' ELSE p_size || ',1,2,3|4,5,6,' || p_size END AS plain, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size || '.5,1.0,2.0,3.0' END AS fenced FROM part""")
 def answer_boxes(t: Tables) -> DataFrame:
     """Boxes of a plain answer, of eight numbers or else of four; and of a fenced one, if it can be read."""
     s = F.col("p_size").cast("string")
     plain = F.when(F.col(K) % 2 == 0, F.concat(F.lit("at "), s, F.lit(",1,2,3,4,5,6,7 ship\n1,2,3,4 car"))).otherwise(F.concat(s, F.lit(",1,2,3 ship\n4,5,6,"), s))
     fenced = F.when(F.col(K) % 3 == 0, '```json\n[{"bbox_2d": [1, 2').otherwise(F.concat(F.lit('```json\n[{"bbox_2d": ['), s, F.lit('.5, 1, 2, 3], "label": "a"}]\n```')))
-    return t.part.select(K, X.plain_boxes(plain).alias("plain"), F.get(X.json_boxes(fenced), F.lit(0))["bbox_2d"].alias("fenced"))
+    joined = lambda b: F.array_join(b.cast("array<string>"), ",")
+    return t.part.select(K, F.array_join(F.transform(X.plain_boxes(plain), joined), "|").alias("plain"), F.coalesce(joined(F.get(X.json_boxes(fenced), F.lit(0))["bbox_2d"]), F.lit("")).alias("fenced"))
 
 
 @query("SELECT p_partkey, 'a' || repeat('<pad>', p_size % 4) || 'b' || repeat('<pad>', p_size % 3 + 1) || 'c' AS text FROM part")

@@ -28,7 +28,7 @@ def json_document_scan(t: Tables) -> DataFrame:
     return R.read_json_or_jsonl(t.spark, path, "n_nationkey int, n_name string, r_name string")
 
 
-@query("SELECT s_suppkey AS id, n_name AS file_name, r_name AS category, s_suppkey % 50 + 10.0 AS x2 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT s_suppkey AS id, n_name AS file_name, r_name AS category, (s_suppkey % 50 + 10)::DOUBLE AS x2 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def coco_bundle_scan(t: Tables) -> DataFrame:
     """A bundle of images (nations), annotations (suppliers) and categories (regions)."""
     path = place(t.spark, "bundle.json")
