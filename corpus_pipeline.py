@@ -29,7 +29,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn to meet the target weights; a null source is a source of its own."""
+    """The documents that the splitting tree draws to meet the target weights, in its shards' order; a null source is a source of its own."""
     return mixing.mix(docs)
 
 

@@ -155,6 +155,33 @@ def test_mixture_against_brute_force(spark):
     assert {r["doc_id"] for r in mixed.select("doc_id").collect()} == set(got["doc_id"])
 
 
+def in_order(ids, places):
+    """Whether rows that follow each other hold whole shards, each in the order of its positions."""
+    at = [places[i] for i in ids]
+    starts = [s for k, (s, _) in enumerate(at) if not k or at[k - 1][0] != s]
+    return len(starts) == len(set(starts)) and all(a[0] != b[0] or b[1] == a[1] + 1 for a, b in zip(at, at[1:]))
+
+
+def test_mix_lays_rows_out_as_the_tree_deals_them(spark, tmp_path):
+    import corpus_pipeline as C
+    import pyarrow.parquet as pq
+
+    d = docs(spark).withColumns({c: F.lit("x") for c in CLASHING})
+    for n, (made, mixture) in enumerate(((M.mix(d, WEIGHTS, 0.25, 8, 4), M.mixture(d, WEIGHTS, 0.25, 8, 4)), (C.mix_sources(spark, d, ""), M.mixture(d)))):
+        places = {r["doc_id"]: (r["shard"], r["position"]) for r in mixture.collect()}
+        made.write.parquet(f"{tmp_path}/{n}")
+        files = [pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist() for f in (tmp_path / f"{n}").glob("*.parquet")]
+        assert sorted(sum(files, [])) == sorted(places) and all(in_order(ids, places) for ids in files)
+        shards = [{places[i][0] for i in ids} for ids in files]
+        assert sum(map(len, shards)) == len(set().union(*shards)) == len({s for s, _ in places.values()})
+
+
+def test_large_ids_beside_a_null_one_are_exact(spark):
+    big = [2**60 + k for k in range(1, 40)]
+    d = spark.createDataFrame([(i, "t", "en", "a", 1) for i in [None, *big]], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    assert {r["doc_id"] for r in M.mixture(d).collect()} == {None, *big} == {r["doc_id"] for r in M.mix(d).collect()}
+
+
 def test_mixing_edges(spark):
     d = edge_docs(spark)
     out = M.mix(d, {"a": 1.0}, 1.0, 2)

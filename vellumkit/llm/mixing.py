@@ -10,7 +10,7 @@ and each shard draws the next blocks of each source's permuted order: disjoint,
 shard the documents are shuffled by a key.
 
 A node is drawn from its seed alone, so each task walks only the nodes on the way to its own blocks; nothing of
-the tree is collected. Ids, sources and keys are shuffled by range; texts are not moved.
+the tree is collected. Ids, sources and keys are shuffled by range; ``mix`` then moves the drawn texts to their shards.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranking import mixed_key, rank_within
@@ -156,34 +156,32 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, rest: floa
     shards = max(1, -(-sum(sizes) // shard_blocks))
     place = {s: k for k, s in enumerate(names)}
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(sizes, shards, seed)
-        for rows in batches:
-            rows = rows.assign(shard=np.int64(-1))
-            for name, own in rows.groupby("source", dropna=False, sort=False):
-                name = None if pd.isna(name) else name
+        for b in batches:
+            coded = b["source"].dictionary_encode(null_encoding="encode")
+            codes, at, shard = coded.indices.to_numpy(), b["rank"].to_numpy() // block, np.full(b.num_rows, -1, np.int64)
+            for code, name in enumerate(coded.dictionary.to_pylist()):
                 if name in place:
-                    at = own["rank"].to_numpy() // block
-                    at = at[inside := at < sizes[place[name]]]
-                    rows.loc[own.index[inside], "shard"] = tree.shard_of(place[name], at)
-            yield rows.loc[rows["shard"] >= 0, ["doc_id", "source", "shard"]]
+                    own = np.flatnonzero((codes == code) & (at < sizes[place[name]]))
+                    shard[own] = tree.shard_of(place[name], at[own])
+            # ids stay in Arrow: beside a null, pandas would make them floats
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(shard)], names=["doc_id", "source", "shard"]).filter(pa.array(shard >= 0))
 
-    dealt = ranked.select("doc_id", "source", "rank").mapInPandas(deal, "doc_id bigint, source string, shard bigint")
+    dealt = ranked.select("doc_id", "source", "rank").mapInArrow(deal, "doc_id bigint, source string, shard bigint")
     dealt = dealt.withColumn("key", mixed_key("doc_id", seed + 1))
     return rank_within(dealt, "shard", ["key", "doc_id"], "position").select("doc_id", "source", "shard", "position")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = REST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that are in the mixture, as they are, with all their columns, whatever their names: those up to their
-    source's last drawn (key, doc_id), so only a cut for each source goes out and no text is moved. Rows that repeat a doc_id with one
-    source are kept or dropped together, as are those of a null doc_id; a null source is a source of its own; nulls in other
-    columns and texts of any length don't matter. An empty table stays empty."""
-    ranked, quota = _plan(docs, WEIGHTS if weights is None else weights, rest, block, seed)
-    spark = docs.sparkSession
-    q = spark.createDataFrame([(s, n * block) for s, n in quota.items()], "q_source string, q_rows bigint")
-    cut = join_checked(ranked, q, F.col("source").eqNullSafe(F.col("q_source")), "inner", 100)
-    cut = cut.where(F.col("rank") < F.col("q_rows")).groupBy("source").agg(F.max(F.struct(F.coalesce("key", F.lit(-1)).alias("k"), F.coalesce("doc_id", F.lit(-(2**63))).alias("i"))).alias("__cut"))
-    name, cut_name = (min(n for n in (f"__{x}{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("source", "cut"))
-    cut = checkpoint(cut.withColumnsRenamed({"source": name, "__cut": cut_name}))
-    key = F.struct(F.coalesce(mixed_key("doc_id", seed), F.lit(-1)).alias("k"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("i"))
-    return join_checked(docs, cut, F.col("source").cast("string").eqNullSafe(F.col(name)), "inner", 100).where(key <= F.col(cut_name)).drop(name, cut_name)
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = REST, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that are in ``mixture``, with all their columns, whatever their names, laid out as the tree deals them: each shard
+    of the mixture in one partition and in the order of its positions. Rows that repeat a doc_id are kept or dropped together and share its
+    place, as do those of a null doc_id; a null source is a source of its own; nulls in other columns and texts of any length don't
+    matter. An empty table stays empty.
+
+    Texts are shuffled once, to their shards, while the places fit the checked broadcast; beyond it once more, by doc_id.
+    """
+    doc, shard, position = (min(n for n in (f"__{x}{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("doc", "shard", "position"))
+    dealt = checkpoint(mixture(docs, weights, rest, block, shard_blocks, seed).select(F.col("doc_id").alias(doc), F.col("shard").alias(shard), F.col("position").alias(position)))
+    out = join_checked(docs, dealt, F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)), "inner", 60)
+    return out.repartition(shard).sortWithinPartitions(shard, position).drop(doc, shard, position)
