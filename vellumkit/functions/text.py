@@ -199,13 +199,16 @@ def plain_instances(x: Column) -> Column:
 def repair_json(x: Column) -> Column:
     """A JSON list with the usual slips mended: wrong brackets, repeated and missing commas, repeated labels; lines that still
     don't parse are dropped (X10). A list that parses as it is stays."""
+
+    def mended(body: Column) -> Column:
+        y = F.translate(body, "()", "[]")
+        for pattern, by in ((r"(, *)+", ", "), (r"(\d)\s+(\d)", "$1, $2"), (r'("label":\s*)+', '"label": ')):
+            y = F.regexp_replace(y, pattern, by)
+        lines = F.filter(F.split(y, "\n"), lambda s: let(strip(strip(s), ","), lambda t: (t != "") & F.try_parse_json(t).isNotNull()))
+        return F.concat(F.lit("[\n"), F.rtrim(F.array_join(lines, "\n"), F.lit(", ")), F.lit("\n]"))
+
     body = F.replace(F.replace(x, F.lit("```json\n"), F.lit("")), F.lit("\n```"), F.lit(""))
-    y = F.translate(body, "()", "[]")
-    for pattern, by in ((r"(, *)+", ", "), (r"(\d)\s+(\d)", "$1, $2"), (r'("label":\s*)+', '"label": ')):
-        y = F.regexp_replace(y, pattern, by)
-    lines = F.filter(F.split(y, "\n"), lambda s: let(strip(strip(s), ","), lambda t: (t != "") & F.try_parse_json(t).isNotNull()))
-    mended = F.concat(F.lit("[\n"), F.rtrim(F.array_join(lines, "\n"), F.lit(", ")), F.lit("\n]"))
-    return F.when(F.try_parse_json(body).isNotNull(), body).otherwise(mended)
+    return let(body, lambda b: F.when(F.try_parse_json(b).isNotNull(), b).otherwise(mended(b)))
 
 
 def json_instances(x: Column) -> Column:

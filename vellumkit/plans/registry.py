@@ -11,21 +11,26 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
+from ..runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Tables of few bytes a row whose rows are parsed, matched and drawn.
+NARROW = {"part", "supplier"}
+
+
 class Tables:
-    """``t.orders`` reads a table of the folder."""
+    """``t.orders`` reads a table of the folder; those of ``NARROW`` come in tasks of a number of rows."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self._dir, name)
+        df = table(self.spark, self._dir, name)
+        return spread(df) if name in NARROW else df
 
 
 def _run(f: Callable[[Tables], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,15 @@ def removed(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame, rows: int = 1 << 12, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows, by ``keys`` if given, for work that costs much a row. Spark sizes tasks by bytes, so that a
+    million short rows, or one row group, are one task. The rows are counted, and moved only if they need more than one task: select
+    the columns first.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def bytes_of(df: DataFrame, row_bytes: int = 40) -> int:
     """Counted size of a table in memory: ``row_bytes`` for each row, and what its strings, binaries and arrays hold."""
     wide = [F.octet_length(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
