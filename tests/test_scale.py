@@ -15,6 +15,19 @@ def test_short_rows_are_many_tasks(spark):
     assert Tables(spark, BIG).part.rdd.getNumPartitions() == 5
 
 
-@pytest.mark.parametrize("name", ["json_repair_parse"])
+@pytest.mark.parametrize("name", ["json_repair_parse", "region_answers"])
 def test_a_query_is_more_than_a_task(spark, name):
     assert QUERIES[name](spark, BIG).rdd.getNumPartitions() > 1
+
+
+def test_regions_send_only_rotated_boxes_to_python(spark):
+    from pyspark.sql import functions as F
+
+    from vellumkit.operators import regions as R
+
+    d = spark.createDataFrame([(r, [0, 0, 4, 2], [4, 2, 0, 0, 0, 2, 4, 0]) for r in ("hbb", "obb", "polygon")], "r string, b array<int>, p array<int>")
+    d = d.select("r", R.coords_of(F.col("r"), F.col("b"), F.col("p")).alias("c"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    call = plan[plan.index("min_area_rect(") :].split("#")[0]
+    assert "CASE WHEN (r" in call
+    assert {x["r"]: x["c"] for x in d.collect()} == {"hbb": [0, 0, 4, 2], "obb": [2, 1, 4, 2, 0], "polygon": [0, 0, 4, 0, 4, 2, 0, 2]}

@@ -108,60 +108,77 @@ def rle_rows(mask: Column) -> Column:
 # --- general polygons, NumPy -------------------------------------------------------------------------------------
 
 
-def _corners(p: list[float]) -> np.ndarray:
+# A polygon has few corners: lists of floats take a fraction of the time of arrays.
+
+Points = list[tuple[float, float]]
+
+
+def _pairs(p: list[float]) -> Points:
+    v = np.asarray(p, float).tolist()
+    return list(zip(v[::2], v[1::2], strict=True))
+
+
+def _corners(p: list[float]) -> Points:
     if len(p) == 4:
-        x1, y1, x2, y2 = p
-        return np.array([[x1, y1], [x2, y1], [x2, y2], [x1, y2]], float)
-    q = np.array(p, float).reshape(-1, 2)
-    c = q.mean(axis=0)
-    return q[np.argsort(-np.arctan2(q[:, 1] - c[1], q[:, 0] - c[0]), kind="stable")]
+        (x1, y1), (x2, y2) = _pairs(p)
+        return [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+    q = _pairs(p)
+    cx, cy = (math.fsum(v) / len(q) for v in zip(*q))
+    return sorted(q, key=lambda v: -math.atan2(v[1] - cy, v[0] - cx))
 
 
-def _area(q: np.ndarray) -> float:
-    x, y = q[:, 0], q[:, 1]
-    return 0.5 * float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
+def _area(q: Points) -> float:
+    forth = back = 0.0
+    for (x, y), (u, v) in zip(q, q[1:] + q[:1]):
+        forth += x * v
+        back += y * u
+    return 0.5 * (forth - back)
 
 
-def _hull(q: np.ndarray) -> np.ndarray:
+def _hull(q: Points) -> Points:
     """Convex hull, counter-clockwise."""
-    pts = sorted(map(tuple, q.tolist()))
+    pts = sorted(q)
 
-    def half(points: list) -> list:
-        out: list = []
+    def half(points: Points) -> Points:
+        out: Points = []
         for p in points:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    return np.array(half(pts) + half(pts[::-1])) if len(set(pts)) > 2 else np.array(pts)
+    return half(pts) + half(pts[::-1]) if len(set(pts)) > 2 else pts
 
 
-def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
+def _clip(subject: Points, clip: Points) -> Points:
     """Part of a polygon inside a convex, counter-clockwise one."""
-    out = subject.tolist()
-    for (ax, ay), (bx, by) in zip(clip.tolist(), np.roll(clip, -1, axis=0).tolist()):
-        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
+    out = subject
+    for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1]):
         given, out = out, []
-        for p, q in zip(given[-1:] + given[:-1], given):
-            sp, sq = side(p), side(q)
+        sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in given]
+        for p, q, sp, sq in zip(given[-1:] + given[:-1], given, sides[-1:] + sides[:-1], sides):
             if (sp >= 0) != (sq >= 0):
                 t = sp / (sp - sq)
-                out.append([p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])])
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
             if sq >= 0:
                 out.append(q)
-    return np.array(out).reshape(-1, 2)
+    return out
+
+
+def _apart(p: Points, q: Points) -> bool:
+    """The bounding boxes have no area in common."""
+    (px, py), (qx, qy) = zip(*p), zip(*q)
+    return min(px) >= max(qx) or min(qx) >= max(px) or min(py) >= max(qy) or min(qy) >= max(py)
 
 
-def _overlap(a: list[float], b: list[float]) -> tuple[float, float, np.ndarray]:
+def _overlap(a: list[float], b: list[float]) -> tuple[float, float, Points]:
     """(area of both, area of either, all corners) of two convex polygons; areas are 0 if one has none."""
     p, q = _corners(a), _corners(b)
     p, q = (x[::-1] if _area(x) < 0 else x for x in (p, q))
-    ap, aq, every = _area(p), _area(q), np.concatenate((p, q))
-    if ap <= 0 or aq <= 0:
+    ap, aq, every = _area(p), _area(q), p + q
+    if not (ap > 0 and aq > 0):
         return 0.0, 0.0, every
-    apart = (p.min(axis=0) >= q.max(axis=0)).any() or (q.min(axis=0) >= p.max(axis=0)).any()
-    both = every[:0] if apart else _clip(p, q)
+    both = [] if _apart(p, q) else _clip(p, q)
     inter = abs(_area(both)) if len(both) > 2 else 0.0
     return inter, ap + aq - inter, every
 
@@ -188,17 +205,18 @@ def polygon_giou(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def min_area_rect_np(p: list[float]) -> list[int]:
     """Least-area rectangle around points, as whole (cx, cy, w, h, angle in degrees), w >= h, -90 <= angle < 90."""
-    hull = _hull(np.array(p).astype(int).astype(float).reshape(-1, 2))
+    hull = _hull(_pairs(np.array(p).astype(int)))
     if len(hull) == 1:
         return [int(hull[0][0]), int(hull[0][1]), 0, 0, 0]
     best = None
-    for e in np.roll(hull, -1, axis=0) - hull:
-        t = math.atan2(e[1], e[0])
+    for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1]):
+        t = math.atan2(by - ay, bx - ax)
         c, s = math.cos(t), math.sin(t)
-        u, v = hull @ [c, s], hull @ [-s, c]
-        w, h = np.ptp(u), np.ptp(v)
+        u, v = [x * c + y * s for x, y in hull], [y * c - x * s for x, y in hull]
+        (u0, u1), (v0, v1) = (min(u), max(u)), (min(v), max(v))
+        w, h = u1 - u0, v1 - v0
         if best is None or w * h < best[0] - 1e-9:
-            mu, mv = (u.max() + u.min()) / 2, (v.max() + v.min()) / 2
+            mu, mv = (u1 + u0) / 2, (v1 + v0) / 2
             best = (w * h, c * mu - s * mv, s * mu + c * mv, w, h, math.degrees(t))
     _, x, y, w, h, angle = best
     if w < h - 1e-9:

@@ -39,7 +39,7 @@ def samples(df: DataFrame, idx: str, dataset_type: str, masks: DataFrame | None
 def coords_of(region: Column, bbox: Column, poly: Column, clockwise: bool = True) -> Column:
     """array<int> of a region: its box, its least rectangle, or its canonical corners."""
     quad = G.normalize_polygon(poly.cast("array<double>"), clockwise).cast("array<int>")
-    return F.when(region == "hbb", bbox.cast("array<int>")).when(region == "obb", G.min_area_rect(poly.cast("array<double>"))).when(region == "polygon", quad)
+    return F.when(region == "hbb", bbox.cast("array<int>")).when(region == "obb", G.min_area_rect(F.when(region == "obb", poly.cast("array<double>")))).when(region == "polygon", quad)
 
 
 def region_answer(region: Column, coords: Column, label: Column, as_json: Column) -> Column:
