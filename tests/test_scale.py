@@ -31,3 +31,20 @@ def test_regions_send_only_rotated_boxes_to_python(spark):
     call = plan[plan.index("min_area_rect(") :].split("#")[0]
     assert "CASE WHEN (r" in call
     assert {x["r"]: x["c"] for x in d.collect()} == {"hbb": [0, 0, 4, 2], "obb": [2, 1, 4, 2, 0], "polygon": [0, 0, 4, 0, 4, 2, 0, 2]}
+
+
+def test_masks_are_counted_where_the_polygons_are(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vellumkit.functions import geometry as G
+
+    a, b = [[3.0, 250.0, 9.5, 250.0, 9.5, 300.0, 3.0, 300.0], [40.0, 7.0, 60.0, 20.0, 44.0, 31.0]], [[5.0, 240.0, 20.0, 240.0, 20.0, 254.0, 5.0, 254.0], [-30.0, -9.0, -4.0, -9.0, -4.0, -2.0]]
+    window = (7, 3, 255, 60)
+    assert (G.raster_np(a, 256, 256, window) == G.raster_np(a, 256, 256)[7:256, 3:61]).all()
+    x, y = (G.raster_np(p, 256, 256).astype(bool) for p in (a, b))
+    want = [int(np.sum(m)) for m in (~x & ~y, x & ~y, ~x & y, x & y)]
+    out = [[300.0, 300.0, 310.0, 300.0, 310.0, 310.0]]
+    d = spark.createDataFrame([(a, b), (out, b), (out, out), ([], []), (None, a)], "p array<array<double>>, t array<array<double>>")
+    got = [list(r["c"]) for r in d.select(G.mask_counts(F.col("p"), F.col("t")).alias("c")).collect()]
+    assert got[0] == want and got[1] == [256 * 256 - int(y.sum()), 0, int(y.sum()), 0] and got[2] == got[3] == [256 * 256, 0, 0, 0] and got[4] == [256 * 256 - int(x.sum()), 0, int(x.sum()), 0]

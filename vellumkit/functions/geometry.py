@@ -230,12 +230,20 @@ def min_area_rect(p: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else min_area_rect_np(x) for x in p])
 
 
-def raster_np(polygons: list[list[float]], height: int, width: int) -> np.ndarray:
-    """Mask of polygons, outline included: pixels within half a pixel of the polygon's interior or edges."""
-    out = np.zeros((height, width), np.uint8)
+def _bounds(q: np.ndarray, height: int, width: int) -> tuple[int, int, int, int]:
+    """First row, first column, last row and last column that a polygon may touch within the image."""
+    (x0, y0), (x1, y1) = (int(v) for v in np.maximum(np.floor(q.min(axis=0)), 0)), (int(v) for v in np.minimum(np.ceil(q.max(axis=0)), (width - 1, height - 1)))
+    return y0, x0, y1, x1
+
+
+def raster_np(polygons: list[list[float]], height: int, width: int, window: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Mask of polygons, outline included: pixels within half a pixel of the polygon's interior or edges (G9); only the rows and
+    columns of a window (as of ``_bounds``) if it is given, which must hold all polygons."""
+    top, left, bottom, right = window or (0, 0, height - 1, width - 1)
+    out = np.zeros((bottom - top + 1, right - left + 1), np.uint8)
     for p in polygons:
         q = np.array(p, float).reshape(-1, 2)
-        (x0, y0), (x1, y1) = (int(v) for v in np.maximum(np.floor(q.min(axis=0)), 0)), (int(v) for v in np.minimum(np.ceil(q.max(axis=0)), (width - 1, height - 1)))
+        y0, x0, y1, x1 = _bounds(q, height, width)
         if x1 < x0 or y1 < y0:
             continue
         yy, xx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1].astype(float)  # no other pixel is within half a pixel
@@ -248,7 +256,7 @@ def raster_np(polygons: list[list[float]], height: int, width: int) -> np.ndarra
             n = (bx - ax) ** 2 + (by - ay) ** 2
             t = np.clip(((xx - ax) * (bx - ax) + (yy - ay) * (by - ay)) / n, 0, 1) if n else np.zeros_like(xx)
             near |= np.maximum(abs(xx - ax - t * (bx - ax)), abs(yy - ay - t * (by - ay))) <= 0.5
-        out[y0 : y1 + 1, x0 : x1 + 1] |= (inside | near).astype(np.uint8)
+        out[y0 - top : y1 + 1 - top, x0 - left : x1 + 1 - left] |= (inside | near).astype(np.uint8)
     return out
 
 
@@ -296,7 +304,10 @@ def mask_counts(pred: Column, truth: Column, height: int = 256, width: int = 256
             if all(m is None or len(m) == 0 for m in (a, b)):
                 rows.append([height * width, 0, 0, 0])
                 continue
-            x, y = (raster_np([] if m is None else list(m), height, width) for m in (a, b))
+            a, b = ([] if m is None else list(m) for m in (a, b))
+            held = [w for w in (_bounds(np.array(q, float).reshape(-1, 2), height, width) for q in (*a, *b)) if w[0] <= w[2] and w[1] <= w[3]]
+            window = (*map(min, zip(*[w[:2] for w in held])), *map(max, zip(*[w[2:] for w in held]))) if held else (0, 0, 0, 0)
+            x, y = (raster_np(m, height, width, window) for m in (a, b))
             n, k, both = int(x.sum()), int(y.sum()), int((x & y).sum())
             rows.append([height * width - n - k + both, n - both, k - both, both])
         return pd.DataFrame(rows, columns=["tn", "fp", "fn", "tp"])
