@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
+from .text import let
+
 
 def box_iou(a: Column, b: Column) -> Column:
     """IoU of two xyxy boxes; an overlap of one pixel or less along either axis counts as none (G1). Null if both are empty."""
@@ -53,22 +55,31 @@ def xywh_to_xyxy(b: Column) -> Column:
 
 def polygon_area(p: Column) -> Column:
     """Shoelace area of x1, y1, x2, y2, ...."""
-    n = F.size(p)
-    cross = F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda k: p[(2 * k).cast("int")] * p[((2 * k + 3) % n).cast("int")] - p[((2 * k + 2) % n).cast("int")] * p[(2 * k + 1).cast("int")])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, v: a + v)) / 2
+
+    def area(p: Column) -> Column:
+        n = F.size(p)
+        cross = F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda k: p[(2 * k).cast("int")] * p[((2 * k + 3) % n).cast("int")] - p[((2 * k + 2) % n).cast("int")] * p[(2 * k + 1).cast("int")])
+        return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, v: a + v)) / 2
+
+    return let(p, area)
 
 
 def normalize_polygon(p: Column, clockwise: bool = True) -> Column:
     """Corners of a quadrilateral by angle around their mean (rising angle: clockwise in an image), from the topmost, then
-    leftmost, one (G6)."""
-    pts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(p[(2 * k).cast("int")].alias("x"), p[(2 * k + 1).cast("int")].alias("y")))
-    cx, cy = F.aggregate(pts, F.lit(0.0), lambda a, q: a + q["x"]) / 4, F.aggregate(pts, F.lit(0.0), lambda a, q: a + q["y"]) / 4
-    angle = lambda q: F.atan2(q["y"] - cy, q["x"] - cx)
-    keyed = F.transform(pts, lambda q, i: F.struct((angle(q) if clockwise else -angle(q)).alias("a"), i.alias("i"), q["x"].alias("x"), q["y"].alias("y")))
-    ring = F.array_sort(keyed)
-    first = F.array_min(F.transform(ring, lambda q, i: F.struct(q["y"].alias("y"), q["x"].alias("x"), i.alias("i"))))["i"]
-    turned = F.concat(F.slice(ring, first + 1, 4), F.slice(ring, F.lit(1), first))
-    return F.flatten(F.transform(turned, lambda q: F.array(q["x"], q["y"])))
+    leftmost, one (G6). Each step is computed once a row."""
+    mean = lambda pts, axis: (F.lit(0.0) + pts[0][axis] + pts[1][axis] + pts[2][axis] + pts[3][axis]) / 4
+
+    def by_angle(pts: Column, c: Column) -> Column:
+        angle = lambda q: F.atan2(q["y"] - c["y"], q["x"] - c["x"])
+        return F.array_sort(F.transform(pts, lambda q, i: F.struct((angle(q) if clockwise else -angle(q)).alias("a"), i.alias("i"), q["x"].alias("x"), q["y"].alias("y"))))
+
+    def turned(ring: Column) -> Column:
+        first = F.array_min(F.transform(ring, lambda q, i: F.struct(q["y"].alias("y"), q["x"].alias("x"), i.alias("i"))))["i"]
+        return let(first, lambda k: F.flatten(F.transform(F.concat(F.slice(ring, k + 1, 4), F.slice(ring, F.lit(1), k)), lambda q: F.array(q["x"], q["y"]))))
+
+    points = lambda p: F.array(*[F.struct(p[2 * k].alias("x"), p[2 * k + 1].alias("y")) for k in range(4)])
+    centred = lambda pts: let(F.struct(mean(pts, "x").alias("x"), mean(pts, "y").alias("y")), lambda c: let(by_angle(pts, c), turned))
+    return let(p, lambda p: let(points(p), centred))
 
 
 def smart_resize(h: Column, w: Column, factor: int = 28, min_pixels: int = 56 * 56, max_pixels: int = 14 * 14 * 4 * 1280) -> Column:
