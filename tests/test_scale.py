@@ -15,7 +15,7 @@ def test_short_rows_are_many_tasks(spark):
     assert Tables(spark, BIG).part.rdd.getNumPartitions() == 5
 
 
-@pytest.mark.parametrize("name", ["json_repair_parse", "region_answers"])
+@pytest.mark.parametrize("name", ["json_repair_parse", "region_answers", "nested_polygons", "polygon_canonical"])
 def test_a_query_is_more_than_a_task(spark, name):
     assert QUERIES[name](spark, BIG).rdd.getNumPartitions() > 1
 
@@ -48,3 +48,30 @@ def test_masks_are_counted_where_the_polygons_are(spark):
     d = spark.createDataFrame([(a, b), (out, b), (out, out), ([], []), (None, a)], "p array<array<double>>, t array<array<double>>")
     got = [list(r["c"]) for r in d.select(G.mask_counts(F.col("p"), F.col("t")).alias("c")).collect()]
     assert got[0] == want and got[1] == [256 * 256 - int(y.sum()), 0, int(y.sum()), 0] and got[2] == got[3] == [256 * 256, 0, 0, 0] and got[4] == [256 * 256 - int(x.sum()), 0, int(x.sum()), 0]
+
+
+def test_corners_are_put_in_order_once(spark):
+    from pyspark.sql import functions as F
+
+    from vellumkit.functions import geometry as G
+
+    p = F.split(F.col("id").cast("string"), ",").cast("array<double>")
+    plan = spark.range(1).select(G.normalize_polygon(p).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("atan2") == 1 and plan.count("split(") == 1
+
+
+def test_merged_patches_are_more_than_a_task(spark):
+    from pyspark.sql import functions as F
+
+    from vellumkit.sources import sinks as K
+
+    k = F.col("id")
+    poly = F.array(*[F.lit(v) for v in (0.0, 0.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0)])
+    image = F.concat(F.lit("I"), F.floor(k / 2).cast("string"), F.lit("__1__0___0"))
+    got = K.merge_patches(spark.range(0, 20_000, 1, 1).select(image.alias("image"), F.lit("a").alias("class_name"), (k % 7).cast("double").alias("score"), poly.alias("poly")))
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 10_000
+    assert got.selectExpr("sum(score)").first()[0] == sum(max(j % 7, (j + 1) % 7) for j in range(0, 20_000, 2))
+
+
+def test_boxes_of_line_items_are_spread(spark):
+    assert QUERIES["box_text_rewrite"](spark, BIG).rdd.getNumPartitions() == 10

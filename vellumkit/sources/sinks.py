@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import polygon_iou_np
+from ..runtime import spread
 
 
 def write_results(df: DataFrame, path: str, drop: tuple[str, ...] = ("content",)) -> None:
@@ -52,21 +53,32 @@ def merge_patches(dets: DataFrame, iou: float = 0.1) -> DataFrame:
     """Detections of patches named <image>__<scale>__<x>___<y>, in the coordinates of the image, without those that overlap a better one of
     the class by more than ``iou`` (K9). Names of another form are images of their own. Score ties go to the lesser polygon."""
     part = lambda k: F.regexp_extract("image", r"^(.*)__([0-9.]+)__(-?\d+)___(-?\d+)$", k)
-    patch = part(1) != ""
-    shift, scale = F.array(part(3).try_cast("double"), part(4).try_cast("double")), part(2).try_cast("double")
-    moved = F.transform("poly", lambda v, i: F.when(patch, (v + F.get(shift, (i % 2).cast("int"))) / scale).otherwise(v.cast("double")))
-    rows = dets.select(F.when(patch, part(1)).otherwise(F.col("image")).alias("__image"), "class_name", F.col("score").cast("double").alias("score"), moved.alias("poly"))
-    rows = rows.withColumnRenamed("__image", "image")  # within a lambda the name would mean the new column
-
-    def best(own: pd.DataFrame) -> pd.DataFrame:  # of an image and class
-        order = sorted(range(len(own)), key=lambda k: (-own["score"].iloc[k], list(own["poly"].iloc[k])))
-        kept: list[int] = []
-        for k in order:
-            if all(polygon_iou_np(list(own["poly"].iloc[k]), list(own["poly"].iloc[j])) <= iou for j in kept):
-                kept.append(k)
-        return own.iloc[kept]
-
-    return rows.groupBy("image", "class_name").applyInPandas(best, rows.schema)
+    named = dets.select("*", *(part(k).alias(f"__{k}") for k in (1, 2, 3, 4)))
+    patch = F.col("__1") != ""
+    named = named.withColumns({"__shift": F.array(F.col("__3").try_cast("double"), F.col("__4").try_cast("double")), "__scale": F.col("__2").try_cast("double"), "__patch": patch})
+    moved = F.transform("poly", lambda v, i: F.when(F.col("__patch"), (v + F.get("__shift", (i % 2).cast("int"))) / F.col("__scale")).otherwise(v.cast("double")))
+    rows = named.select(F.when(patch, F.col("__1")).otherwise(F.col("image")).alias("image"), "class_name", F.col("score").cast("double").alias("score"), moved.alias("poly"))
+
+    @F.pandas_udf("array<int>")
+    def kept(groups: pd.Series) -> pd.Series:  # of each image and class, from the best detection down
+        out = []
+        for polys in groups:
+            if polys is None:
+                out.append(None)
+                continue
+            polys, own = [p.tolist() for p in polys], []
+            for k, p in enumerate(polys):
+                if all(polygon_iou_np(p, polys[j]) <= iou for j in own):
+                    own.append(k)
+            out.append(own)
+        return pd.Series(out)
+
+    found = F.struct(F.isnull("score").alias("none"), (-F.col("score")).alias("less"), "poly", "score")
+    # By rows, as few bytes may be many groups; the group of one detection doesn't go to Python.
+    groups = spread(rows, 1 << 13, ("image",)).groupBy("image", "class_name").agg(F.array_sort(F.collect_list(found)).alias("d"))
+    groups = groups.withColumn("k", kept(F.when(F.size("d") > 1, F.col("d.poly"))))
+    best = F.when(F.size("d") > 1, F.transform("k", lambda k: F.get("d", k))).otherwise(F.col("d"))
+    return groups.select("image", "class_name", F.explode(best).alias("d")).select("image", "class_name", "d.score", "d.poly")
 
 
 def write_ranked(df: DataFrame, path: str, score: str = "ppl") -> None:
