@@ -75,3 +75,60 @@ def test_merged_patches_are_more_than_a_task(spark):
 
 def test_boxes_of_line_items_are_spread(spark):
     assert QUERIES["box_text_rewrite"](spark, BIG).rdd.getNumPartitions() == 10
+
+
+def test_pairs_as_rows_are_those_of_the_matrix(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vellumkit.operators import detection as D
+
+    rng = np.random.default_rng(7)
+
+    def box():
+        x, y, w, h = rng.integers(0, 9, 4).tolist()
+        return [float(v) for v in (x, y, x + w, y + h)]
+
+    rows = [(k, [box() for _ in range(rng.integers(1, 5))], [box() for _ in range(rng.integers(1, 5))]) for k in range(60)]
+    d = spark.createDataFrame(rows, "k int, p array<array<double>>, g array<array<double>>")
+    pairs = D.box_pairs(d, "p", "g")
+    want = {(r["k"], r["i"], r["j"]): r["v"] for r in d.select("k", F.explode(D.pair_matrix(F.col("p"), F.col("g"))).alias("e")).select("k", "e.*").collect()}
+    assert {(r["k"], r["i"], r["j"]): r["v"] for r in pairs.collect()} == pytest.approx(want, abs=1e-12)
+    folds = {r["k"]: r["n"] for r in d.select("k", D.greedy_matches(D.pair_matrix(F.col("p"), F.col("g")), 0.2).alias("n")).collect()}
+    matched = D.matched_boxes(pairs, ["k"], 0.2)
+    assert {r["k"]: r["hits"] for r in matched.collect()} == folds and len(set(folds.values())) > 2
+    assert matched._jdf.queryExecution().optimizedPlan().toString().count("greatest(") < 40  # not spelled out below a filter
+
+
+def test_detections_are_assigned_once(spark):
+    from pyspark.sql import functions as F
+
+    from vellumkit.operators import detection as D
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def hit(k):
+        seen.add(1)
+        return int(k % 2)
+
+    found = spark.range(0, 50, 1, 2).select(F.lit("c").alias("cls"), F.col("id").cast("double").alias("score"), F.col("id").alias("ord"), hit("id").alias("tp"), F.lit(1).alias("n_gt"))
+    assert D.average_precision(found, "cls", "score", "ord").collect()[0]["n_gt"] == 50
+    assert seen.value == 50
+
+
+def test_grams_are_made_once(spark):
+    from vellumkit.operators import metrics as M
+
+    d = spark.createDataFrame([(1, "a b c d e", ["a b c d", "b c d e f"]), (2, "x y", ["x y z"])], "k int, p string, r array<string>")
+    scores = M.cider(d, "k", "p", "r")
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # sides, grams
+    assert scores.count() == 2
+
+
+def test_a_task_reads_a_bounded_file_of_annotations(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    files = QUERIES["xml_object_scan"](spark, BIG).inputFiles()
+    assert max(Path(urlparse(f).path).stat().st_size for f in files) < 32 << 20
