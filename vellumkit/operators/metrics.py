@@ -158,16 +158,19 @@ def cider(df: DataFrame, key: str, pred: str, refs: str, sigma: float = 6.0) ->
     """(key, cider): the CIDEr-D score of each row, ten times the mean over n = 1..4 and the references; the corpus score
     is the mean x 100 (A7). Document frequencies count the rows whose references have the gram.
 
-    The captions are moved once, to their key; their grams are counted where they are. Only the counts meet the frequencies by
-    gram, and come back to their key, where norms and products are sums within a row.
+    The captions are moved once, to their key; their grams are counted where they are. Only the counts are moved to their gram, once:
+    there the frequency and the answer's count are sums over neighbours, and what goes back is a part of each norm and product.
     """
     rows, grams = _sides(df, key, pred, refs, tokens)
-    freq = grams.where("ref >= 0").select("__key", "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("rows"))  # one row
-    weighed = grams.join(freq, ["n", "g"], "left").crossJoin(F.broadcast(total)).withColumn("w", F.col("c") * (F.log("rows") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))))
-    side = F.struct("ref", "w")
-    both = weighed.repartition("__key").groupBy("__key", "n", "g").agg(F.coalesce(F.max(F.when(F.col("ref") < 0, F.col("w"))), F.lit(0.0)).alias("wp"), F.collect_list(side).alias("s"))
-    sums = both.select("__key", "n", "wp", F.explode("s").alias("s")).groupBy("__key", "n", "s.ref").agg(F.sum(F.least("wp", "s.w") * F.col("s.w")).alias("dot"), F.sqrt(F.sum(F.col("s.w") ** 2)).alias("norm"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gram, own = Window.partitionBy("n", "g"), Window.partitionBy("n", "g", "__key")
+    truth = F.col("ref") >= 0
+    met = grams.repartition(tasks, "n", "g").withColumns({"p": F.max(F.when(~truth, F.col("c"))).over(own), "first": F.min(F.when(truth, F.col("ref"))).over(own)})
+    met = met.withColumn("df", F.sum(F.when(F.col("ref") == F.col("first"), 1)).over(gram)).crossJoin(F.broadcast(total))
+    idf = F.log("rows") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
+    met = met.select("__key", "n", "ref", (F.col("c") * idf).alias("w"), (F.coalesce("p", F.lit(0)) * idf).alias("wp"))
+    sums = met.groupBy("__key", "n", "ref").agg(F.sum(F.least("wp", "w") * F.col("w")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     sums = sums.groupBy("__key").agg(F.collect_list(F.struct("n", "ref", "dot", "norm")).alias("e"))
     lengths = rows.select("__key", F.size("__p").alias("__lp"), F.transform("__r", F.size).alias("__lr"))
     norm_p = lambda n: F.aggregate(F.filter("e", lambda x: (x["ref"] < 0) & (x["n"] == n)), F.lit(0.0), lambda acc, x: acc + x["norm"])
