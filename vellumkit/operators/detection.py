@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.geometry import box_giou, polygon_giou_np, polygon_iou_np
+from ..functions.text import let
 from ..runtime import checkpoint, join_checked
 from .ranking import rank_within
 
@@ -18,6 +19,36 @@ def pair_matrix(pred: Column, gt: Column) -> Column:
     return F.flatten(F.transform(pred, lambda p, i: F.transform(gt, lambda g, j: F.struct(box_giou(p, g).alias("v"), i.cast("int").alias("i"), j.cast("int").alias("j")))))
 
 
+def box_pairs(df: DataFrame, pred: str, gt: str, of_pred: Callable[[Column], Column] = lambda x: x, of_gt: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """The same as rows (i, j, v and the other columns), for many pairs: compiled, where ``pair_matrix`` is interpreted. Items of the two
+    lists are boxes, or become boxes by the functions.
+
+    ``geometry.box_giou`` by steps, a column each: as one expression it is spelled out to a method too long for the JVM's compiler.
+    """
+    rest, c, zero = [x for x in df.columns if x not in (pred, gt)], F.col, F.lit(0.0)
+    d = df.select(*rest, c(gt).alias("__g"), F.posexplode(pred).alias("i", "__p")).select(*rest, "i", "__p", F.posexplode("__g").alias("j", "__t"))
+    d = d.select(*rest, "i", "j", *[box[k].alias(f"__{n}{k}") for n, box in (("p", of_pred(c("__p"))), ("t", of_gt(c("__t")))) for k in range(4)])
+    a, b = ([c(f"__{n}{k}") for k in range(4)] for n in "pt")
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    side = lambda k: F.greatest(F.least(a[k + 2], b[k + 2]) - F.greatest(a[k], b[k]), zero)
+    hull = lambda k: F.greatest(a[k + 2], b[k + 2]) - F.least(a[k], b[k])
+    d = d.select(*rest, "i", "j", area(a).alias("__a"), area(b).alias("__b"), (side(0) * side(1)).alias("__i"), (hull(0) * hull(1)).alias("__h"), *[(a[k] - b[k]).alias(f"__d{k}") for k in range(4)])
+    x0, y0, x1, y1 = (c(f"__d{k}") for k in range(4))
+    cut = F.greatest(-x0 * y0, zero) + F.greatest(-x1 * y1, zero) + F.greatest(x1 * y0, zero) + F.greatest(x0 * y1, zero)
+    d = d.select(*rest, "i", "j", "__a", "__b", "__i", (c("__a") + c("__b") - c("__i")).alias("__u"), (c("__h") - cut / 2).alias("__h"))
+    v = F.when((c("__a") > 0) & (c("__b") > 0), c("__i") / c("__u") - (c("__h") - c("__u")) / c("__h")).otherwise(zero)
+    return d.select(*rest, "i", "j", v.alias("v"))
+
+
+def matched_boxes(pairs: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """(by, hits): greedy matches of the pairs of each row of ``by`` (J10). Only pairs that reach the threshold, and the first, are gathered."""
+    keep = (F.col("v") >= threshold) | ((F.col("i") == 0) & (F.col("j") == 0))
+    near = pairs.select(*by, F.explode(F.when(keep, F.array(F.struct("v", "i", "j")))).alias("e"))  # a filter would be moved below the steps of v, and spell them out
+    gathered = near.groupBy(*by).agg(F.collect_list(F.when(F.col("e.v") >= threshold, F.col("e"))).alias("__m"))
+    hits = F.when(F.size("__m") < 2, F.size("__m")).otherwise(greedy_matches(F.col("__m"), threshold))
+    return gathered.select(*by, hits.alias("hits"))
+
+
 def greedy_matches(pairs: Column, threshold: float) -> Column:
     """Number of pairs when the best pair is taken again and again, and its row and column with it (J10). Ties: the least
     (i, j). A fold over the pairs sorted by value, in the row: no shuffle."""
