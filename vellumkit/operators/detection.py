@@ -122,7 +122,7 @@ def polygon_matches(df: DataFrame, key: str, pred: str, gt: str, threshold: floa
 def _iou(p: Column, g: Column) -> Column:
     w = F.greatest(F.least(p[2], g[2]) - F.greatest(p[0], g[0]), F.lit(0.0))
     h = F.greatest(F.least(p[3], g[3]) - F.greatest(p[1], g[1]), F.lit(0.0))
-    return F.coalesce(F.try_divide(w * h, (p[2] - p[0]) * (p[3] - p[1]) + (g[2] - g[0]) * (g[3] - g[1]) - w * h), F.lit(0.0))
+    return let(w * h, lambda both: F.coalesce(F.try_divide(both, (p[2] - p[0]) * (p[3] - p[1]) + (g[2] - g[0]) * (g[3] - g[1]) - both), F.lit(0.0)))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("v", T.DoubleType()), T.StructField("j", T.IntegerType())])))
@@ -141,6 +141,11 @@ def _polygon_best(pred: pd.Series, gt: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _taken(best: Column, iou: float) -> Column:
+    """The place of a detection's best box, null below the threshold."""
+    return let(best, lambda m: F.when(m["v"] >= iou, m["j"]))
+
+
 def assign_detections(df: DataFrame, image: str, cls: str, score: str, order: str, iou: float = 0.5) -> DataFrame:
     """Whether each detection is a hit (A21): in score order each takes its best true box of the same image and class, if
     its IoU reaches the threshold and the box is free. df: detections (box, kind 'pred') and truths (kind 'gt').
@@ -154,18 +159,19 @@ def assign_detections(df: DataFrame, image: str, cls: str, score: str, order: st
     )
     g = g.withColumn("g", F.array_sort("g"))
     best = lambda p: F.array_max(F.transform("g", lambda t, j: F.struct(_iou(p["b"], t["b"]).alias("v"), (-j).alias("j"))))
-    of = lambda c: F.transform(c, lambda e: e["b"].cast("array<double>"))
-    g = g.withColumn("__up", _upright(of("p"), of("g")))
-    polygons = lambda c: F.when(~F.col("__up"), of(c))
-    g = g.withColumn("__best", _polygon_best(polygons("p"), polygons("g")))
-    tried = F.transform("p", lambda p, k: F.struct(p["s"].alias("s"), p["o"].alias("o"), F.when(F.col("__up"), best(p)).otherwise(F.get("__best", k)).alias("m")))
-    g = g.withColumn("m", tried)
-    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("tp"))
-    hit = lambda a, p: F.coalesce((p["m"]["v"] >= iou) & ~F.array_contains(a["taken"], p["m"]["j"]), F.lit(False))
-    step = lambda a, p: F.struct(F.when(hit(a, p), F.array_append(a["taken"], p["m"]["j"])).otherwise(a["taken"]).alias("taken"), F.array_append(a["tp"], hit(a, p).cast("int")).alias("tp"))
-    g = g.withColumn("tp", F.aggregate("m", start, step)["tp"])
+    if df.where(F.size("box") != 4).isEmpty():
+        taken = best
+    else:
+        of = lambda c: F.transform(c, lambda e: e["b"].cast("array<double>"))
+        g = g.withColumn("__up", _upright(of("p"), of("g")))
+        polygons = lambda c: F.when(~F.col("__up"), of(c))
+        g = g.withColumn("__best", _polygon_best(polygons("p"), polygons("g")))
+        taken = lambda p, k: F.when(F.col("__up"), best(p)).otherwise(F.get("__best", k))
+    # Of those in score order that take one box, the first has it: a detection is a hit if the box isn't among those taken before it.
+    g = g.withColumn("m", F.transform("p", (lambda p: _taken(taken(p), iou)) if taken is best else (lambda p, k: _taken(taken(p, k), iou))))
     none = lambda kind: F.lit(None).cast(kind)
-    hits = F.transform(F.arrays_zip("m", "tp"), lambda e: F.struct((-e["m"]["s"]).cast("double").alias(score), e["m"]["o"].cast("bigint").alias(order), e["tp"].alias("tp"), F.lit(0).alias("n_gt")))
+    first = lambda k: (F.get("m", k).isNotNull() & (F.array_position("m", F.get("m", k)) == k + 1)).cast("int")
+    hits = F.transform("p", lambda p, k: F.struct((-p["s"]).cast("double").alias(score), p["o"].cast("bigint").alias(order), F.coalesce(first(k), F.lit(0)).alias("tp"), F.lit(0).alias("n_gt")))
     head = F.array(F.struct(none("double").alias(score), none("bigint").alias(order), F.lit(0).alias("tp"), F.size("g").alias("n_gt")))
     return g.select(image, cls, F.explode(F.concat(hits, head)).alias("e")).select(image, cls, "e.*")
 
@@ -180,6 +186,7 @@ def average_precision(assigned: DataFrame, cls: str, score: str, order: str, chu
     A class's detections are ranked without a window over all of them and cut into chunks; sums and maxima run within a chunk, and
     what comes before and after it is added from a table with a row a chunk.
     """
+    assigned = checkpoint(assigned.select(cls, score, order, "tp", "n_gt"))  # read three times
     n_gt = assigned.groupBy(cls).agg(F.sum("n_gt").alias("total")).where("total > 0")
     found = assigned.where(F.col(score).isNotNull()).select(cls, (-F.col(score)).alias("__neg"), order, "tp")
     d = rank_within(found, cls, ["__neg", order], "__r").withColumn("__chunk", F.floor(F.col("__r") / chunk))
